@@ -17,10 +17,15 @@ def half_even(col: Column, digits: int = 0) -> Column:
     Scaling by a power of ten can land on a tie that the value itself misses by a hair;
     the scaling error, recovered by splitting the factor, then decides the direction.
     """
-    x = col.cast("double")
     if digits == 0:
-        return F.rint(x) + 0.0
-    twice = 2.0 * 10**digits
+        return F.rint(col.cast("double")) + 0.0
+    # Bound to a lambda variable so that the input is written, and evaluated, once.
+    exact = F.transform(F.array(col.cast("double")), lambda x: _exact_round(x, 10**digits))
+    return F.get(exact, F.lit(0))
+
+
+def _exact_round(x: Column, power: int) -> Column:
+    twice = 2.0 * power
     scaled = x * twice
     carry = x * 134217729.0
     high = carry - (carry - x)
@@ -31,7 +36,7 @@ def half_even(col: Column, digits: int = 0) -> Column:
         .when(tie & (error > 0), (scaled + 1) / 2)
         .otherwise(F.rint(scaled / 2))
     )
-    return whole / float(10**digits) + 0.0
+    return whole / float(power) + 0.0
 
 
 def to_int(col: Column) -> Column:

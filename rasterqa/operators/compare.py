@@ -14,7 +14,7 @@ from rasterqa.session import cut_lineage
 
 
 def low_frequencies(grey: DataFrame, level: str, size: int, low: int, keys, orthonormal: bool) -> DataFrame:
-    """Low block of the 2-D DCT-II of a ``size x size`` raster as an ordered array.
+    """Low block of the 2-D DCT-II of a ``size x size`` raster, with its median.
 
     Rows first: one group per raster row with ``low`` cosine sums; then the same down
     each frequency column. Both steps combine partially before the shuffle.
@@ -26,9 +26,11 @@ def low_frequencies(grey: DataFrame, level: str, size: int, low: int, keys, orth
     wide = rows.select(*keys, "y", F.posexplode("across").alias("u", "c"))
     cols = wide.groupBy(*keys, "u").agg(F.array(*[
         F.sum(F.col("c") * wave("y", v)) * scale(v) for v in range(low)]).alias("down"))
-    cell = cols.select(*keys, "u", F.posexplode("down").alias("v", "c"))
-    return cell.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("v", "u", F.round("c", 6).alias("c")))), lambda s: s["c"]).alias("coef"))
+    cell = cols.select(*keys, "u", F.posexplode("down").alias("v", "c")).withColumn("c", F.round("c", 6))
+    pool = F.when(F.col("v") > 0, F.col("c")) if orthonormal else F.col("c")
+    return cell.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("v", "u", "c"))).alias("cells"),
+        F.percentile(pool, 0.5).alias("median"))
 
 
 def phash(grey: DataFrame, level: str, size: int, low: int, skip_first_row: bool = False,
@@ -39,11 +41,7 @@ def phash(grey: DataFrame, level: str, size: int, low: int, skip_first_row: bool
     six decimals so the order of summing cannot flip one.
     """
     coef = low_frequencies(grey, level, size, low, keys, orthonormal=skip_first_row)
-    pool = F.slice("coef", low + 1, low * (low - 1)) if skip_first_row else F.col("coef")
-    ranked = F.array_sort(pool)
-    n = low * (low - 1) if skip_first_row else low * low
-    median = F.round((F.get(ranked, F.lit((n - 1) // 2)) + F.get(ranked, F.lit(n // 2))) / 2, 6)
-    bits = F.transform("coef", lambda c: (c > median).cast("int"))
+    bits = F.transform("cells", lambda s: (s["c"] > F.round("median", 6)).cast("int"))
     word = lambda part: F.aggregate(
         part, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b.cast("bigint")))
     words = F.array(*[word(F.slice("bits", 64 * k + 1, 64)) for k in range(low * low // 64)])

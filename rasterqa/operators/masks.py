@@ -121,7 +121,7 @@ def background_type(pixels: DataFrame) -> DataFrame:
     var = {c: F.sum(F.col(c) * F.col(c) * weight) / n - mean[c] * mean[c] for c in CHANNELS}
     agg = pixels.groupBy("image_id").agg(
         F.bool_or(F.col("a") < 255).alias("real_alpha"),
-        ((mean["r"] + mean["g"] + mean["b"]) / 3).alias("border_mean"),
+        (F.sum((F.col("r") + F.col("g") + F.col("b")) * weight) / (n * 3)).alias("border_mean"),
         (
             sum((F.sqrt(F.greatest(F.lit(0.0), var[c])) for c in "gb"),
                 F.sqrt(F.greatest(F.lit(0.0), var["r"]))) / 3

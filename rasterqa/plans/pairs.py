@@ -71,7 +71,7 @@ def c2_phash64(t):
 
 
 _HAM = ("hm AS (SELECT pair_id, length(o.hash_bits) AS bits, len(list_filter(range(1, length(o.hash_bits) + 1), "
-        "i -> o.hash_bits[i] <> g.hash_bits[i])) AS d FROM pairs JOIN hb o ON o.image_id = original_id JOIN hb g ON g.image_id = generated_id)")
+        "lambda i: o.hash_bits[i] <> g.hash_bits[i])) AS d FROM pairs JOIN hb o ON o.image_id = original_id JOIN hb g ON g.image_id = generated_id)")
 
 
 @query("c3_hash_similarity", f"WITH {RX}, {PAIRS}, {GREY}, {DCT64}, {_HAM} SELECT pair_id, CAST(d AS INT) AS distance, (1 - d / bits) * 100.0::DOUBLE AS similarity_pct FROM hm")

@@ -98,16 +98,16 @@ def r4_background_colour(t):
     return out
 
 
-@query("r5_background_type", f"""WITH {BOTH}, {RING}, st AS (SELECT image_id, avg((r + g + b) / 3.0) AS m,
+@query("r5_background_type", f"""WITH {BOTH}, {RING}, st AS (SELECT image_id, sum(r + g + b) / (3 * count(*)) AS m,
  (stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3 AS sd, bool_or(a < 255) AS alpha
  FROM ring JOIN (SELECT image_id AS i2, bool_or(a < 255) AS al FROM px GROUP BY 1) ON i2 = image_id GROUP BY image_id),
  al AS (SELECT image_id, bool_or(a < 255) AS al FROM px GROUP BY image_id)
  SELECT image_id, CASE WHEN al THEN 'Transparent' WHEN sd > 10 THEN 'Complex' WHEN m >= 245 THEN 'White'
- ELSE 'Solid colour' END AS background_type, round_even(m, 4) AS border_mean, round_even(sd, 3) AS border_spread
+ ELSE 'Solid colour' END AS background_type, round_even(m, 2) AS border_mean, round_even(sd, 3) AS border_spread
  FROM st JOIN al USING (image_id)""")
 def r5_background_type(t):
     return masks.background_type(both(t)).select(
-        "image_id", "background_type", half_even(F.col("border_mean"), 4).alias("border_mean"),
+        "image_id", "background_type", half_even(F.col("border_mean"), 2).alias("border_mean"),
         half_even(F.col("border_spread"), 3).alias("border_spread"))
 
 
