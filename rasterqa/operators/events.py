@@ -139,7 +139,7 @@ def rate_limit(calls: DataFrame, n: int = dims.RATE_LIMIT, window: float = dims.
     order = ["ts", "call_id"]
     marked = previous_row(calls.select("key", *order), "key", order, ["ts"], slot)
     opens = F.when(F.col("prev").isNull() | (F.col("ts") - F.col("prev.ts") > window), 1).otherwise(0)
-    bursts = running_sum(marked.drop("prev").withColumn("opens", opens), "key", order, F.col("opens"), "burst", slot)
+    bursts = running_sum(marked.withColumn("opens", opens).drop("prev"), "key", order, F.col("opens"), "burst", slot)
 
     def fold(batches):
         unit, kept = None, deque()

@@ -28,14 +28,15 @@ def previous_row(df: DataFrame, key: str, order: list[str], payload: list[str],
         *df.columns, F.coalesce("_lag", "_before").alias("prev"))
 
 
-def running_sum(df: DataFrame, key: str, order: list[str], value: Column, out: str, slot: int) -> DataFrame:
+def running_sum(df: DataFrame, key: str | list[str], order: list[str], value: Column, out: str, slot: int) -> DataFrame:
     """Running total in key order: inside the slot, plus the totals of earlier slots."""
+    keys = [key] if isinstance(key, str) else list(key)
     cut = df.withColumn("_slot", _slot(order[0], slot)).withColumn("_v", value)
-    totals = cut.groupBy(key, "_slot").agg(F.sum("_v").alias("_t"))
-    edge = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_slot", F.coalesce(F.sum("_t").over(edge), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(key, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_run", F.sum("_v").over(inside)).join(offsets, [key, "_slot"])
+    totals = cut.groupBy(*keys, "_slot").agg(F.sum("_v").alias("_t"))
+    edge = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_slot", F.coalesce(F.sum("_t").over(edge), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("_run", F.sum("_v").over(inside)).join(offsets, [*keys, "_slot"])
     return summed.select(*df.columns, (F.col("_run") + F.col("_off")).alias(out))
 
 

@@ -49,16 +49,17 @@ def jobs(t):
 JOBS = ("jb AS MATERIALIZED (SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 97 = 0 THEN '' ELSE (o_custkey % 50)::VARCHAR END AS created_by, "
         "epoch_us(o_orderdate) // 1000000 AS created_at, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS status, "
         "CASE WHEN o_orderstatus = 'P' THEN o_custkey % 150 END AS claimed_by, o_orderpriority FROM orders)")
-# Event gaps run to hours, so the presence window is a day here, the grace a week.
+# Event gaps run to hours, so the presence window is three hours here, the grace six.
+WINDOW, GRACE = 3 * 3600, 6 * 3600
 ONLINE = (f"la AS (SELECT user_id AS agent_id, max(ts) AS last_seen, arg_max(event_type <> 'error', (ts, event_type <> 'error')) AS logged_in FROM evs GROUP BY user_id), "
-          f"onl AS MATERIALIZED (SELECT agent_id, agent_id % 50 AS username, last_seen, logged_in FROM la, clock WHERE now - last_seen <= {DAY} "
-          f"OR (now - last_seen <= {7 * DAY} AND agent_id IN (SELECT claimed_by FROM jb WHERE status = 'running')))")
+          f"onl AS MATERIALIZED (SELECT agent_id, agent_id % 50 AS username, last_seen, logged_in FROM la, clock WHERE now - last_seen <= {WINDOW} "
+          f"OR (now - last_seen <= {GRACE} AND agent_id IN (SELECT claimed_by FROM jb WHERE status = 'running')))")
 BUSY = "bz AS (SELECT DISTINCT claimed_by AS agent_id FROM jb WHERE status = 'running' AND claimed_by % 3 = 0)"
 BASE = f"{EVS}, {CLOCK}, {JOBS}, {ONLINE}"
 
 
 def online(t):
-    return ev.online_agents(heartbeats(t), jobs(t), clock_of(t), DAY, 7 * DAY)
+    return ev.online_agents(heartbeats(t), jobs(t), clock_of(t), WINDOW, GRACE)
 
 
 def busy(t):
@@ -99,11 +100,11 @@ def j2_token_fleet(t):
         "token_id", F.coalesce("up", F.lit(False)).alias("online"))
 
 
-@query("j3_resolve_identity", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON sha256(s_name) = sha256('Supplier#' || c_custkey) WHERE c_acctbal >= 0")
+@query("j3_resolve_identity", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON sha256('agt_' || s_suppkey) = sha256('agt_' || c_custkey) WHERE c_acctbal >= 0")
 def j3_resolve_identity(t):
-    tokens = t("supplier").select("s_suppkey", F.sha2("s_name", 256).alias("token"))
+    tokens = t("supplier").select("s_suppkey", F.sha2(F.concat(F.lit("agt_"), "s_suppkey"), 256).alias("token"))
     users = t("customer").filter("c_acctbal >= 0").select(
-        "c_custkey", F.sha2(F.concat(F.lit("Supplier#"), F.col("c_custkey")), 256).alias("token"))
+        "c_custkey", F.sha2(F.concat(F.lit("agt_"), F.col("c_custkey")), 256).alias("token"))
     return tokens.join(users, "token").select("s_suppkey", "c_custkey")
 
 
