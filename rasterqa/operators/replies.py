@@ -14,15 +14,15 @@ ONE = "struct<id:string,name:string,type:string,cells:string>"
 
 def json_body(text: Column) -> Column:
     """Reply without code fence, cut to its outermost ``[...]``."""
-    bare = F.trim(text)
-    fenced = F.trim(F.regexp_replace(F.regexp_replace(bare, r"^```[a-zA-Z0-9]*\s*", ""), r"\s*```$", ""))
+    bare = strip(text)
+    fenced = strip(F.regexp_replace(F.regexp_replace(bare, r"^```[a-zA-Z0-9]*\s*", ""), r"\s*```$", ""))
     body = F.when(bare.startswith("```"), fenced).otherwise(bare)
     cut = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
     return F.when(body.startswith("[") | (cut == ""), body).otherwise(cut)
 
 
 def _coerced(obj: Column, pos: Column) -> list[Column]:
-    cells = F.filter(F.transform(F.from_json(obj["cells"], "array<string>"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.from_json(obj["cells"], "array<string>"), lambda c: F.trim(c)), lambda c: c != "")
     return [
         F.coalesce(obj["id"].try_cast("int"), pos).alias("id"), F.trim(obj["name"]).alias("name"),
         F.lower(F.trim(F.coalesce(obj["type"], F.lit("")))).alias("type"),
@@ -145,6 +145,11 @@ EDGE_PATTERN = r"^(Worked for \d+[smh]|Searching\b|Thinking\b|Reasoned\b|\d+:\d+
 DIRECTIVE = r"::\w[\w-]*\s*\{[^}]*\}"
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of white space, line breaks included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_edges(text: Column) -> Column:
     """Drop wrapper and blank lines from both ends only; the middle is untouched."""
     lines = F.split(text, "\n")
@@ -152,7 +157,7 @@ def strip_edges(text: Column) -> Column:
     real = F.transform(lines, lambda l: ~chrome(l))
     first = F.array_position(real, F.lit(True))
     last = F.size(lines) - F.array_position(F.reverse(real), F.lit(True)) + 1
-    return F.when(first == 0, "").otherwise(F.trim(F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n")))
+    return F.when(first == 0, "").otherwise(strip(F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n")))
 
 
 def strip_directives(text: Column) -> Column:
@@ -160,14 +165,14 @@ def strip_directives(text: Column) -> Column:
     shrink to one."""
     marked = F.regexp_replace(text, r"(?m)^[ \t]*(?:" + DIRECTIVE + r"[ \t]*)+(?:\n|\z)", "")
     bare = F.regexp_replace(marked, DIRECTIVE, "")
-    return F.when(bare == text, text).otherwise(F.trim(F.regexp_replace(bare, r"\n(?:[ \t]*\n){2,}", "\n\n")))
+    return F.when(bare == text, text).otherwise(strip(F.regexp_replace(bare, r"\n(?:[ \t]*\n){2,}", "\n\n")))
 
 
 def unwrap(text: Column) -> Column:
     """Take off a fence, backticks or quotes that wrap the whole reply."""
-    t = F.trim(text)
-    fenced = F.trim(F.regexp_replace(F.regexp_extract(t, r"(?s)^```(.*)```$", 1), r"^[A-Za-z0-9_-]*\n", ""))
-    ticked = F.trim(F.regexp_extract(t, r"(?s)^`([^`]*)`$", 1))
+    t = strip(text)
+    fenced = strip(F.regexp_replace(F.regexp_extract(t, r"(?s)^```(.*)```$", 1), r"^[A-Za-z0-9_-]*\n", ""))
+    ticked = strip(F.regexp_extract(t, r"(?s)^`([^`]*)`$", 1))
     t = F.when(t.rlike(r"(?s)^```.*```$") & (F.length(t) >= 6), fenced).when(t.rlike(r"(?s)^`[^`]+`$"), ticked).otherwise(t)
     for left, right in (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’")):
         t = F.regexp_replace(t, rf"(?s)^{left}\s*([^{left}{right}]*?)\s*{right}$", "$1")
@@ -196,7 +201,8 @@ def expand_cells(cells: DataFrame) -> DataFrame:
     boxed = known.select("object_id", F.least(a, b).alias("c0"), F.greatest(a, b).alias("c1"),
                          F.least(r0, r1).alias("r0"), F.greatest(r0, r1).alias("r1")).filter("r0 is not null")
     spread = boxed.select("object_id", F.explode(F.sequence("c0", "c1")).alias("c"), "r0", "r1")
-    return spread.select("object_id", "c", (F.explode(F.sequence("r0", "r1")) - 1).alias("r")).filter("r >= 0 and r < 10")
+    rows = spread.select("object_id", "c", F.explode(F.sequence("r0", "r1")).alias("row"))
+    return rows.filter("row between 1 and 10").select("object_id", "c", (F.col("row") - 1).alias("r"))
 
 
 def cells_to_bbox(cells: DataFrame, max_fraction: float = 0.5, max_span: int = 7) -> DataFrame:

@@ -283,8 +283,9 @@ def g5_parse_list(t):
     return rp.parse_list(t("part").select(F.col("p_partkey").alias("reply_id"), text.alias("text")))
 
 
-_FOUND = ("fnd AS (SELECT p_partkey, c.name, c.hex, row_number() OVER (PARTITION BY p_partkey ORDER BY regexp_extract(lower(p_name || ' tee, ' || p_type), '^(.*?)\\b' || c.name || '\\b', 1), length(c.name) DESC, position) AS rn, "
-          "length(regexp_extract(lower(p_name || ' tee, ' || p_type), '(?s)^(.*?)\\b' || c.name || '\\b', 1)) AS at, position FROM part, gc c WHERE regexp_matches(lower(p_name || ' tee, ' || p_type), '\\b' || c.name || '\\b'))")
+_FOUND = (
+    "ln AS (SELECT p_partkey, lower(p_name || ' tee, ' || p_type) AS line FROM part), fnd AS (SELECT p_partkey, c.name, c.position, "
+    "length(regexp_extract(line, '(?s)^(.*?)\\b' || c.name || '\\b', 1)) AS at FROM ln, gc c WHERE regexp_matches(line, '\\b' || c.name || '\\b'))")
 
 
 @query("j7_find_colour", f"WITH {COLOURS}, {_FOUND} SELECT p_partkey, arg_min(name, (at, -length(name), position)) AS colour FROM fnd GROUP BY p_partkey")
@@ -318,7 +319,7 @@ def u5_token_overlap(t):
     return names(t).distinct().select("name", best.alias("overlap")).filter("overlap > 0")
 
 
-@query("g6_recommendations", f"""WITH {COLOURS}, ln AS (SELECT p_partkey AS reply_id, split_part(p_name, ' ', 1) AS c FROM part), k AS (SELECT reply_id, c, hex, position FROM ln JOIN gc ON gc.name = c)
+@query("g6_recommendations", f"""WITH {COLOURS}, ln AS (SELECT p_partkey AS reply_id, split_part(p_name, ' ', 1) AS c FROM part), k AS (SELECT reply_id, coalesce(gc.name, 'black') AS c, coalesce(hex, '#111111') AS hex FROM ln LEFT JOIN gc ON gc.name = c)
  SELECT reply_id, 0 AS line_no, FALSE AS avoid, upper(c[1]) || c[2:] AS name, hex, 'crisp against black' AS reason FROM k
  UNION ALL SELECT reply_id, 1, FALSE, 'Navy', '#1F2A44', 'deep' FROM ln UNION ALL SELECT reply_id, 3, TRUE, 'Yellow', '#E6C233', NULL FROM ln UNION ALL SELECT reply_id, 4, TRUE, 'Pink', '#E39BB5', NULL FROM ln""")
 def g6_recommendations(t):
