@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterqa import dims
 from rasterqa.functions.numbers import half_even, luminance, px_to_mm
-from rasterqa.operators import compare, components as cc, geometry, kernels, masks, metrics, qa, transforms
+from rasterqa.operators import compare, components as cc, geometry, kernels, masks, metrics, objects, qa, transforms
 from rasterqa.plans import raster
 from rasterqa.plans.raster import (
     _BLACK, _BOX, _CONTENT, _DOM, _EDGE, _HALO, _PLACE, _SOBEL, _SOFT, _dist, _nb, _taps, both, rx,
@@ -527,3 +527,35 @@ def q7_qa_pairs(t):
 def a3_weighted_score(t):
     credit = F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.5)
     return t("lineitem").groupBy("l_returnflag").agg(qa.score_of(credit, F.col("l_linenumber")).alias("score"))
+
+
+@query("q9_ready_jobs", "SELECT vec_id AS pair_id FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 > 0 AND vec_id % 10 < 8")
+def q9_ready_jobs(t):
+    return objects.ready_jobs(*_drift_inputs(t)).select("pair_id")
+
+
+def _drift_inputs(t):
+    """Adjacent rasters as jobs; every third is scored already, some results are not in yet."""
+    i = F.col("pair_id")
+    jobs = pairs_of(t).filter(i < IDENTITY).withColumn("score", F.when(i % 3 == 0, 50)).withColumn(
+        "ratio", F.when(i % 4 == 0, 1.5).when(i % 4 == 2, 0.0))
+    files = t("embeddings").select(F.col("vec_id").alias("image_id")).filter("image_id % 10 <> 9")
+    return jobs, files
+
+
+@query("q9_drift_scores")
+def q9_drift_scores(t):
+    jobs, files = _drift_inputs(t)
+    return objects.drift_scores(jobs, files, rx(t), long_side=16)
+
+
+@query("q8_object_pairs")
+def q8_object_pairs(t):
+    i = F.col("pair_id")
+    spot = lambda off: F.concat(F.substring(F.lit("ABCDEFGHIJ"), ((i + off) % 5 + 1).cast("int"), 1), ((i + off) % 4 + 1).cast("string"), F.lit("-J"), ((i + off) % 3 + 7).cast("string"))
+    none = F.lit(None).cast("array<string>")
+    listed = pairs_of(t).filter(i < IDENTITY).select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("id")).select(
+        "pair_id", "id", F.concat(F.lit("object "), "id").alias("name"), F.when((i + F.col("id")) % 13 == 0, "background").otherwise("art").alias("type"),
+        F.when((i + F.col("id")) % 5 == 1, none).otherwise(F.array(spot(0))).alias("cells_1"),
+        F.when((i + F.col("id")) % 5 == 2, none).otherwise(F.array(spot(1))).alias("cells_2"))
+    return objects.object_pairs(listed, pairs_of(t), rx(t), long_side=12, halo_radii=(2,))

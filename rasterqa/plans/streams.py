@@ -14,7 +14,7 @@ from rasterqa.streaming.runner import read_stream, run_available
 
 
 def stream_of(t, name):
-    return read_stream(t.spark, f"{t.sf_dir}/{name}.parquet")
+    return read_stream(t.spark, t.sf_dir, f"{name}.parquet")
 
 
 def events_stream(t):
@@ -96,6 +96,11 @@ def st6_lockouts(t):
     return run_available(machines.lockout_stream(tries, seconds=DAY))
 
 
+_E6 = ORACLES["e6_stalls"]
+_LIMIT = _E6[_E6.index("CAST(CASE WHEN contains"):_E6.index(" AS limit_s")]
+ORACLES["st5_stalls"] = _E6.replace(
+    "ORDER BY step_no), now)", f"ORDER BY step_no), CASE WHEN (since + {_LIMIT}) * 1000 < (SELECT max(epoch_ms(ts)) - 600000 FROM events) THEN since + 100000 ELSE since END)"
+).replace("SELECT job_id, step_no, step, since, limit_s, stuck_s FROM", "SELECT job_id, step, since, limit_s FROM")
 ORACLES["st6_rate_limit"] = ORACLES["e7_rate_limit"]
 ORACLES["st6_lockouts"] = ORACLES["e8_lockouts"]
 

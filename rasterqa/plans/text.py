@@ -50,6 +50,16 @@ def s1_catalog(t):
         F.concat("path", F.lit("/f"), "page_id", F.lit("."), ext).alias("path"), F.col("size").alias("length")))
 
 
+@query("s3_dpi", "WITH p AS (SELECT p_partkey, 2000 + p_size * 397 AS ppm FROM part) SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 150 WHEN p_partkey % 3 = 0 THEN 300 ELSE CAST(round_even(ppm * 0.0254::DOUBLE, 0) AS INT) END AS dpi, p_partkey % 7 > 0 AND p_partkey % 3 > 0 AS dpi_from_file FROM p")
+def s3_dpi(t):
+    # PNG headers whose pHYs chunk carries a resolution derived from the part's size.
+    ppm = F.lpad(F.hex(F.lit(2000) + F.col("p_size") * 397), 8, "0")
+    chunk = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("00000009") , F.lit("70485973"), ppm, ppm, F.lit("01")))
+    content = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452000000080000000808060000001A2B3C4D"), chunk, F.lit("49444154")))
+    override = F.when(F.col("p_partkey") % 7 == 0, 150)
+    return catalog.with_dpi(t("part").select("p_partkey", content.alias("content")), override).select("p_partkey", "dpi", "dpi_from_file")
+
+
 @query("s4_validate", """WITH f AS (SELECT doc_id, n_chars * 2000 * CAST(doc_id % 9 > 0 AS INT) AS length, CASE doc_id % 4 WHEN 0 THEN '89504E470D0A' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '524946460000000057454250' ELSE '47494638' END AS head, n_chars * 3 AS w, doc_id + 1 AS h FROM documents)
  SELECT doc_id, CASE WHEN length = 0 THEN 'Empty image.' WHEN length > 26214400 THEN 'Image exceeds the 25 MB limit.' WHEN head = '47494638' THEN 'Unsupported or corrupt image. Use PNG, JPG or WEBP.'
  WHEN w > 12000 OR h > 12000 THEN 'Image too large (' || w || 'x' || h || 'px). Max 12000px per side.' END AS reason FROM f""")
@@ -285,10 +295,10 @@ def g5_parse_list(t):
 
 _FOUND = (
     "ln AS (SELECT p_partkey, lower(p_name || ' tee, ' || p_type) AS line FROM part), fnd AS (SELECT p_partkey, c.name, c.position, "
-    "length(regexp_extract(line, '(?s)^(.*?)\\b' || c.name || '\\b', 1)) AS at FROM ln, gc c WHERE regexp_matches(line, '\\b' || c.name || '\\b'))")
+    "length(regexp_extract(line, '(?s)^(.*?)\\b' || c.name || '\\b', 1)) AS at_ FROM ln, gc c WHERE regexp_matches(line, '\\b' || c.name || '\\b'))")
 
 
-@query("j7_find_colour", f"WITH {COLOURS}, {_FOUND} SELECT p_partkey, arg_min(name, (at, -length(name), position)) AS colour FROM fnd GROUP BY p_partkey")
+@query("j7_find_colour", f"WITH {COLOURS}, {_FOUND} SELECT p_partkey, arg_min(name, (at_, -length(name), position)) AS colour FROM fnd GROUP BY p_partkey")
 def j7_find_colour(t):
     rows = t("part").select("p_partkey", F.concat("p_name", F.lit(" tee, "), "p_type").alias("line"))
     return rp.find_colour(rows, "line", ["p_partkey"], colours(t)).select("p_partkey", "colour")

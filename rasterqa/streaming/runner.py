@@ -30,7 +30,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Stream over a parquet file or folder with the schema it already has."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+def read_stream(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
+    """Stream over the parquet files of a folder with the schema they already have."""
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
