@@ -235,12 +235,11 @@ def frame_edges(frames: DataFrame) -> DataFrame:
 
 def detail_scores(frames: DataFrame) -> DataFrame:
     """Better of hash and structure similarity, per pair."""
-    hashed = {}
-    for side in ("o", "g"):
-        grey = frames.select("pair_id", "w", "h", "x", "y", F.col(f"grey_{side}").alias("grey"))
-        hashed[side] = phash256(grey, keys=("pair_id",)).select("pair_id", F.col("words").alias(f"{side}_words"))
-    pct = hash_similarity(F.col("o_words"), F.col("g_words"), 256)
-    both = hashed["o"].join(hashed["g"], "pair_id").select("pair_id", pct.alias("phash_pct"))
+    grey = frames.select("pair_id", "w", "h", "x", "y", F.explode(F.create_map(
+        F.lit("o"), F.col("grey_o"), F.lit("g"), F.col("grey_g"))).alias("side", "grey"))
+    hashed = phash256(grey, keys=("pair_id", "side")).groupBy("pair_id").agg(*[
+        F.max(F.when(F.col("side") == s, F.col("words"))).alias(f"{s}_words") for s in ("o", "g")])
+    both = hashed.select("pair_id", hash_similarity(F.col("o_words"), F.col("g_words"), 256).alias("phash_pct"))
     return both.join(ssim(frames), "pair_id").select(
         "pair_id", "phash_pct", (F.col("ssim") * 100).alias("ssim_pct"),
         half_even(F.round(F.greatest("phash_pct", F.col("ssim") * 100), 9)).cast("int").alias("detail_pct"))

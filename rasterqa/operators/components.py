@@ -1,36 +1,100 @@
 """Connected components of masks, as graph work on row runs.
 
-Nodes are horizontal runs of mask pixels, edges join overlapping runs of adjacent
-rows, and labels come from alternating large-star / small-star rounds (Kiveris et al.,
-"Connected Components in MapReduce and Beyond", 2014), which need O(log^2 n) rounds
-whatever the shape. Each round is two equi-joins and is checkpointed; no component,
-image or row is ever gathered in one task.
+Nodes are horizontal runs of mask pixels. Images are cut into strips of rows; a strip's
+runs are labelled where they lie (one shuffle, bounded memory), so only runs on strip
+borders are left as a graph. Its labels come from alternating large-star / small-star
+rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): O(log^2 n)
+rounds whatever the shape, each two equi-joins and checkpointed. No image is ever
+gathered in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterqa.session import cut_lineage
 
 BUCKET = 64
+STRIP = 256
 
 
 def runs(mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Maximal horizontal runs ``(keys, y, x0, x1, run_id)`` of a sparse mask."""
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    grouped = mask.select(*keys, "y", "x", (F.col("x") - F.row_number().over(row)).alias("grp"))
+    """Maximal horizontal runs ``(keys, strip, y, x0, x1, run_id)`` of a sparse mask."""
+    cut = mask.select(*keys, F.floor(F.col("y") / STRIP).cast("int").alias("strip"), "y", "x")
+    row = Window.partitionBy(*keys, "strip", "y").orderBy("x")
+    grouped = cut.repartition(*keys, "strip").withColumn("grp", F.col("x") - F.row_number().over(row))
     return (
-        grouped.groupBy(*keys, "y", "grp")
+        grouped.groupBy(*keys, "strip", "y", "grp")
         .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
         .drop("grp")
         .withColumn("run_id", F.shiftleft(F.col("y").cast("bigint"), 20) + F.col("x0"))
     )
 
 
+def _strip_labels(pdf: pd.DataFrame, unit: np.ndarray, reach: int) -> np.ndarray:
+    """Least run id of each run's component within its strip, rows in (unit, y, x0) order."""
+    y, x0, x1 = pdf["y"].to_list(), pdf["x0"].to_list(), pdf["x1"].to_list()
+    line = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (np.diff(pdf["y"]) != 0)])
+    ends = np.r_[line[1:], len(pdf)]
+    parent = list(range(len(pdf)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k in range(1, len(line)):
+        i, j, i_end, j_end = line[k - 1], line[k], ends[k - 1], ends[k]
+        if unit[i] != unit[j] or y[i] + 1 != y[j]:
+            continue
+        while i < i_end and j < j_end:
+            if x1[i] + reach < x0[j]:
+                i += 1
+            elif x1[j] + reach < x0[i]:
+                j += 1
+            else:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+                if x1[i] < x1[j]:
+                    i += 1
+                else:
+                    j += 1
+    return pdf["run_id"].to_numpy()[[root(i) for i in range(len(pdf))]]
+
+
+def _label_strips(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:
+    """Add ``local``, the strip-wise label. The input is clustered by strip; only the
+    last, unfinished strip of a batch is held back for the next one."""
+    unit_keys = [*keys, "strip"]
+
+    def label(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            if pdf.empty:
+                continue
+            new = np.r_[False, np.any([(pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1]) for k in unit_keys], axis=0)]
+            unit = np.cumsum(new)
+            done = unit < unit[-1]
+            held = pdf[~done].reset_index(drop=True)
+            if done.any():
+                part = pdf[done].reset_index(drop=True)
+                yield part.assign(local=_strip_labels(part, unit[done], reach))
+        if held is not None:
+            yield held.assign(local=_strip_labels(held, np.zeros(len(held), int), reach))
+
+    schema = T.StructType([*run.schema.fields, T.StructField("local", T.LongType())])
+    return run.sortWithinPartitions(*unit_keys, "y", "x0").mapInPandas(label, schema)
+
+
 def _touching(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:
-    """Edges ``(keys, u, v)`` with u > v between runs of adjacent rows.
+    """Edges ``(keys, u, v)`` with u > v between strip labels that touch across a border.
 
     Both sides carry the x-buckets they cover; a pair is kept only in the bucket where
     its overlap starts, so it comes out once and wide rows stay an equi-join.
@@ -38,13 +102,13 @@ def _touching(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:
     spread = lambda lo, hi: F.explode(
         F.sequence(F.floor(lo / BUCKET).cast("int"), F.floor(hi / BUCKET).cast("int"))
     )
-    upper = run.select(
-        *keys, (F.col("y") + 1).alias("y"), F.col("run_id").alias("v"),
+    upper = run.filter(F.col("y") % STRIP == STRIP - 1).select(
+        *keys, (F.col("y") + 1).alias("y"), F.col("local").alias("v"),
         F.col("x0").alias("a0"), F.col("x1").alias("a1"),
         spread(F.col("x0"), F.col("x1")).alias("bucket"),
     )
-    lower = run.select(
-        *keys, "y", F.col("run_id").alias("u"),
+    lower = run.filter((F.col("y") % STRIP == 0) & (F.col("y") > 0)).select(
+        *keys, "y", F.col("local").alias("u"),
         (F.col("x0") - reach).alias("b0"), (F.col("x1") + reach).alias("b1"),
         spread(F.col("x0") - reach, F.col("x1") + reach).alias("bucket"),
     )
@@ -86,7 +150,7 @@ def _is_star_forest(edges: DataFrame, keys: tuple[str, ...]) -> bool:
 
 def star_labels(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``(keys, u, v)``: every node with an edge, and the least node it reaches."""
-    current = edges.distinct()
+    current = edges
     while True:
         current = cut_lineage(_small_star(_large_star(current, keys), keys))
         if _is_star_forest(current, keys):
@@ -96,13 +160,15 @@ def star_labels(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def label_runs(mask: DataFrame, connectivity: int = 8,
                keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Runs of the mask with ``comp_id``, the least run id of their component."""
-    run = cut_lineage(runs(mask, keys))
     reach = 1 if connectivity == 8 else 0
-    labels = star_labels(_touching(run, keys, reach), keys)
-    labels = labels.withColumnsRenamed({"u": "run_id", "v": "low"})
-    return run.join(labels, [*keys, "run_id"], "left").withColumn(
-        "comp_id", F.coalesce("low", "run_id")
-    ).drop("low")
+    run = cut_lineage(_label_strips(runs(mask, keys), keys, reach))
+    edges = cut_lineage(_touching(run, keys, reach).distinct())
+    if edges.isEmpty():
+        return run.withColumnRenamed("local", "comp_id")
+    labels = star_labels(edges, keys).withColumnsRenamed({"u": "local", "v": "low"})
+    return run.join(labels, [*keys, "local"], "left").withColumn(
+        "comp_id", F.coalesce("low", "local")
+    ).drop("low", "local")
 
 
 def components(mask: DataFrame, connectivity: int = 8,
