@@ -25,15 +25,22 @@ SECRET_ENV_KEYS = ["APP_PASSWORD_HASH", "APP_SECRET_KEY", "AGENT_TOKEN", "PASSWO
 COOKIE_PATTERN = r"(?i)((?:set-)?cookie\s*[:=]\s*).+"
 DROP_KEYS = ["authorization", "password", "password_obf", "token", "agent_token", "secret", "api_key"]
 
+# Every pattern above needs one of these, in any case; texts without any are left alone.
+ANCHORS = ["authorization", "passw", "token", "secret", "api", "agt_", "bearer", "cookie"]
+
 ENV_PATTERNS = [rf"(?im)^(\s*{key}\s*[:=]\s*).+$" for key in SECRET_ENV_KEYS]
 
 
 def redact(col: Column, cookies: bool = True) -> Column:
     """Mask secrets, ``KEY=value`` lines of known keys, and cookies."""
     patterns = SECRET_PATTERNS + ENV_PATTERNS + ([COOKIE_PATTERN] if cookies else [])
+    low, clean = F.lower(col), col
     for pattern in patterns:
-        col = F.regexp_replace(col, pattern, "$1" + MASK.replace("$", r"\$"))
-    return col
+        clean = F.regexp_replace(clean, pattern, "$1" + MASK)
+    suspect = F.contains(low, F.lit(ANCHORS[0]))
+    for word in ANCHORS[1:]:
+        suspect = suspect | F.contains(low, F.lit(word))
+    return F.when(suspect, clean).otherwise(col)
 
 
 def drop_secret_keys(record: Column) -> Column:

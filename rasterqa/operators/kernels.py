@@ -135,13 +135,15 @@ def level8(col: Column) -> Column:
     return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), col))).cast("double")
 
 
-def distance_to(pixels: DataFrame, targets: dict[str, str], keys: Keys = IMAGE) -> DataFrame:
+def distance_to(pixels: DataFrame, targets: dict[str, str], keys: Keys = IMAGE,
+                only: str | None = None) -> DataFrame:
     """Exact Euclidean distance to the nearest pixel of each set (NULL if it is empty).
 
     ``targets`` maps an output column to a boolean column. Row pass: nearest member in
     the row, from the last one before and the first one after. Column pass: the least
     of ``dy^2 + d^2`` down the column, searched only ``d`` rows up and down, since no
-    nearer answer can lie further off than the one in the pixel's own row.
+    nearer answer can lie further off than the one in the pixel's own row. With ``only``,
+    a boolean column, distances are worked out and returned for its pixels alone.
     """
     back = _along_x(keys).rowsBetween(Window.unboundedPreceding, 0)
     ahead = _along_x(keys).rowsBetween(0, Window.unboundedFollowing)
@@ -174,8 +176,9 @@ def distance_to(pixels: DataFrame, targets: dict[str, str], keys: Keys = IMAGE)
         return search
 
     outs = {o: nearest(o) for o in targets}
+    asked = F.filter("cells", lambda c: c[only]) if only else F.col("cells")
     cells = F.transform(
-        "cells",
+        asked,
         lambda c: F.struct(
             c["y"].alias("y"), *[c[k].alias(k) for k in others],
             *[fn(c).alias(o) for o, fn in outs.items()],
@@ -287,14 +290,18 @@ def soft_edge_pct(pixels: DataFrame, level: str = "a",
         (F.col(level) <= lo).alias("is_clear"), (F.col(level) >= hi).alias("is_opaque"),
     )
     edged = morph(flagged, {"eroded": ("inside", CROSS, "min")})
-    far = distance_to(edged, {"d_clear": "is_clear", "d_opaque": "is_opaque"})
-    usable = (F.col("inside") == 1) & (F.col("eroded") == 0) & (F.col("d_opaque") <= 16)
+    boundary = (F.col("inside") == 1) & (F.col("eroded") == 0)
+    edged = edged.select("image_id", "x", "y", "is_clear", "is_opaque", boundary.alias("boundary"))
+    far = distance_to(edged, {"d_clear": "is_clear", "d_opaque": "is_opaque"}, only="boundary")
+    usable = F.col("d_opaque") <= 16
     soft = usable & (
         F.col("d_clear").isNull() | (F.col("d_clear") + F.col("d_opaque") - 1 > dims.EDGE_SOFT_PX)
     )
-    agg = far.groupBy("image_id").agg(
+    counted = far.groupBy("image_id").agg(
         count_where(usable).alias("boundary_px"), count_where(soft).alias("soft_px")
     )
+    every = pixels.select("image_id").distinct().join(counted, "image_id", "left")
+    agg = every.select("image_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("boundary_px", "soft_px")])
     return agg.withColumn(
         "soft_edge_pct",
         F.when(F.col("boundary_px") == 0, 0.0).otherwise(F.col("soft_px") * 100.0 / F.col("boundary_px")),
@@ -335,9 +342,8 @@ def gradient_share() -> Column:
 def min_line_width(pixels: DataFrame) -> DataFrame:
     """Twice the 5th percentile of the distance from content to non-content."""
     flagged = pixels.withColumn("outside", ~F.col("content"))
-    far = distance_to(flagged.select("image_id", "w", "h", "x", "y", "content", "outside"),
-                      {"d": "outside"})
-    return far.filter("content").groupBy("image_id").agg(
+    far = distance_to(flagged.select("image_id", "x", "y", "content", "outside"), {"d": "outside"}, only="content")
+    return far.groupBy("image_id").agg(
         (F.percentile("d", 0.05) * 2).alias("min_line_px")
     )
 
@@ -400,7 +406,7 @@ def min_stroke(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI,
     inside = pixels.withColumn("inside", F.when(F.col("content"), 255).otherwise(0))
     copy = shrink(inside, ["inside"], side).withColumn("content", F.rint("inside") > 127)
     mask = stroke_mask(copy, dpi, pixels).withColumn("outside", ~F.col("stroke"))
-    far = distance_to(mask, {"d": "outside"}).withColumn(
+    far = distance_to(mask, {"d": "outside"}).drop("outside").withColumn(
         "d", F.when(F.col("stroke"), F.coalesce("d", F.greatest("w", "h").cast("double"))).otherwise(0.0)
     )
     ridge = morph(far, {"peak": ("d", box(1), "max")}).withColumn(
@@ -408,11 +414,11 @@ def min_stroke(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI,
     )
     top = ridge.groupBy("image_id").agg(F.max("d").alias("dmax")).filter("dmax > 0")
     levels = top.select("image_id", F.explode(radius_levels(F.col("dmax"))).alias("level"))
-    by_level = ridge.select("image_id", "w", "h", "x", "y", "d", "skeleton").join(levels, "image_id")
-    seeds = by_level.withColumn("seed", F.col("d") >= F.col("level") - 1e-3)
-    reach = distance_to(seeds, {"to_seed": "seed"}, keys=("image_id", "level"))
+    by_level = ridge.select("image_id", "x", "y", "d", "skeleton").join(levels, "image_id")
+    seeds = by_level.select("image_id", "level", "x", "y", "skeleton", (F.col("d") >= F.col("level") - 1e-3).alias("seed"))
+    reach = distance_to(seeds, {"to_seed": "seed"}, keys=("image_id", "level"), only="skeleton")
     thick = (
-        reach.filter("skeleton").filter(F.col("to_seed") <= F.col("level") + 0.5)
+        reach.filter(F.col("to_seed") <= F.col("level") + 0.5)
         .groupBy("image_id", "x", "y").agg(F.max("level").alias("thick"))
     )
     thin = thick.groupBy("image_id").agg(F.percentile(2 * F.col("thick") - 1, 0.05).alias("thin"))
