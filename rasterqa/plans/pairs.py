@@ -320,12 +320,12 @@ _BEFORE = (
 
 
 @query("c18_before_block", f"""WITH RECURSIVE {RX}, {MASK_GEOMETRY}, {_BOX}, {_BEFORE}, {_CONTENT}, {reach('content_px', 8)}, {component_stats()},
- ob AS (SELECT image_id, count(*) FILTER (area >= 50) AS n FROM cs GROUP BY image_id), al AS (SELECT image_id, bool_or(a < 255) AS al FROM px GROUP BY image_id)
+ ob AS (SELECT image_id, count(*) FILTER (area >= 50) AS n FROM cs GROUP BY image_id), alp AS (SELECT image_id, bool_or(a < 255) AS al FROM px GROUP BY image_id)
  SELECT CAST(image_id AS VARCHAR) AS artwork_id, al AS source_has_alpha, CASE WHEN al THEN 'Transparent' END AS source_background_type, bx AS source_bbox_x, b_y AS source_bbox_y,
  round_even((bx + bw / 2.0) * 100.0 / w, 2) AS source_center_x_pct, mode AS reconstruction_mode, 'Navy' AS garment_color, width_in AS target_print_width_in,
  round_even(width_in * bh / bw, 2) AS target_print_height_in, CAST(round_even(width_in * bh / bw * 300, 0) AS BIGINT) AS target_height_px, mode <> 'EXACT_RECONSTRUCTION' AS crop_allowed,
  mode = 'EXACT_RECONSTRUCTION' AS text_must_match_exactly, bgreq AS background_requirement, CAST(coalesce(n, CASE WHEN al THEN 0 END) AS BIGINT) AS object_count
- FROM bf JOIN al USING (image_id) LEFT JOIN ob USING (image_id)""")
+ FROM bf JOIN alp USING (image_id) LEFT JOIN ob USING (image_id)""")
 def c18_before_block(t):
     out = geometry.measure_before(rx(t), inputs_of(t))
     return out.select(
@@ -461,11 +461,11 @@ ORACLES["n11_min_stroke"] = exact_rounding(
 
 _QA_M = ", ".join([
     RX, MASK_QA, _BOX, _CONTENT, reach("content_px", 8), component_stats(), stroke_sql(), _HALO, _SOFT, _SOBEL,
-    _BLACK, _DOM.format(s=32),
-    "pal AS (SELECT image_id, count(*) AS colours FROM dr GROUP BY image_id)",
+    _BLACK, _DOM.format(s=32).replace("dc AS", "dmc AS").replace("dr AS", "dmr AS").replace("FROM dc", "FROM dmc"),
+    "pal AS (SELECT image_id, count(*) AS colours FROM dmr GROUP BY image_id)",
     "gp AS (SELECT image_id, coalesce(avg(CAST(mag > 3 AND mag < 25 AS INT)) FILTER (content) * 100.0, 0.0) AS grad FROM cm JOIN sob USING (image_id, x, y) GROUP BY image_id)",
-    "pc AS (SELECT image_id, avg(CAST(a = 0 AS INT)) * 100.0 AS clear_pct, avg(CAST(a BETWEEN 10 AND 245 AS INT)) * 100.0 AS semi, bool_or(a < 250) AS al FROM px GROUP BY image_id)",
-    "qm AS MATERIALIZED (SELECT image_id, clear_pct, semi, al, CASE WHEN al THEN CASE WHEN ring_px = 0 THEN 0.0 ELSE pale_px * 100.0 / ring_px END END AS halo, "
+    "pc AS (SELECT image_id, avg(CAST(a = 0 AS INT)) * 100.0 AS clear_pct, avg(CAST(a BETWEEN 10 AND 245 AS INT)) * 100.0 AS semi_v, bool_or(a < 250) AS al FROM px GROUP BY image_id)",
+    "qm AS MATERIALIZED (SELECT image_id, clear_pct, semi_v, al, CASE WHEN al THEN CASE WHEN ring_px = 0 THEN 0.0 ELSE pale_px * 100.0 / ring_px END END AS halo, "
     "CASE WHEN boundary_px = 0 THEN 0.0 ELSE soft_px * 100.0 / boundary_px END AS soft, coalesce(colours, 0) AS colours, CASE WHEN dark >= 2 THEN lvl END AS black, "
     "coalesce(stroke_px, 0.0) / 300 * 25.4::DOUBLE AS stroke_mm, 0.0 AS feature_mm, grad, "
     "CASE WHEN n_content = 0 THEN 100.0 ELSE least(bx, \"by\", 8 - bx - bw, 8 - \"by\" - bh) * 100.0 / 8 END AS margin, 8 / 300.0::DOUBLE AS size_in "
@@ -482,7 +482,7 @@ def _row(cid, value, digits, warn, fail, weight, high):
 _QA_ROWS = " UNION ALL ".join([
     "SELECT image_id, 'dpi' AS id, 300.0::DOUBLE AS value, 'pass' AS status, 8 AS weight FROM qm",
     "SELECT image_id, 'transparency', round_even(clear_pct, 1), CASE WHEN al THEN 'pass' ELSE 'warn' END, 2 FROM qm",
-    _row("semi_alpha", "semi", 2, 4.0, 12.0, 10, True), _row("halo", "halo", 2, 1.5, 5.0, 9, True),
+    _row("semi_alpha", "semi_v", 2, 4.0, 12.0, 10, True), _row("halo", "halo", 2, 1.5, 5.0, 9, True),
     _row("soft_edges", "soft", 1, 35.0, 60.0, 6, True), _row("colours", "colours", 0, 64, 200, 3, True),
     _row("black", "black", 1, 40.0, 70.0, 5, True), _row("min_stroke", "stroke_mm", 2, 0.8, 0.4, 10, False),
     _row("min_feature", "feature_mm", 2, 3.0, 2.0, 7, False), _row("gradients", "grad", 1, 25.0, 50.0, 4, True),
