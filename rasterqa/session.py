@@ -28,14 +28,11 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cuts that all executors share: ``spark.checkpoint.dir``.
 
-    Iterative operators call this once per round, so a lost executor re-reads the
-    round's files instead of replaying every earlier join. A private folder is made
-    only for a local session that names none.
+    A private folder is made only for a local session that names none.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,4 +41,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    Iterative operators call this once per round, so a lost executor re-reads the
+    round's files instead of replaying every earlier join.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
