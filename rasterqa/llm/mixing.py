@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterqa.llm.common import WORD
+from rasterqa.llm.common import WORD, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -13,6 +13,8 @@ MAX_REPEATS = 3
 SLOTS = 64
 #: Sizes within one band differ by a tenth at most; bands are sampled in turn.
 BAND = 1.1
+#: Steps of the offset that are tried, to meet the target of a short source.
+TRIES = 32
 
 
 def word_count(text: Column) -> Column:
@@ -44,10 +46,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     )
 
 
-def random_offset(source: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the source only."""
+def random_offset(source: Column, seed: str, shift: Column) -> Column:
+    """A number in [0, 1) from the seed and the source, moved on by ``shift`` modulo 1."""
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return drawn + shift - F.floor(drawn + shift)
+
+
+def crossings(place: Column, rate: Column, offset: Column, most: int) -> Column:
+    """Integers that the running sum crosses at the document in this place (from 1)."""
+    upto = lambda i: F.floor(i * rate + offset)
+    return F.least(upto(place) - upto(place - 1), F.lit(most))
 
 
 def with_slot(d: DataFrame) -> DataFrame:
@@ -63,8 +72,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
 
     Every document of a source expects ``target / source_size`` copies. Documents are
     lined up by size band, slot, size and id; running sums of the expected copies plus one
-    random offset per source cross ``copies`` integers at each document. Neighbours in this order have
-    like sizes, so the words taken stay within about one long document of the target.
+    random offset per source cross ``copies`` integers at each document. Neighbours in this
+    order have like sizes, so a long source meets its target closely whatever the offset.
+    For short ones the drawn offset is moved by the one of ``TRIES`` equal steps that
+    takes the words nearest to the target.
 
     The running sum is a row number inside (source, band, slot) plus the counts of the
     slots before, so a source with a third of all rows spreads over all tasks.
@@ -73,29 +84,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     that repeat an id are documents of their own; an empty table gives no rows; other
     columns ride along in ``doc``.
     """
-    d = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("source"),
-        F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size"),
-    )
-    placed = with_slot(d)
-    thin = with_slot(d.drop("doc"))
-    sized = F.col("size") > 0
-    counts = thin.groupBy("source", "band", "slot").agg(F.count(F.when(sized, 1)).alias("n"), F.sum("size").alias("words"))
+    thin = saved(with_slot(docs.select(
+        F.col(source).alias("source"), F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size"))))
+    counts = thin.groupBy("source", "band", "slot").agg(F.count(F.when(F.col("size") > 0, 1)).alias("n"), F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("band", "slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(
         F.col("source").alias("s_source"), F.col("band").alias("s_band"), F.col("slot").alias("s_slot"), "before")
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
     plan = slots.join(targets, F.col("s_source").eqNullSafe(F.col("source"))).drop("source")
-    line = Window.partitionBy("source", "band", "slot").orderBy(F.col("size") == 0, "size", "h", "id")
-    rate = F.col("target") / F.col("source_size")
-    sum_at = lambda i: F.floor(i * rate + random_offset(F.col("source"), seed))
-    place = F.col("before") + F.col("at")
-    copies = F.when(sized, F.least(sum_at(place) - sum_at(place - 1), F.lit(max_repeats))).otherwise(0)
-    return (
-        placed.withColumn("at", F.row_number().over(line))
-        .join(plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("band") == F.col("s_band")) & (F.col("slot") == F.col("s_slot")))
-        .select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
-    )
+
+    def in_line(rows: DataFrame) -> DataFrame:
+        line = Window.partitionBy("source", "band", "slot").orderBy(F.col("size") == 0, "size", "h", "id")
+        return rows.withColumn("at", F.row_number().over(line)).join(
+            plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("band") == F.col("s_band")) & (F.col("slot") == F.col("s_slot"))
+        ).withColumn("place", F.col("before") + F.col("at")).withColumn("rate", F.col("target") / F.col("source_size"))
+
+    def copies(shift: Column) -> Column:
+        n = crossings(F.col("place"), F.col("rate"), random_offset(F.col("source"), seed, shift), max_repeats)
+        return F.when(F.col("size") > 0, n).otherwise(0).cast("long")
+
+    taken = in_line(thin).groupBy("source").agg(
+        F.first("target").alias("goal"), *[F.sum(F.col("size") * copies(F.lit(t / TRIES))).alias(f"t{t}") for t in range(TRIES)])
+    miss = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{t}") - F.col("goal")).alias("miss"), F.lit(t / TRIES).alias("shift")) for t in range(TRIES)]))
+    shifts = taken.select(F.col("source").alias("d_source"), miss["shift"].alias("shift"))
+
+    whole = with_slot(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("source"),
+        F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size")))
+    return in_line(whole).join(shifts, F.col("source").eqNullSafe(F.col("d_source"))).select(
+        "doc", "size", "source_size", "target", copies(F.col("shift")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

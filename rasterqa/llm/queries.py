@@ -23,13 +23,40 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * 3.0::DOUBLE AS cap,
+    [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(lev) FROM l WHERE lev * weight <= cap) * weight, cap)) AS target,
+    CAST('0x' || substr(md5('mix:' || coalesce('=' || source, '-')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM l),
+p AS (SELECT d.*, source_size, target, u, target / source_size AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY size = 0, CAST(floor(ln(greatest(size, 1)) / ln(1.1::DOUBLE)) AS INTEGER), h % 64, size, h, doc_id) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT p.*, k, CASE WHEN size > 0 THEN least(
+      floor(place * rate + (u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE)))
+      - floor((place - 1) * rate + (u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE))), 3) ELSE 0 END AS copies
+  FROM p, range(32) r(k)),
+b AS (SELECT source, arg_min(k, abs(words - target) * 1000 + k / 1000000.0) AS k FROM (
+    SELECT source, k, any_value(target) AS target, sum(size * copies) AS words FROM c GROUP BY source, k) GROUP BY source)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * c.copies AS BIGINT) AS taken
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@query("op3_mix_sources")
+@query("op3_mix_sources", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
