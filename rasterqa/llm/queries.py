@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterqa.llm import mixing, neardup, packing, substrings, topk
+from rasterqa.llm import mixing, neardup, packing, quality, substrings, topk
 from rasterqa.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+@query("op5_quality_outliers")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(documents(spark, sf_dir))
+
+
 @query("op6_repeated_substrings")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(documents(spark, sf_dir))
