@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterqa.llm import mixing, neardup, packing, quality, substrings, topk, toxicity
+from rasterqa.llm import mixing, neardup, packing, pii, quality, secrets, substrings, topk, toxicity
 from rasterqa.llm.common import documents
+from rasterqa.llm.spans import count_kind, joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query("op3_mix_sources", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -88,6 +96,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in secrets.KINDS],
+                        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.size("live").cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_example"))
+
+
 @query("op10_top_inner_products")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
