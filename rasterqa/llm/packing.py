@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterqa.llm import words
 from rasterqa.llm.common import saved
 
 WINDOW = 4096
@@ -19,8 +25,12 @@ OPEN_WINDOWS = 16
 FAN_IN = 8
 END_ID = 2
 #: Words kept with their ids by one task; the store is emptied beyond that.
-WORD_STORE = 200_000
-SPACES = b" \t\n\x0b\x0c\r"
+WORD_STORE = 1_000_000
+LETTERS = re.compile(rb"([a-z\xc3-\xc9\x80-\xbf]+)([!-&(-/:-@[-`{-~]*)", re.DOTALL)
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others, in
+#: order, from U+0100 on.
+BYTE_LETTERS = dict(zip(
+    [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512)))
 
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -32,31 +42,68 @@ PIECE_DDL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 
 
 class WordIds:
-    """Token ids of a text, looked up word by word.
+    """Token ids of texts, looked up word by word.
 
     The vocabulary's pre-tokeniser never joins text across white space and its normaliser
     works on one character and its combining marks, so a text's ids are those of its
-    words in a row. Each distinct word is encoded once.
+    words in a row. Each distinct word is encoded once; the normaliser lower-cases, so
+    words that differ in A-Z share their ids (texts that may hold special tokens keep their case).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.split(" ") if not any(c in text for c in "\t\n\x0b\x0c\r") else text.replace("\n", " ").replace(
-            "\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > WORD_STORE:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.start, self.length, self.ids = array("q", [0]), array("q", [1]), array("I", [END_ID])
+
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of one word. Latin letters that signs may follow go straight to the merges: the
+        normaliser and the pre-tokeniser only fold the case and cut before the signs there."""
+        m = LETTERS.fullmatch(word)
+        if m is not None:
+            text, tail = m[1].decode(), m[2]
+            plain = text.isascii()
+            if not plain:
+                text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+                plain = text.isalpha() and max(text) <= "\u024f"
+                text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if plain:
+                merge = self.tokenizer.model.tokenize
+                return [t.id for t in merge(text)] + ([t.id for t in merge(tail.decode())] if tail else [])
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row, each text closed by the end id, and where each ends."""
+        texts = [t if b"<|" in t else t.lower() for t in texts]
+        h, first, end, counts = words.word_hashes(texts)
+        found, where, at = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.slot) + len(found) > WORD_STORE:
+            self.clear()
+        keys = found.tolist()
+        slots = list(map(self.slot.get, keys))
+        raw = b"\n".join(texts)
+        for i in [i for i, s in enumerate(slots) if s is None]:
+            ids = self.encode(raw[first[where[i]]:end[where[i]]])
+            slots[i] = self.slot[keys[i]] = len(self.start)
+            self.start.append(len(self.ids))
+            self.length.append(len(ids))
+            self.ids.extend(ids)
+        row = np.insert(np.array(slots, np.int64)[at], np.cumsum(counts), 0)  # slot 0: the end id
+        length = np.frombuffer(self.length, np.int64)[row]
+        upto = np.cumsum(length)
+        out = np.frombuffer(self.ids, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[row] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
+        return out.astype("<u4"), upto[np.cumsum(counts + 1) - 1]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One store per Python worker, which lives through many tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordIds(path)
 
 
 class OpenWindows:
@@ -111,7 +158,7 @@ class Rows:
 def pack_partition(path: str, size: int, open_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        ids_of, windows, out, made = WordIds(path), OpenWindows(open_windows, size), Rows(), 0
+        ids_of, windows, out, made = word_ids(path), OpenWindows(open_windows, size), Rows(), 0
 
         def close(pieces):
             nonlocal made
@@ -127,14 +174,18 @@ def pack_partition(path: str, size: int, open_windows: int):
             made += 1
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(text.as_py() or "") + np.array([END_ID], "<u4").tobytes()
-                tokens = len(ids) // 4
-                for start in range(0, tokens, size):
-                    piece = ids[4 * start:4 * (start + size)]
-                    done = windows.put((doc, start, piece, tokens), len(piece) // 4)
-                    if done:
-                        close(done)
+            docs = batch.column(0).to_pylist()
+            texts = [words.encode(t) for t in batch.column(1).to_pylist()]
+            for lo, hi in words.chunks(texts):
+                ids, ends = ids_of(texts[lo:hi])
+                at = 0
+                for doc, end in zip(docs[lo:hi], ends.tolist()):
+                    for start in range(at, end, size):
+                        piece = ids[start:min(start + size, end)].tobytes()
+                        done = windows.put((doc, start - at, piece, end - at), len(piece) // 4)
+                        if done:
+                            close(done)
+                    at = end
                 if out.weight > 4 << 20:
                     yield out.batch()
         for w, (_, pieces) in enumerate(windows.open):  # left over: their ids travel on
@@ -180,8 +231,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = WINDOW, open_windows: int
 
     Null and empty texts are a lone end id; long texts fill windows of their own; repeated rows
     are documents of their own; an empty table gives no rows; other columns are ignored.
-    The first pass is written once, so both readers see the same windows. A partition
-    holds its open windows and one text at a time.
+    The first pass is written once, so both readers see the same windows. A task
+    holds its open windows, a few megabytes of text and a bounded store of words.
     """
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = saved(thin.mapInArrow(pack_partition(tokenizer, size, open_windows), PIECE_DDL))
