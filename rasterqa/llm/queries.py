@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterqa.llm import mixing, neardup, packing, pii, quality, secrets, substrings, topk, toxicity
-from rasterqa.llm.common import documents
+from rasterqa.llm import lm, mixing, neardup, packing, pii, quality, secrets, substrings, topk, toxicity
+from rasterqa.llm.common import crc_fold, documents
 from rasterqa.llm.spans import count_kind, joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_lm_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_held_out(documents(spark, sf_dir), crc_fold(10))
+    return scored.withColumn("held_out", crc_fold(10) == 0)
+
+
 @query("op2_personal_data")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
