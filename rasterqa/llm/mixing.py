@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
         line = Window.partitionBy("source", "band", "slot").orderBy(F.col("size") == 0, "size", "h", "id")
         return rows.withColumn("at", F.row_number().over(line)).join(
             plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("band") == F.col("s_band")) & (F.col("slot") == F.col("s_slot"))
-        ).withColumn("place", F.col("before") + F.col("at")).withColumn("rate", F.col("target") / F.col("source_size"))
+        ).withColumn("place", F.col("before") + F.col("at")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
     def copies(shift: Column) -> Column:
         n = crossings(F.col("place"), F.col("rate"), random_offset(F.col("source"), seed, shift), max_repeats)
