@@ -258,8 +258,7 @@ def version_at_least(version: Column, minimum: str) -> Column:
         F.split(v, r"\."), lambda p: F.coalesce(F.regexp_replace(p, r"\D", "").try_cast("int"), F.lit(0)))
     clean = F.trim(F.coalesce(version, F.lit("")))
     have, need = parts(clean), parts(F.lit(minimum))
-    width = lambda a: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.coalesce(F.get(a, i), F.lit(-1)))
-    return (clean != "") & (clean != "unknown") & (width(have) >= width(need))
+    return (clean != "") & (clean != "unknown") & (have >= need)
 
 
 def job_number(file_name: Column, created: Column, job_id: Column) -> Column:

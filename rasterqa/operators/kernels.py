@@ -193,20 +193,18 @@ def _any(flag: Column) -> Column:
     return flag.cast("int")
 
 
-ALL_RADII = range(2, round(dims.IMAGE_MAX_SIDE / 512) + 1)
-
-
 def halo_radius() -> Column:
     """Ring width grows with the image, so an upscaled copy measures the same."""
     return F.greatest(F.lit(2), F.rint(F.greatest("w", "h") / 512.0).cast("int"))
 
 
-def halo_pct(pixels: DataFrame, radii=ALL_RADII) -> DataFrame:
+def halo_pct(pixels: DataFrame) -> DataFrame:
     """Pale, visible pixels in the ring just outside the opaque core, % of the ring.
 
-    Kernels are fixed per ring width; images are routed by a filter on their size,
-    which reaches the scan. Pass the ``radii`` at hand to skip empty branches.
+    A kernel is fixed per ring width, one for each 512 pixels of side. The widths at hand are
+    read first, so an image of any size finds its kernel.
     """
+    radii = sorted(r[0] for r in pixels.select(halo_radius()).distinct().collect()) or [2]
     flagged = (
         pixels.withColumn("core", _any(F.col("a") >= 250))
         .withColumn("lum", luminance())
@@ -358,7 +356,13 @@ def min_feature(comps: DataFrame, dpi: Column) -> DataFrame:
     return kept.groupBy("image_id").agg(F.percentile(tall, 0.1).alias("min_feature_px"))
 
 
-def stroke_mask(copy: DataFrame, dpi: int, original: DataFrame) -> DataFrame:
+def image_dpi(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI) -> DataFrame:
+    """``image_id, dpi``: the pixels' own resolution where they carry one, else ``dpi``."""
+    own = F.max("dpi") if "dpi" in pixels.columns else F.lit(None)
+    return pixels.groupBy("image_id").agg(F.coalesce(own, F.lit(dpi)).cast("double").alias("dpi"))
+
+
+def stroke_mask(copy: DataFrame, dpis: DataFrame, original: DataFrame) -> DataFrame:
     """Content without specks under half a millimetre square (kept if all are specks).
 
     ``copy`` may be a shrunken raster of ``original``; the speck size shrinks with it.
@@ -368,8 +372,8 @@ def stroke_mask(copy: DataFrame, dpi: int, original: DataFrame) -> DataFrame:
     now = copy.groupBy("image_id").agg(F.max(F.greatest("w", "h")).alias("side"))
     scale = full.join(now, "image_id").select(
         "image_id", F.least(F.lit(1.0), F.col("side") / F.col("longest")).alias("scale"))
-    side_px = F.lit(dims.STROKE_MIN_COMP_MM / 25.4 * dpi) * F.col("scale")
-    sized = cc.component_stats(labelled).join(scale, "image_id")
+    side_px = F.lit(dims.STROKE_MIN_COMP_MM / 25.4) * F.col("dpi") * F.col("scale")
+    sized = cc.component_stats(labelled).join(scale, "image_id").join(dpis, "image_id")
     big = sized.filter(F.col("area") >= F.greatest(F.lit(4.0), side_px * side_px)).select("image_id", "comp_id")
     any_big = big.select("image_id").distinct().withColumn("has_big", F.lit(True))
     kept = (
@@ -385,17 +389,17 @@ def stroke_mask(copy: DataFrame, dpi: int, original: DataFrame) -> DataFrame:
     )
 
 
-def radius_levels(dmax: Column) -> Column:
+def radius_levels(dmax: Column, side: int = dims.STROKE_LONG_SIDE) -> Column:
     """Geometric disc radii 1, 1.5, ... below ``dmax``, closed by ``dmax`` itself."""
     steps, r = [], 1.0
-    while r < dims.STROKE_LONG_SIDE:
+    while r < side:
         steps.append(r)
         r = max(r + 0.5, r * 1.3)
     ladder = F.array(*[F.lit(s) for s in steps])
     return F.concat(F.filter(ladder, lambda s: s < dmax), F.array(dmax))
 
 
-def min_stroke(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI,
+def min_stroke(pixels: DataFrame, dpis: DataFrame | None = None,
                side: int = dims.STROKE_LONG_SIDE) -> DataFrame:
     """Thinnest stroke in px: 5th percentile of 2·thickness−1 along the skeleton.
 
@@ -405,7 +409,8 @@ def min_stroke(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI,
     """
     inside = pixels.withColumn("inside", F.when(F.col("content"), 255).otherwise(0))
     copy = shrink(inside, ["inside"], side).withColumn("content", F.rint("inside") > 127)
-    mask = stroke_mask(copy, dpi, pixels).withColumn("outside", ~F.col("stroke"))
+    dpis = image_dpi(pixels) if dpis is None else dpis
+    mask = stroke_mask(copy, dpis, pixels).withColumn("outside", ~F.col("stroke"))
     far = distance_to(mask, {"d": "outside"}).drop("outside").withColumn(
         "d", F.when(F.col("stroke"), F.coalesce("d", F.greatest("w", "h").cast("double"))).otherwise(0.0)
     )
@@ -413,7 +418,7 @@ def min_stroke(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI,
         "skeleton", F.col("stroke") & (F.col("d") >= F.col("peak"))
     )
     top = ridge.groupBy("image_id").agg(F.max("d").alias("dmax")).filter("dmax > 0")
-    levels = top.select("image_id", F.explode(radius_levels(F.col("dmax"))).alias("level"))
+    levels = top.select("image_id", F.explode(radius_levels(F.col("dmax"), side)).alias("level"))
     by_level = ridge.select("image_id", "x", "y", "d", "skeleton").join(levels, "image_id")
     seeds = by_level.select("image_id", "level", "x", "y", "skeleton", (F.col("d") >= F.col("level") - 1e-3).alias("seed"))
     reach = distance_to(seeds, {"to_seed": "seed"}, keys=("image_id", "level"), only="skeleton")

@@ -154,7 +154,7 @@ def target_geometry(boxes: DataFrame, width_in: Column, dpi: Column) -> DataFram
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm unrolled as a fold; 20 steps reach past any 12,000 px side."""
+    """Euclid's algorithm as a fold; 93 steps end for any two BIGINTs (Fibonacci numbers take longest)."""
     start = F.struct(a.cast("bigint").alias("p"), b.cast("bigint").alias("q"))
 
     def step(acc, _):
@@ -164,7 +164,7 @@ def gcd(a: Column, b: Column) -> Column:
             F.when(done, F.lit(0)).otherwise(acc["p"] % acc["q"]).cast("bigint").alias("q"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, step, lambda acc: acc["p"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda acc: acc["p"])
 
 
 def ratio_info(sizes: DataFrame, w: str = "w", h: str = "h") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where, fixed, half_even, px_to_mm, share_where
 from rasterqa.operators import colour, components as cc, kernels, masks, metrics
+from rasterqa.session import cut_lineage
 
 THRESHOLD = {row[0]: row for row in dims.QA_THRESHOLDS}
 
@@ -39,13 +40,15 @@ def pixel_figures(masked: DataFrame) -> DataFrame:
     )
 
 
-def qa_measurements(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI, halo_radii=kernels.ALL_RADII) -> DataFrame:
+def qa_measurements(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI) -> DataFrame:
     """One wide row per image with every measured value behind the checks.
 
+    A ``dpi`` column of the pixels holds each file's own resolution; ``dpi`` stands in where there is none.
     Each branch ends in a per-image aggregate, so the joins below move one row per
     image however large the rasters are.
     """
-    masked = masks.content_mask(pixels, "qa")
+    masked = cut_lineage(masks.content_mask(pixels, "qa"))  # read by every branch below
+    dpis = cut_lineage(kernels.image_dpi(pixels, dpi))
     base = pixel_figures(masked)
     alpha = masked.filter("has_alpha")
     pseudo = kernels.with_pseudo_alpha(masked.filter("not has_alpha")).select(
@@ -53,12 +56,13 @@ def qa_measurements(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI, halo_radii=k
     levels = alpha.select("image_id", "w", "h", "x", "y", F.col("a").cast("double").alias("level")).unionByName(pseudo)
     comps = cc.components(masked.filter("content").select("image_id", "x", "y"), 8)
     parts = [
-        kernels.halo_pct(alpha, halo_radii).select("image_id", "halo_pct"),
+        kernels.halo_pct(alpha).select("image_id", "halo_pct"),
         kernels.soft_edge_pct(levels, "level").select("image_id", "soft_edge_pct"),
         colour.palette_profile(masked),
         metrics.black_level(masked),
-        kernels.min_stroke(masked, dpi),
-        kernels.min_feature(comps, F.lit(float(dpi))),
+        kernels.min_stroke(masked, dpis),
+        kernels.min_feature(comps.join(dpis, "image_id"), F.col("dpi")),
+        dpis,
         kernels.gradient_pct(masked),
     ]
     out = base
@@ -66,7 +70,7 @@ def qa_measurements(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI, halo_radii=k
         out = out.join(part, "image_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return out.select(
-        *base.columns, F.lit(float(dpi)).alias("dpi"), "halo_pct", zero("soft_edge_pct"),
+        *base.columns, "dpi", "halo_pct", zero("soft_edge_pct"),
         F.coalesce("colour_count", F.lit(0)).cast("double").alias("colour_count"),
         F.coalesce("top_colours", F.lit("")).alias("top_colours"), "dark_pct", "black_level",
         zero("min_stroke_px"), zero("min_feature_px"), zero("gradient_pct"),

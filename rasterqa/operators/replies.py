@@ -37,25 +37,45 @@ def parse_object_json(replies: DataFrame) -> DataFrame:
     return rows.select("reply_id", *_coerced(F.col("o"), F.col("i") + 1)).filter("name <> ''")
 
 
+def balanced_blocks(text: Column) -> Column:
+    """Outermost ``{...}`` blocks, by one fold over the text cut at its braces."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, piece):
+        opens, closes = piece == "{", piece == "}"
+        depth = acc["depth"] + opens.cast("int")
+        buf = F.when(opens & (acc["depth"] == 0), F.lit("")).otherwise(acc["buf"])
+        buf = F.when(depth > 0, F.concat(buf, piece)).otherwise(buf)
+        after = depth - closes.cast("int")
+        done = closes & (after == 0) & (buf != "")
+        return F.struct(after.alias("depth"), F.when(done, F.lit("")).otherwise(buf).alias("buf"),
+                        F.when(done, F.concat(acc["out"], F.array(buf))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.split(text, r"(?<=[{}])|(?=[{}])", -1), start, step, lambda acc: acc["out"])
+
+
 def salvage_objects(replies: DataFrame) -> DataFrame:
-    """Complete ``{...}`` objects of cut-off replies, up to three levels of nesting."""
-    flat = r"\{[^{}]*\}"
-    two = r"\{(?:[^{}]|" + flat + r")*\}"
-    three = r"\{(?:[^{}]|" + two + r")*\}"
-    blocks = F.regexp_extract_all(json_body(F.col("text")), F.lit(three), F.lit(0))
+    """Complete ``{...}`` objects of cut-off replies, nested however deep."""
+    blocks = balanced_blocks(json_body(F.col("text")))
     rows = replies.select("reply_id", F.posexplode(blocks).alias("i", "block"))
     parsed = rows.select("reply_id", "i", F.from_json("block", ONE).alias("o"))
     return parsed.select("reply_id", *_coerced(F.col("o"), F.col("i") + 1)).filter("name <> ''")
 
 
+# How list items open and what is left out of a readable name; fixed patterns.
 ITEM = r"^\s*(?:\d+\s*[.)\-:]|[-*•–])\s*(.+?)\s*$"
 
 
 def _undecorate(item: Column) -> Column:
     """Peel matching emphasis marks, then quotes that wrap the whole item."""
-    for _ in range(4):
+    def peel(text: Column) -> Column:
         for mark in (r"\*\*", "__", r"\*", "_", "`"):
-            item = F.regexp_replace(item, rf"^{mark}\s*(.+?)\s*{mark}$", "$1")
+            text = F.regexp_replace(text, rf"^{mark}\s*(.+?)\s*{mark}$", "$1")
+        return text
+
+    # every round that changes something takes a leading mark, so their number bounds the rounds
+    rounds = F.length(F.regexp_extract(item, r"^[*_`\s]*", 0))
+    item = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), item, lambda acc, _: peel(acc))).otherwise(item)
     for left, right in (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’")):
         inner = f"[^{left}]*"
         item = F.regexp_replace(item, rf"^{left}\s*({inner}?)\s*{right}$", "$1")

@@ -68,7 +68,7 @@ def edited(submitted: DataFrame, served: DataFrame) -> DataFrame:
 
 def dynamic_ops(managed: DataFrame) -> DataFrame:
     """Published one-step operations: a safe key under the prefix, no placeholder in it."""
-    suffix = F.substring("key", len(dims.DYNAMIC_PREFIX) + 1, 1000)
+    suffix = F.substr("key", F.lit(len(dims.DYNAMIC_PREFIX) + 1))
     ok = F.col("key").startswith(dims.DYNAMIC_PREFIX) & suffix.rlike("^[A-Z0-9_]{1,80}$") & (
         F.trim("text") != "") & ~F.col("text").rlike(MANAGED_VAR)
     return managed.filter(ok).select(F.concat(F.lit(dims.DYNAMIC_OP_PREFIX), F.lower(suffix)).alias("op_key"), "key", "text")
@@ -106,11 +106,14 @@ def templates_for_job(jobs: DataFrame, usage: DataFrame) -> DataFrame:
     return main.unionByName(tail)
 
 
-def template_regex(text: Column) -> Column:
-    """Pattern matching any text the template can produce: literals quoted, fields free."""
+def template_regex(text: Column, is_block: Column | None = None) -> Column:
+    """Pattern matching any text the template can produce: literals quoted, fields free.
+    Blocks may stand inside a text, others make up the whole of it."""
     parked = F.replace(F.replace(text, F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
     quoted = F.concat(F.lit("\\Q"), F.regexp_replace(parked, r"\{[A-Za-z0-9_]+\}", r"\\E.*?\\Q"), F.lit("\\E"))
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}")), F.lit("$"))
+    inner = F.replace(F.replace(quoted, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    whole = F.concat(F.lit("(?s)^"), inner, F.lit("$"))
+    return whole if is_block is None else F.when(is_block, F.concat(F.lit("(?s)"), inner)).otherwise(whole)
 
 
 def attribute_runs(sent: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -230,10 +230,11 @@ def halftone_cells(pixels: DataFrame, lpi: float = 40.0, angle: float = 22.5, dp
     return dots.filter(F.col("radius") >= min_radius).select("image_id", "gi", "gj", "px", "py", "radius")
 
 
-def halftone_pixels(pixels: DataFrame, dots: DataFrame, max_radius: int, shape: str = "round") -> DataFrame:
-    """Draw the dots: each dot names the pixels of its box, kept inside the radius and
+def halftone_pixels(pixels: DataFrame, dots: DataFrame, shape: str = "round") -> DataFrame:
+    """Draw the dots: each dot names the pixels of its own box, kept inside the radius and
     where the artwork covers at least half."""
-    box = F.sequence(F.lit(-max_radius), F.lit(max_radius))
+    reach = F.ceil("radius").cast("int")
+    box = F.sequence(-reach, reach)
     spots = dots.select("image_id", "radius", "px", "py", F.explode(box).alias("ox")).select(
         "*", F.explode(box).alias("oy"))
     inside = (

@@ -18,22 +18,19 @@ from rasterqa.plans.sqlparts import (
     BOTH, LUM, MASK_COMPARE, MASK_GEOMETRY, MASK_QA, RING, RX, component_stats, reach,
 )
 
-IDENTITY = 1_000_000
-
-
 def pairs_of(t):
-    """(2k, 2k+1) and every image with itself."""
+    """(2k, 2k+1) under the even id 2k, and every image i with itself under the odd id 2i+1."""
     ids = t("embeddings").select(F.col("vec_id").alias("i"))
     near = ids.filter("i % 2 = 0").select(
         F.col("i").alias("pair_id"), F.col("i").alias("original_id"), (F.col("i") + 1).alias("generated_id"))
-    same = ids.select((F.col("i") + IDENTITY).alias("pair_id"), F.col("i").alias("original_id"),
+    same = ids.select((F.col("i") * 2 + 1).alias("pair_id"), F.col("i").alias("original_id"),
                       F.col("i").alias("generated_id"))
     return near.unionByName(same)
 
 
 PAIRS = (
     "pairs AS MATERIALIZED (SELECT vec_id AS pair_id, vec_id AS original_id, vec_id + 1 AS generated_id FROM embeddings "
-    f"WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id + {IDENTITY}, vec_id, vec_id FROM embeddings)"
+    "WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id * 2 + 1, vec_id, vec_id FROM embeddings)"
 )
 GREY = f"gr AS MATERIALIZED (SELECT image_id, x, y, a, round_even({LUM}, 0) AS v FROM px)"
 
@@ -498,7 +495,7 @@ _QA_SCORE = (
 
 
 def measured(t):
-    return qa.qa_measurements(rx(t), halo_radii=(2,))
+    return qa.qa_measurements(rx(t))
 
 
 @query("q3_qa_checks", f"WITH RECURSIVE {_QA_CHECKS} SELECT * FROM qc")
@@ -537,7 +534,7 @@ def q9_ready_jobs(t):
 def _drift_inputs(t):
     """Adjacent rasters as jobs; every third is scored already, some results are not in yet."""
     i = F.col("pair_id")
-    jobs = pairs_of(t).filter(i < IDENTITY).withColumn("score", F.when(i % 3 == 0, 50)).withColumn(
+    jobs = pairs_of(t).filter(i % 2 == 0).withColumn("score", F.when(i % 3 == 0, 50)).withColumn(
         "ratio", F.when(i % 4 == 0, 1.5).when(i % 4 == 2, 0.0))
     files = t("embeddings").select(F.col("vec_id").alias("image_id")).filter("image_id % 10 <> 9")
     return jobs, files
@@ -554,8 +551,8 @@ def q8_object_pairs(t):
     i = F.col("pair_id")
     spot = lambda off: F.concat(F.substring(F.lit("ABCDEFGHIJ"), ((i + off) % 5 + 1).cast("int"), 1), ((i + off) % 4 + 1).cast("string"), F.lit("-J"), ((i + off) % 3 + 7).cast("string"))
     none = F.lit(None).cast("array<string>")
-    listed = pairs_of(t).filter(i < IDENTITY).select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("id")).select(
+    listed = pairs_of(t).filter(i % 2 == 0).select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("id")).select(
         "pair_id", "id", F.concat(F.lit("object "), "id").alias("name"), F.when((i + F.col("id")) % 13 == 0, "background").otherwise("art").alias("type"),
         F.when((i + F.col("id")) % 5 == 1, none).otherwise(F.array(spot(0))).alias("cells_1"),
         F.when((i + F.col("id")) % 5 == 2, none).otherwise(F.array(spot(1))).alias("cells_2"))
-    return objects.object_pairs(listed, pairs_of(t), rx(t), long_side=12, halo_radii=(2,))
+    return objects.object_pairs(listed, pairs_of(t), rx(t), long_side=12)

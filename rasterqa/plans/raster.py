@@ -473,7 +473,7 @@ _HALO = ", ".join([
 @query("n5_halo", f"""WITH {RX}, {_HALO} SELECT image_id, ring_px, pale_px,
  round_even(CASE WHEN ring_px = 0 THEN 0 ELSE pale_px * 100.0 / ring_px END, 4) AS halo_pct FROM halo""")
 def n5_halo(t):
-    out = kernels.halo_pct(rx(t), radii=(2,))
+    out = kernels.halo_pct(rx(t))
     return out.withColumn("halo_pct", half_even(F.col("halo_pct"), 4))
 
 
@@ -719,7 +719,7 @@ def t6_halftone_cells(t):
 @query("t6_halftone_pixels")
 def t6_halftone_pixels(t):
     px = rx(t)
-    inked = transforms.halftone_pixels(px, transforms.halftone_cells(px, lpi=40.0, dpi=100.0), 2)
+    inked = transforms.halftone_pixels(px, transforms.halftone_cells(px, lpi=40.0, dpi=100.0))
     return inked.groupBy("image_id").agg(F.count("*").alias("ink_px"))
 
 

@@ -233,9 +233,9 @@ def g20_file_meta(t):
         F.date_format(F.timestamp_millis(F.lit(T0) + F.col("page_id") * 60000), "yyyyMMdd").alias("day"))
 
 
-@query("g21_email", r"SELECT doc_id, regexp_matches(w, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS ok, lower(w) AS user_key FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE contains(w, '@') AND NOT contains(w, chr(10))")
+@query("g21_email", r"SELECT doc_id, regexp_matches(w, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS ok, lower(w) AS user_key FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE contains(w, '@')")
 def g21_email(t):
-    words = t("documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).filter(F.contains("w", F.lit("@")) & ~F.contains("w", F.lit("\n")))
+    words = t("documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).filter(F.contains("w", F.lit("@")))
     return words.select("doc_id", tx.valid_email(F.col("w")).alias("ok"), tx.user_key(F.col("w")).alias("user_key"))
 
 
@@ -482,10 +482,7 @@ def sent_texts(t):
 
 def patterns(t):
     base = dims.rows(t.spark, _PATTERNS, "name string, position int, template string")
-    whole = tp.template_regex(F.col("template"))
-    inner = F.substring(whole, 6, 1000)
-    block = F.concat(F.lit("(?s)"), F.substring(inner, 1, F.length(inner) - 1))
-    return base.select("name", "position", F.when(F.col("name") == "BLOCK", block).otherwise(whole).alias("pattern"))
+    return base.select("name", "position", tp.template_regex(F.col("template"), F.col("name") == "BLOCK").alias("pattern"))
 
 
 _SENT = "st AS MATERIALIZED (SELECT o_orderkey // 8 AS job_id, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'GREETING' WHEN 1 THEN 'PLAIN' WHEN 2 THEN 'BLOCK' END AS name, CASE o_orderkey % 4 WHEN 0 THEN 'Paint ' || o_orderpriority || ' on ' || o_orderstatus || ' please' WHEN 1 THEN 'Paint ' || o_orderpriority WHEN 2 THEN 'Note (keep ' || o_orderstatus || ') end' END AS text FROM orders)"

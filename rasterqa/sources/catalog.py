@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterqa import dims, schemas
 from rasterqa.functions.numbers import half_even
@@ -23,15 +25,67 @@ def list_images(files: DataFrame) -> DataFrame:
                        half_even(F.col("length") / 1024, 1).alias("size_kb"))
 
 
+def _facts(raw: bytes | None) -> tuple[int | None, int | None, float | None]:
+    """Width, height and dots per inch that an image file states, None where it doesn't.
+
+    PNG chunks and JPEG segments are walked by their lengths up to the picture data.
+    """
+    if not raw:
+        return None, None, None
+    number = lambda at, n: int.from_bytes(raw[at:at + n], "big")
+    little = lambda at, n: int.from_bytes(raw[at:at + n], "little")
+    width = height = dpi = None
+    if raw[:4] == b"\x89PNG":
+        at = 8
+        while at + 8 <= len(raw):
+            size, kind = number(at, 4), raw[at + 4:at + 8]
+            if kind == b"IHDR":
+                width, height = number(at + 8, 4), number(at + 12, 4)
+            elif kind == b"pHYs" and raw[at + 16:at + 17] == b"\x01" and number(at + 8, 4):
+                dpi = number(at + 8, 4) * 0.0254
+            elif kind in (b"IDAT", b"IEND"):
+                break
+            at += 12 + size
+    elif raw[:3] == b"\xff\xd8\xff":
+        at = 2
+        while at + 4 <= len(raw) and raw[at] == 0xFF:
+            mark, size = raw[at + 1], number(at + 2, 2)
+            if mark == 0xFF:  # fill byte
+                at += 1
+                continue
+            if mark == 0xE0 and raw[at + 4:at + 9] == b"JFIF\x00" and number(at + 12, 2):
+                dpi = {1: 1.0, 2: 2.54}.get(raw[at + 11], 0.0) * number(at + 12, 2) or dpi
+            elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                height, width = number(at + 5, 2), number(at + 7, 2)
+                break
+            elif mark in (0xD9, 0xDA):
+                break
+            at += 2 + size
+    elif raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+        if raw[12:16] == b"VP8X":
+            width, height = little(24, 3) + 1, little(27, 3) + 1
+        elif raw[12:16] == b"VP8L":
+            bits = little(21, 4)
+            width, height = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        elif raw[12:16] == b"VP8 ":
+            width, height = little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF
+    return width or None, height or None, dpi or None
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("dpi", T.DoubleType())]))
+def image_facts(content: pd.Series) -> pd.DataFrame:
+    facts = pd.DataFrame([_facts(c) for c in content], columns=["width", "height", "dpi"], dtype=object)
+    return facts.astype({"width": "Int64", "height": "Int64", "dpi": "Float64"})
+
+
 def with_dpi(files: DataFrame, override: Column | None = None) -> DataFrame:
-    """DPI of PNG bytes from the pHYs chunk (pixels per metre), else 300; override wins."""
-    text = F.hex(F.substring("content", 1, 4096))
-    at = F.instr(text, "70485973")
-    ppm = F.conv(F.substr(text, at + 8, F.lit(8)), 16, 10).cast("double")
-    unit = F.substr(text, at + 24, F.lit(2))
-    found = F.when((at > 0) & (unit == "01") & (ppm > 0), F.rint(ppm * 0.0254).cast("int"))
+    """DPI that PNG and JPEG files state, else 300; an override wins."""
+    read = files.withColumn("_facts", image_facts("content"))
+    stated = F.rint(F.col("_facts.dpi")).cast("int")
+    found = F.when(stated > 0, stated)
     given = F.lit(None).cast("int") if override is None else F.when(override > 0, override.cast("int"))
-    return files.withColumn("dpi", F.coalesce(given, found, F.lit(dims.DEFAULT_DPI))).withColumn("dpi_from_file", given.isNull() & found.isNotNull())
+    return read.withColumn("dpi", F.coalesce(given, found, F.lit(dims.DEFAULT_DPI))).withColumn(
+        "dpi_from_file", given.isNull() & found.isNotNull()).drop("_facts")
 
 
 def reject_reason(length: Column, head: Column, width: Column, height: Column) -> Column:
@@ -47,12 +101,11 @@ def reject_reason(length: Column, head: Column, width: Column, height: Column) -
 
 
 def validate_images(files: DataFrame) -> DataFrame:
-    """Add ``width``, ``height`` (PNG header) and ``reason`` to ``(path, length, content)``."""
+    """Add ``width``, ``height`` (PNG, JPEG, WEBP) and ``reason`` to ``(path, length, content)``."""
     head = F.hex(F.substring("content", 1, 32))
-    word = lambda pos: F.conv(F.substring(head, pos, 8), 16, 10).cast("bigint")
-    is_png = head.startswith("89504E47")
-    w, h = F.when(is_png, word(33)), F.when(is_png, word(41))
-    return files.select("*", w.alias("width"), h.alias("height"), reject_reason(F.col("length"), head, w, h).alias("reason"))
+    w, h = F.col("_facts.width"), F.col("_facts.height")
+    read = files.withColumn("_facts", image_facts("content"))
+    return read.select(*files.columns, w.alias("width"), h.alias("height"), reject_reason(F.col("length"), head, w, h).alias("reason"))
 
 
 def read_base64(payloads: DataFrame) -> DataFrame:

@@ -80,3 +80,13 @@ def read_pixels(spark, path: str) -> DataFrame:
         _decode_strips,
         "image_id string, w int, h int, x int, y int, r int, g int, b int, a int",
     )
+
+
+def accepted(pixels: DataFrame, files: DataFrame) -> DataFrame:
+    """Pixels of the files that pass, with each file's ``dpi``.
+
+    ``files(path, reason, dpi)``: one row per image from ``validate_images`` and ``with_dpi``,
+    ``path`` as the pixels' ``image_id``.
+    """
+    good = files.filter("reason is null").select(F.col("path").alias("image_id"), "dpi")
+    return pixels.join(good, "image_id")
