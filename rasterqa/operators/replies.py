@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +92,17 @@ def parse_list(replies: DataFrame) -> DataFrame:
 
 
 def find_colour(df: DataFrame, text: str, keys: list[str], colours: DataFrame) -> DataFrame:
-    """Known colour name found earliest in the text, the longest at that spot.
+    """Known colour name found earliest in the text of each row (``keys``), the longest at that spot.
 
-    The 46 names are broadcast and each row yields at most 46 candidates.
+    ``colours(name, hex, position)`` is a fixed list of a few dozen names: one alternation,
+    longest name first, reads a text once. Rows without a name are left out.
     """
-    low = F.lower(F.col(text))
-    hits = df.crossJoin(F.broadcast(colours.select(F.col("name").alias("colour"), "hex", "position"))).withColumn(
-        "at", F.regexp_instr(low, F.concat(F.lit(r"\b"), F.col("colour"), F.lit(r"\b")))).filter("at > 0")
-    return first_match(hits, keys, [F.col("at"), F.desc(F.length("colour")), F.col("position")])
+    names = sorted({r.name for r in colours.select("name").collect()}, key=lambda n: (-len(n), n))
+    known = r"\b(" + "|".join(re.escape(n) for n in names) + r")\b"
+    first = F.regexp_extract(F.lower(F.col(text)), known, 1)
+    one = colours.groupBy(F.col("name").alias("colour")).agg(F.min(F.struct("position", "hex")).alias("c"))
+    return df.withColumn("colour", first).filter("colour <> ''").join(F.broadcast(one), "colour").select(
+        *df.columns, "colour", F.col("c.hex").alias("hex"))
 
 
 def garment_hex(names: DataFrame, colours: DataFrame) -> DataFrame:

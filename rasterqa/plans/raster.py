@@ -716,7 +716,14 @@ def t6_halftone_cells(t):
     return dots.groupBy("image_id").agg(F.count("*").alias("dots"), half_even(F.sum("radius"), 4).alias("radius_sum"))
 
 
-@query("t6_halftone_pixels")
+@query("t6_halftone_pixels", f"""WITH {RX}, par AS (SELECT radians(22.5) AS th, 2.5::DOUBLE AS cell),
+ gr AS (SELECT i AS gi, j AS gj, CAST(round_even(4 + i * cell * cos(th) - j * cell * sin(th), 0) AS INT) AS px,
+ CAST(round_even(4 + i * cell * sin(th) + j * cell * cos(th), 0) AS INT) AS py FROM par, range(-8, 9) a(i), range(-8, 9) b(j)),
+ ce AS (SELECT image_id, gi, gj, gr.px, gr.py, avg(a / 255.0) AS cov, sum(a / 255.0) AS sc, sum((1 - {LUM} / 255.0) * a / 255.0) AS si
+ FROM px JOIN gr ON gr.px >= 0 AND gr.px < 8 AND gr.py >= 0 AND gr.py < 8 AND abs(x - gr.px) <= 2 AND abs(y - gr.py) <= 2 GROUP BY ALL),
+ ra AS (SELECT image_id, px AS dx, py AS dy, sqrt(greatest(0, least(1, si / greatest(sc, 1e-6)))) * 1.25 AS radius FROM ce WHERE cov >= 0.5)
+ SELECT image_id, count(*) AS ink_px FROM px p WHERE a / 255.0 >= 0.5 AND EXISTS (
+ SELECT 1 FROM ra WHERE ra.image_id = p.image_id AND radius >= 0.6 AND (x - dx) * (x - dx) + (y - dy) * (y - dy) <= radius * radius) GROUP BY image_id""")
 def t6_halftone_pixels(t):
     px = rx(t)
     inked = transforms.halftone_pixels(px, transforms.halftone_cells(px, lpi=40.0, dpi=100.0))
