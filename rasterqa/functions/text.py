@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,15 @@ ANCHORS = ["authorization", "passw", "token", "secret", "api", "agt_", "bearer",
 ENV_PATTERNS = [rf"(?im)^(\s*{key}\s*[:=]\s*).+$" for key in SECRET_ENV_KEYS]
 
 
-def redact(col: Column, cookies: bool = True) -> Column:
-    """Mask secrets, ``KEY=value`` lines of known keys, and cookies."""
-    patterns = SECRET_PATTERNS + ENV_PATTERNS + ([COOKIE_PATTERN] if cookies else [])
+def redact(col: Column, cookies: bool = True, keys: tuple[str, ...] = ()) -> Column:
+    """Mask secrets, ``KEY=value`` lines of known keys and of your own ``keys``, and cookies."""
+    own = [rf"(?im)^(\s*{re.escape(key)}\s*[:=]\s*).+$" for key in keys]
+    patterns = SECRET_PATTERNS + ENV_PATTERNS + own + ([COOKIE_PATTERN] if cookies else [])
     low, clean = F.lower(col), col
     for pattern in patterns:
         clean = F.regexp_replace(clean, pattern, "$1" + MASK)
     suspect = F.contains(low, F.lit(ANCHORS[0]))
-    for word in ANCHORS[1:]:
+    for word in [*ANCHORS[1:], *(k.lower() for k in keys)]:
         suspect = suspect | F.contains(low, F.lit(word))
     return F.when(suspect, clean).otherwise(col)
 

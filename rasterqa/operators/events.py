@@ -246,10 +246,9 @@ def job_heartbeats(jobs: DataFrame, heartbeats: DataFrame, slot: int) -> DataFra
 
 def pause_transitions(steps: DataFrame) -> DataFrame:
     """Pauses that take effect ``(job_id, seq, stage, kind)``: a stage already answered is ignored."""
-    before = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    answered = F.collect_set(F.when(F.col("kind") == "answer", F.col("stage"))).over(before)
-    return steps.withColumn("answered", answered).filter("kind = 'pause'").select(
-        "job_id", "seq", "stage", (~F.array_contains("answered", F.col("stage"))).alias("paused"))
+    first = steps.filter("kind = 'answer'").groupBy("job_id", "stage").agg(F.min("seq").alias("first_answer"))
+    return steps.filter("kind = 'pause'").join(first, ["job_id", "stage"], "left").select(
+        "job_id", "seq", "stage", F.coalesce(F.col("first_answer") > F.col("seq"), F.lit(True)).alias("paused"))
 
 
 def version_at_least(version: Column, minimum: str) -> Column:

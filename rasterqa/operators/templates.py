@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterqa import dims
@@ -127,13 +127,23 @@ def attribute_runs(sent: DataFrame, patterns: DataFrame) -> DataFrame:
     return best.select("job_id", "seq", F.col("s.name").alias("name"))
 
 
+#: Between the sent texts of a run, and the length at which its log is cut.
+RUN_GAP = "\n\n----- next send -----\n\n"
+RUN_LENGTH = 200_000
+
+
 def prompt_runs(attributed: DataFrame, sent: DataFrame, jobs: DataFrame) -> DataFrame:
     """Run log: one row per job and template with the exact texts sent, joined in order."""
     status = F.create_map(*[F.lit(v) for kv in dims.RUN_STATUS.items() for v in kv])
-    texts = attributed.join(sent, ["job_id", "seq"]).groupBy("job_id", "name").agg(
+    # what lies beyond the log's length is never gathered
+    line = Window.partitionBy("job_id", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    runs = attributed.join(sent, ["job_id", "seq"])
+    placed = runs.withColumn("at", F.coalesce(F.sum(F.length("text") + len(RUN_GAP)).over(line), F.lit(0)))
+    placed = placed.withColumn("text", F.when(F.col("at") < RUN_LENGTH, F.col("text")))
+    texts = placed.groupBy("job_id", "name").agg(
         F.count("*").alias("times_sent"),
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]),
-                                 "\n\n----- next send -----\n\n"), 1, 200000).alias("resolved"))
+        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text")))), lambda s: s["text"]),
+                                 RUN_GAP), 1, RUN_LENGTH).alias("resolved"))
     return texts.join(jobs, "job_id").filter(F.col("status").isin(dims.TERMINAL_STATUSES)).select(
         "job_id", "name", "times_sent", "resolved", status[F.col("status")].alias("run_status"), "latency_ms",
         F.substring("error", 1, 5000).alias("error"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterqa.functions.text import customer_folder, display_name, is_sent_file
 
 RECENT_MAX = 250
 FOLDER_MAX = 800
+#: Ticks ranked by one task; half a week of them, one every four seconds.
+TICK_SLOT = 1 << 16
 
 
 def changed_entries(ticks: DataFrame) -> DataFrame:
@@ -26,16 +28,17 @@ def changed_entries(ticks: DataFrame) -> DataFrame:
 def change_items(changed: DataFrame, root: str) -> DataFrame:
     """Published items: customer, folder, revision; the first tick is history, not new.
 
-    Revisions count ticks that published anything, so they are ranked over the (small)
-    table of distinct ticks rather than over the changes.
+    Revisions count ticks that published anything. They are ranked inside slots of ticks, on top
+    of what the earlier slots hold, so only one row per slot passes through one task.
     """
-    from pyspark.sql import Window
-
-    ticks = changed.select("tick").distinct()
-    ranked = ticks.withColumn("revision", F.row_number().over(Window.orderBy("tick")))
+    ticks = changed.select("tick").distinct().withColumn("slot", F.floor(F.col("tick") / TICK_SLOT))
+    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = ticks.groupBy("slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranked = ticks.withColumn("at", F.row_number().over(Window.partitionBy("slot").orderBy("tick"))).join(slots, "slot").select(
+        "tick", (F.col("before") + F.col("at")).cast("int").alias("revision"))
     customer = customer_folder(F.col("path"), root)
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(root)
-    return changed.join(F.broadcast(ranked), "tick").select(
+    return changed.join(ranked, "tick").select(
         "*", customer.alias("customer"), display_name(customer).alias("customer_label"), folder.alias("folder"),
         (F.col("tick") > 0).alias("is_new"), is_sent_file(F.col("path")).alias("sent"))
 
