@@ -77,11 +77,10 @@ def test_lm_passes_agree_and_gain_from_context(docs):
 def test_lm_counts_come_back(spark):
     text = " ".join(["p q r"] * 40 + ["s t"] * 3 + ["once more"])
     model = lm.train(spark.createDataFrame([(text,)], "text string"))
-    sent = lm.sent_parts(model, model.groups[0]).value
-    parts = lm.Parts(list(zip(*sent)), model.parts)
+    parts = lm.sent_parts(model, model.groups[0]).value
     tokens, counts = lm.token_hashes([text.encode()])
     level = parts.level(lm.ngrams(tokens, counts, 2), 2)
-    assert level[1] == lm.level_of(np.array([40]))[0] and level[121] == lm.level_of(np.array([3]))[0]
+    assert level[1] == lm.level_of(np.array([40]), 2)[0] and level[121] == lm.level_of(np.array([3]), 2)[0]
     assert model.tokens == len(text.split()) + 1 and model.vocabulary == len(set(text.split())) + 1
 
 
