@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterqa.functions.text import redact
-from rasterqa.streaming.runner import shared_folder
+from rasterqa.functions.text import drop_secret_keys, redact
+from rasterqa.streaming.runner import new_folder
 
 
 def clean_entries(entries: DataFrame) -> DataFrame:
-    """Free-text fields redacted; the stored copy never holds the raw text."""
-    fields = [c for c in ("message", "traceback", "step", "detail") if c in entries.columns]
-    return entries.withColumns({c: redact(F.col(c)) for c in fields})
+    """Free-text fields redacted, secret keys of maps dropped; the stored copy never holds the raw text."""
+    kinds = dict(entries.dtypes)
+    fields = [c for c in ("message", "traceback", "step", "detail") if kinds.get(c) == "string"]
+    maps = [c for c, kind in kinds.items() if kind.startswith("map<string,")]
+    return entries.withColumns({**{c: redact(F.col(c)) for c in fields}, **{c: drop_secret_keys(F.col(c)) for c in maps}})
 
 
-def deliver(entries: DataFrame) -> DataFrame:
-    """At-least-once source, idempotent sink: a repeated batch overwrites its own folder."""
+def deliver(entries: DataFrame, folder: str | None = None) -> DataFrame:
+    """At-least-once source, idempotent sink: a repeated batch overwrites its own folder.
+
+    Batches go out in order and a failing one ends the run; the next run with the same ``folder``
+    starts there.
+    """
     spark = entries.sparkSession
-    base = shared_folder(spark)
+    base = (folder or new_folder(spark)).rstrip("/")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         clean_entries(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")

@@ -22,20 +22,23 @@ def _in_order(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 def change_stream(ticks: DataFrame) -> DataFrame:
-    """Entries whose etag differs from the last one seen for their path."""
+    """Entries whose etag differs from the last one seen for their path. Rows of ticks that
+    are over for the path come too late and are left out."""
 
     def step(key, pdfs, state: GroupState):
-        last = state.get[0] if state.exists else None
+        last, seen = state.get if state.exists else (None, None)
         rows = []
         for tick, etag, ms in _in_order(pdfs, ["tick"])[["tick", "etag", "modified_ms"]].itertuples(index=False):
+            if seen is not None and tick <= seen:
+                continue
             if etag != last:
                 rows.append((key[0], tick, etag, ms))
-                last = etag
-        state.update((last,))
+            last, seen = etag, tick
+        state.update((last, seen))
         yield pd.DataFrame(rows, columns=["path", "tick", "etag", "modified_ms"])
 
     return ticks.groupBy("path").applyInPandasWithState(
-        step, "path string, tick bigint, etag string, modified_ms bigint", "etag string", "append", NO_TIMEOUT)
+        step, "path string, tick bigint, etag string, modified_ms bigint", "etag string, tick bigint", "append", NO_TIMEOUT)
 
 
 def presence_stream(heartbeats: DataFrame, limit_s: int = dims.ONLINE_WINDOW_S) -> DataFrame:

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterqa.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where stream outputs and checkpoints live: the cluster's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder for one run's outputs and checkpoint, in the cluster's shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available once, exactly-once into parquet, and read it back."""
+
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Process everything available once, exactly-once into parquet, and read it back.
+
+    A run with the same ``folder`` resumes: its checkpoint knows what was read and what state was kept.
+    """
     spark = stream.sparkSession
-    base = shared_folder(spark)
+    base = (folder or new_folder(spark)).rstrip("/")
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start(f"{base}/out")
@@ -30,7 +29,9 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
-    """Stream over the parquet files of a folder with the schema they already have."""
+def read_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", max_files: int | None = None) -> DataFrame:
+    """Stream over the parquet files of a folder with the schema they already have, at most
+    ``max_files`` in a micro-batch."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
