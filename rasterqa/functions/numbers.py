@@ -39,10 +39,6 @@ def _exact_round(x: Column, power: int) -> Column:
     return whole / float(power) + 0.0
 
 
-def to_int(col: Column) -> Column:
-    return F.rint(col).cast("bigint")
-
-
 def px_to_mm(px: Column, dpi: Column) -> Column:
     return F.when(dpi > 0, px / dpi * 25.4).otherwise(F.lit(0.0))
 

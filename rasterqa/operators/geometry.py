@@ -26,9 +26,6 @@ def status_low(value: Column, warn: float, fail: float) -> Column:
     return F.when(value.isNull(), "N/A").when(value < fail, "FAIL").when(value < warn, "WARN").otherwise("PASS")
 
 
-RANK = {"PASS": 0, "WARN": 1, "FAIL": 2}
-
-
 def worst_status(*statuses: Column) -> Column:
     """Worst of the real statuses; N/A only if none is real."""
     rank = lambda s: F.when(s == "FAIL", 2).when(s == "WARN", 1).when(s == "PASS", 0)
