@@ -198,9 +198,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
     different classes is missed.
 
     Null or empty texts have an empty set and are linked with nothing; fewer words than ``size``
-    are one shingle of their own kind; repeated rows of one id are one document (the set of its
-    first row counts for links); a null id is its own document without links; an empty table gives no rows;
-    other columns are ignored.
+    are one shingle of their own kind; repeated rows of one id are one document and each get its result
+    (ids are taken to name one text); a null id is its own document without links; an empty table gives
+    no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
