@@ -90,7 +90,8 @@ def mask_of(spark, w, h, boxes):
 
 
 def test_stroke_width(spark):
-    stroke = lambda boxes: kernels.min_stroke(mask_of(spark, 60, 50, boxes), dpi=100).first().min_stroke_px
+    at_100 = lambda mask: kernels.min_stroke(mask, kernels.image_dpi(mask, 100))
+    stroke = lambda boxes: at_100(mask_of(spark, 60, 50, boxes)).first().min_stroke_px
     assert 10 <= stroke([(5, 10, 50, 12)]) <= 14
     assert 10 <= stroke([(5, 10, 50, 12), (2, 40, 1, 1)]) <= 14  # a speck is ignored
     assert stroke([(10, 5, 40, 40)]) > 30
