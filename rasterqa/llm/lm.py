@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,17 @@ from rasterqa.llm.common import partitions, saved
 ORDER = 3
 #: N-grams of two words or more are kept from this count on; below it the smoothing speaks.
 LEAST_COUNT = 2
-#: Base of the levels: counts of one level lie within a factor of ``BASE``.
-BASE = 1.5
-BITS_PER_ITEM = 10
-PROBES = 5
-MAX_LEVEL = 100
+#: Bases of the levels of single words and of longer n-grams: counts of one level lie within
+#: this factor. The first level starts at the least count that is kept.
+BASES = (1.25, 1.7)
+BITS_PER_ITEM = 8
+PROBES = 4
+MAX_LEVEL = 200
 #: Pseudo-count of the lower order in each mixture, and of every word.
 STRENGTH = 4.0
 ADD = 0.1
 #: Filter or count table sent at once, at most.
-SEND_MB = 128
+SEND_MB = 96
 #: N-grams that one part of the filter holds, about.
 PART_ITEMS = 400_000
 
@@ -64,13 +66,18 @@ def ngrams(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def level_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9), MAX_LEVEL).astype(np.int64)
+def level_of(count: np.ndarray, n: int, least: int = LEAST_COUNT) -> np.ndarray:
+    """Level of a count of an n-gram of ``n`` words that is kept."""
+    base, start = BASES[n > 1], 1 if n == 1 else least
+    return np.minimum(1 + np.floor(np.log(np.maximum(count, start) / start) / math.log(base) + 1e-9), MAX_LEVEL).astype(np.int64)
 
 
-#: The count that a level stands for: the middle of its range on the scale; level 0 is 0.
-VALUE_OF = np.concatenate([[0.0], BASE ** (np.arange(1, MAX_LEVEL + 1) - 0.5)])
-VALUE_OF[1] = 1.0
+def value_of(n: int, least: int = LEAST_COUNT) -> np.ndarray:
+    """The count that each level stands for; counts thin out towards the upper end of a level's
+    range, so it is a third of the way on the scale. Level 0 is 0."""
+    base, start = BASES[n > 1], 1 if n == 1 else least
+    low = start * base ** np.arange(MAX_LEVEL)
+    return np.concatenate([[0.0], np.where(np.ceil(low) + 1 > low * base, np.ceil(low), low * base ** (1 / 3))])
 
 
 def probe_bits(key: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -135,7 +142,7 @@ def fill_parts(least: int):
                     words_key, words_count = key, count
                 keep = count >= (1 if n == 1 else least)
                 items_key.append(key[keep] ^ words.mix(np.uint64([n])))
-                items_level.append(level_of(count[keep]))
+                items_level.append(level_of(count[keep], n, least))
             key, level = np.concatenate(items_key), np.concatenate(items_level)
             items = np.repeat(key, level)
             step = np.arange(len(items)) - np.repeat(np.cumsum(level) - level, level) + 1
@@ -171,6 +178,7 @@ class Model:
     vocabulary: int
     texts: int
     order: int
+    least: int
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST_COUNT, send_mb: int = SEND_MB) -> Model:
@@ -187,13 +195,13 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
     tokens = table.select("counts").mapInArrow(total_of, "total long").agg(F.sum("total")).first()[0] or 0
     groups, held = [], send_mb << 20
     for r in sorted(sizes, key=lambda r: r.part):
-        need = r.b + 2 * r.k
+        need = r.b + 2 * r.k  # bits, word hashes and their counts
         if not groups or held + need > send_mb << 20:
             groups.append([])
             held = 0
         groups[-1].append(r.part)
         held += need
-    return Model(table, groups, parts, tokens, sum(r.k for r in sizes) // 8, texts, order)
+    return Model(table, groups, parts, tokens, sum(r.k for r in sizes) // 8, texts, order, least)
 
 
 def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +210,21 @@ def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Parts:
-    """A group of parts as a task reads it: one run of bits, and sorted word counts."""
+    """A group of parts: one run of bits, and sorted word counts. Built once, sent as arrays."""
 
-    def __init__(self, rows, parts: int):
+    def __init__(self, table: pa.Table, parts: int):
+        part = np.array(table.column("part"))
+        size = np.array(pc.binary_length(table.column("bits")), np.int64) * 8
         self.parts = parts
-        self.start = np.zeros(parts, np.int64)
-        self.bits = np.zeros(parts, np.uint64)
-        raw, at = [], 0
-        for part, _, _, bits in rows:
-            self.start[part], self.bits[part] = at, len(bits) * 8
-            raw.append(bits)
-            at += len(bits) * 8
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        key = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
+        self.start, self.bits = np.zeros(parts, np.int64), np.zeros(parts, np.uint64)
+        self.start[part], self.bits[part] = np.cumsum(size) - size, size
+        whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(b.as_buffer(), kind) for b in table.column(name))])
+        self.raw = whole("bits", np.uint8)
+        key, count = whole("keys", np.uint64), whole("counts", np.int64)
         order = np.argsort(key)
-        self.key, self.count = key[order], np.frombuffer(b"".join(r[2] for r in rows), np.int64)[order]
+        self.key, self.count = key[order], count[order]
+        if len(count) and count.max() < 2**32:
+            self.count = self.count.astype(np.uint32)
 
     def level(self, gram: np.ndarray, n: int) -> np.ndarray:
         """Level of each n-gram whose part is here, 0 for the others."""
@@ -249,15 +257,15 @@ class Parts:
 
 def sent_parts(model: Model, group: list[int]):
     rows = model.table.filter(F.col("part").isin(group) if len(model.groups) > 1 else F.lit(True)).toArrow()
-    return model.table.sparkSession.sparkContext.broadcast([c.to_pylist() for c in rows.columns])
+    return model.table.sparkSession.sparkContext.broadcast(Parts(rows, model.parts))
 
 
-def probe(sent, model_parts: int, order: int, totals: tuple[int, int, int], final: bool):
+def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: bool):
     """Adds what the sent parts know: levels of every order, and the words' exact share of the base."""
     n_all, vocabulary, _ = totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(list(zip(*sent.value)), model_parts)
+        parts = sent.value
         for batch in batches:
             ids, raw = batch.column(0), batch.column(1)
             texts = [words.encode(t, lower=True) for t in raw.to_pylist()]
@@ -278,7 +286,7 @@ def probe(sent, model_parts: int, order: int, totals: tuple[int, int, int], fina
                 if len(old):
                     got = [np.maximum(g, o) for g, o in zip(got, old.reshape(-1, order).T)]
                 if final:
-                    score.append(np.bincount(at, np.log10(interpolated(got, counts, *totals)), len(counts)))
+                    score.append(np.bincount(at, np.log10(interpolated(got, counts, least, *totals)), len(counts)))
                 else:
                     flat = np.stack(got, 1).tobytes()
                     ends = np.cumsum(counts) * order
@@ -298,15 +306,16 @@ def probe(sent, model_parts: int, order: int, totals: tuple[int, int, int], fina
 STATE = "id long, text string, levels binary, n_known long, base double, n_tokens long, score double"
 
 
-def interpolated(levels: list[np.ndarray], counts: np.ndarray, n_all: int, vocabulary: int, texts: int) -> np.ndarray:
+def interpolated(levels: list[np.ndarray], counts: np.ndarray, least: int, n_all: int, vocabulary: int, texts: int) -> np.ndarray:
     """Probability of every token. The context's count is the level of the n-gram one place
     before, one order down; a first word has the break as context, seen once in each text."""
-    p = (VALUE_OF[levels[0]] + ADD) / (max(n_all, 1) * 1.0 + ADD * (vocabulary + 1))
+    value = [value_of(n, least)[level] for n, level in enumerate(levels, 1)]
+    p = (value[0] + ADD) / (max(n_all, 1) * 1.0 + ADD * (vocabulary + 1))
     first = np.zeros(len(p), bool)
     first[np.cumsum(counts) - counts] = True
     for n in range(2, len(levels) + 1):
-        seen = VALUE_OF[levels[n - 1]]
-        context = np.concatenate([[0.0], VALUE_OF[levels[n - 2]][:-1]])
+        seen = value[n - 1]
+        context = np.concatenate([[0.0], value[n - 2][:-1]])
         context = np.maximum(np.where(first, float(texts), context), seen)
         p = (seen + STRENGTH * p) / (context + STRENGTH)
     return np.minimum(p, 1.0)
@@ -324,7 +333,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     groups = model.groups or [[]]
     for i, group in enumerate(groups):
         final = i == len(groups) - 1
-        work = probe(sent_parts(model, group), model.parts, model.order, (model.tokens, model.vocabulary, model.texts), final)
+        work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final)
         state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
         state = state if final else saved(state)
     return state.select("id", "n_tokens", "n_known", "base", "score")
