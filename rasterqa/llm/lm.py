@@ -84,7 +84,12 @@ def probe_bits(key: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarr
     """Bit numbers of a (key, level) item in a part of ``bits`` bits: one row per probe."""
     a = words.mix(key ^ words.mix(level.astype(np.uint64)))
     b = words.mix(a) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) % bits for k in range(PROBES)])
+    return np.stack([bit_number(a + np.uint64(k) * b, bits) for k in range(PROBES)])
+
+
+def bit_number(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The upper half of a hash, scaled to a number below ``bits`` (which is below 2**32)."""
+    return ((x >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def count_grams(order: int, parts: int):
@@ -110,7 +115,7 @@ def count_grams(order: int, parts: int):
             size = 0
 
         for batch in batches:
-            texts = [words.encode(t, lower=True) for t in batch.column(0).to_pylist()]
+            texts = words.texts(batch.column(0), lower=True)
             for lo, hi in words.chunks(texts):
                 tokens, counts = token_hashes(texts[lo:hi])
                 for n in range(order):
@@ -227,7 +232,8 @@ class Parts:
             self.count = self.count.astype(np.uint32)
 
     def level(self, gram: np.ndarray, n: int) -> np.ndarray:
-        """Level of each n-gram whose part is here, 0 for the others."""
+        """Level of each n-gram whose part is here, 0 for the others. Equal ones are read once."""
+        gram, back = np.unique(gram, return_inverse=True)
         part = ((gram >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
         out = np.zeros(len(gram), np.uint8)
         live = np.flatnonzero(self.bits[part] > 0)
@@ -240,13 +246,13 @@ class Parts:
             a = words.mix(key[live] ^ words.mix(np.uint64([level])))
             b = words.mix(a) | np.uint64(1)
             for k in range(PROBES):
-                at = ((a + np.uint64(k) * b) % self.bits[p]).astype(np.int64) + self.start[p]
+                at = bit_number(a + np.uint64(k) * b, self.bits[p]).astype(np.int64) + self.start[p]
                 ok &= (self.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
                 if k == 0 and not ok.all():  # most fail at once
                     live, p, a, b, ok = live[ok], p[ok], a[ok], b[ok], ok[ok]
             live = live[ok]
             out[live] = level
-        return out
+        return out[back]
 
     def exact(self, word: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -268,7 +274,7 @@ def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: boo
         parts = sent.value
         for batch in batches:
             ids, raw = batch.column(0), batch.column(1)
-            texts = [words.encode(t, lower=True) for t in raw.to_pylist()]
+            texts = words.texts(raw, lower=True)
             before = batch.column(2).to_pylist()
             n_tokens, n_known, base, score, levels = [], [], [], [], []
             for lo, hi in words.chunks(texts):
