@@ -27,7 +27,7 @@ MAX_COMMON = 1_000_000
 #: A shingle is a candidate for the common ones if one task meets it so often.
 COMMON_IN_TASK = 4
 #: Values a task gathers before it sums them.
-GATHER = 8_000_000
+GATHER = 2_000_000
 #: Rows of ids that may be broadcast to pick the texts to verify; beyond it a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 
@@ -59,7 +59,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarra
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [words.encode(t, lower=True) for t in batch.column(1).to_pylist()]
+    return words.texts(batch.column(1), lower=True)
 
 
 def gather_common(size: int, least: int):

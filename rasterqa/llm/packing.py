@@ -25,7 +25,7 @@ OPEN_WINDOWS = 16
 FAN_IN = 8
 END_ID = 2
 #: Words kept with their ids by one task; the store is emptied beyond that.
-WORD_STORE = 1_000_000
+WORD_STORE = 500_000
 LETTERS = re.compile(rb"([a-z\xc3-\xc9\x80-\xbf]+)([!-&(-/:-@[-`{-~]*)", re.DOTALL)
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others, in
 #: order, from U+0100 on.
@@ -175,7 +175,7 @@ def pack_partition(path: str, size: int, open_windows: int):
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            texts = [words.encode(t) for t in batch.column(1).to_pylist()]
+            texts = words.texts(batch.column(1))
             for lo, hi in words.chunks(texts):
                 ids, ends = ids_of(texts[lo:hi])
                 at = 0

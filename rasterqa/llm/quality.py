@@ -44,7 +44,7 @@ MIN_GROUP = 100
 def document_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [[] for _ in range(8)]
-        texts = [words.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        texts = words.texts(batch.column(batch.num_columns - 1))
         for lo, hi in words.chunks(texts):
             part = texts[lo:hi]
             h, first, end, counts = words.word_hashes(part)

@@ -63,7 +63,7 @@ def windows_of(h: np.ndarray, counts: np.ndarray, depth: int):
 def count_anchors(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [words.encode(t) for t in batch.column(0).to_pylist()]
+            texts = words.texts(batch.column(0))
             found = []
             for lo, hi in words.chunks(texts):
                 h, _, _, counts = words.word_hashes(texts[lo:hi])
@@ -117,7 +117,7 @@ def suffix_runs(depth: int, repeated, frequent):
         keep, hot = repeated.value, frequent.value
         for batch in batches:
             ids, keys = np.array(batch.column(1)), np.array(batch.column(2))
-            texts = [words.encode(t) for t in batch.column(0).to_pylist()]
+            texts = words.texts(batch.column(0))
             for lo, hi in words.chunks(texts):
                 h, _, _, counts = words.word_hashes(texts[lo:hi])
                 v, _, doc = windows_of(h, counts, depth)

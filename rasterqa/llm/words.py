@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 TABLE_DEPTH = 64
 #: Bytes of text that are handled at once; bounds the arrays a task holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,13 @@ def encode(text: str | None, lower: bool = False) -> bytes:
     return raw.lower() if lower else raw
 
 
+def texts(column, lower: bool = False) -> list[bytes]:
+    """The UTF-8 bytes of an Arrow column of texts; null texts are empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    raw = column.cast(kind).to_pylist()
+    return [(b or b"").lower() for b in raw] if lower else [b or b"" for b in raw]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of every word of the texts joined by a line feed, and
     the number of words of each text."""
