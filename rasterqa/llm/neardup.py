@@ -76,7 +76,7 @@ def gather_common(size: int, least: int):
             held, weight = [], 0
             return value[first], np.add.reduceat(count, first) if len(first) else count
 
-        for batch in batches:
+        for batch in words.slices(batches):
             for _, s in shingle_sets(texts_of(batch), size):
                 held.append(s)
                 weight += len(s)
@@ -92,7 +92,7 @@ def gather_common(size: int, least: int):
 def sketch_sets(size: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, level = common.value
-        for batch in batches:
+        for batch in words.slices(batches):
             ids = batch.column(0).to_pylist()
             out = [[], [], [], [], []]
             for i, s in shingle_sets(texts_of(batch), size):
@@ -142,7 +142,7 @@ def overlap_bounds(percent: int):
 
 def full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             ids, out = batch.column(0), [s.tobytes() for _, s in shingle_sets(texts_of(batch), size)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["id", "shingles"])
     return run

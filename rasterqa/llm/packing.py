@@ -173,7 +173,7 @@ def pack_partition(path: str, size: int, open_windows: int):
                 at += n
             made += 1
 
-        for batch in batches:
+        for batch in words.slices(batches):
             docs = batch.column(0).to_pylist()
             texts = words.texts(batch.column(1))
             for lo, hi in words.chunks(texts):

@@ -44,6 +44,13 @@ def texts(column, lower: bool = False) -> list[bytes]:
     return [(b or b"").lower() for b in raw] if lower else [b or b"" for b in raw]
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in slices of at most ``rows`` rows, so that few texts are unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of every word of the texts joined by a line feed, and
     the number of words of each text."""
