@@ -28,8 +28,8 @@ from rasterqa.llm import words
 from rasterqa.llm.common import partitions, saved
 
 ORDER = 3
-#: N-grams of two words or more are kept from this count on; below it the smoothing speaks.
-LEAST_COUNT = 2
+#: N-grams of two words or more are kept from this count on: all of them.
+LEAST_COUNT = 1
 #: Bases of the levels of single words and of longer n-grams: counts of one level lie within
 #: this factor. The first level starts at the least count that is kept.
 BASES = (1.25, 1.7)

@@ -84,6 +84,15 @@ def test_lm_counts_come_back(spark):
     assert model.tokens == len(text.split()) + 1 and model.vocabulary == len(set(text.split())) + 1
 
 
+def test_lm_ngrams_seen_once_count(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(20)]
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = [(0, " ".join(f"w3x{k}" for k in range(20, 30))), (1, " ".join(f"w3x{k}" for k in range(48, 28, -2)))]
+    got = {r.id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[0] > got[1] + 0.5
+    assert lm.level_of(np.array([1, 2, 3]), 2).tolist() == [1, 2, 3] and lm.value_of(2)[:3].tolist() == [0, 1, 2]
+
+
 def test_personal_data(spark, odd, texts):
     for rows, data in ((pii.find_personal_data(odd).collect(), pairs()), (pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)):
         got = sort((r.doc_id, brute.joined((s.kind, s.start, s.end) for s in r.base)) for r in rows)
