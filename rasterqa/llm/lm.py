@@ -3,7 +3,8 @@
 Counts are quantised to levels of a logarithmic scale, and an n-gram of level q is put into the filter
 q times, once for each level up to its own. To read a count, the levels are probed in turn until
 one is missing; a false positive is as likely to add a level as the filter's error rate, and to add two only
-as its square. Probabilities interpolate the orders by Dirichlet smoothing:
+as its square. No n-gram is more frequent than its suffix or its context one word shorter, so a level
+counts only up to theirs; single words are counted exactly and stay out of the filter. Probabilities interpolate the orders by Dirichlet smoothing:
 ``p(w | h) = (c(hw) + s p(w | h')) / (c(h) + s)``, down to additive smoothing of single words.
 
 The filter is cut into parts by n-gram hash. Each part is filled where the counts of its
@@ -32,9 +33,9 @@ ORDER = 3
 LEAST_COUNT = 1
 #: Bases of the levels of single words and of longer n-grams: counts of one level lie within
 #: this factor. The first level starts at the least count that is kept.
-BASES = (1.25, 1.7)
-BITS_PER_ITEM = 8
-PROBES = 4
+BASES = (1.25, 1.5)
+BITS_PER_ITEM = 10
+PROBES = 5
 MAX_LEVEL = 200
 #: Pseudo-count of the lower order in each mixture, and of every word.
 STRENGTH = 4.0
@@ -80,6 +81,29 @@ def value_of(n: int, least: int = LEAST_COUNT) -> np.ndarray:
     return np.concatenate([[0.0], np.where(np.ceil(low) + 1 > low * base, np.ceil(low), low * base ** (1 / 3))])
 
 
+def highest(n: int, least: int = LEAST_COUNT) -> np.ndarray:
+    """For each level of an (n - 1)-gram the level that an n-gram which holds it can have at most."""
+    q = np.arange(MAX_LEVEL + 1)
+    if n > 2:
+        return q
+    top = np.floor(BASES[0] ** q.astype(float))  # the largest count of each level of single words
+    return np.where(q == 0, 0, np.where(q == MAX_LEVEL, MAX_LEVEL, level_of(top, n, least)))
+
+
+def bounds(below: np.ndarray, first: np.ndarray, n: int, least: int, texts: int) -> np.ndarray:
+    """Level that the n-gram at each place can have at most, by the levels ``below`` of the (n - 1)-grams
+    at its own place (suffix) and the one before (context). A first word has the break as context."""
+    top = highest(n, least)[below]
+    context = np.concatenate([top[:1], top[:-1]])
+    return np.minimum(top, np.where(first, level_of(np.int64([texts]), n, least), context))
+
+
+def first_words(counts: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(counts.sum()), bool)
+    first[np.cumsum(counts) - counts] = True
+    return first
+
+
 def probe_bits(key: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Bit numbers of a (key, level) item in a part of ``bits`` bits: one row per probe."""
     a = words.mix(key ^ words.mix(level.astype(np.uint64)))
@@ -129,7 +153,7 @@ def count_grams(order: int, parts: int):
 
 
 def fill_parts(least: int):
-    """Per part and order: exact counts of single words, and the part's bits for every n-gram kept."""
+    """Per part: exact counts of single words, and the part's bits for every longer n-gram kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple[int, list] | None = None
 
@@ -145,10 +169,12 @@ def fill_parts(least: int):
                 key, count = key[first], np.add.reduceat(count, first)
                 if n == 1:
                     words_key, words_count = key, count
-                keep = count >= (1 if n == 1 else least)
+                    continue
+                keep = count >= least
                 items_key.append(key[keep] ^ words.mix(np.uint64([n])))
                 items_level.append(level_of(count[keep], n, least))
-            key, level = np.concatenate(items_key), np.concatenate(items_level)
+            key = np.concatenate([np.zeros(0, np.uint64), *items_key])
+            level = np.concatenate([np.zeros(0, np.int64), *items_level])
             items = np.repeat(key, level)
             step = np.arange(len(items)) - np.repeat(np.cumsum(level) - level, level) + 1
             bits = max(64, -(-len(items) * BITS_PER_ITEM // 64) * 64)
@@ -231,12 +257,14 @@ class Parts:
         if len(count) and count.max() < 2**32:
             self.count = self.count.astype(np.uint32)
 
-    def level(self, gram: np.ndarray, n: int) -> np.ndarray:
-        """Level of each n-gram whose part is here, 0 for the others. Equal ones are read once."""
-        gram, back = np.unique(gram, return_inverse=True)
-        part = ((gram >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
+    def level(self, gram: np.ndarray, n: int, limit: np.ndarray | None = None) -> np.ndarray:
+        """Level of each n-gram whose part is here, 0 for the others, at most ``limit``, which equal
+        n-grams share. Equal ones are read once."""
+        gram, at, back = np.unique(gram, return_index=True, return_inverse=True)
+        limit = np.full(len(gram), MAX_LEVEL) if limit is None else limit[at]
+        part = self.part_of(gram)
         out = np.zeros(len(gram), np.uint8)
-        live = np.flatnonzero(self.bits[part] > 0)
+        live = np.flatnonzero((self.bits[part] > 0) & (limit > 0))
         key = gram ^ words.mix(np.uint64([n]))
         for level in range(1, MAX_LEVEL + 1):
             if not len(live):
@@ -252,8 +280,12 @@ class Parts:
                     live, p, a, b, ok = live[ok], p[ok], a[ok], b[ok], ok[ok]
             live = live[ok]
             out[live] = level
+            live = live[limit[live] > level]
         return out[back]
 
+    def part_of(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
+
     def exact(self, word: np.ndarray) -> np.ndarray:
         if not len(self.key):
             return np.zeros(len(word), np.int64)
@@ -266,9 +298,29 @@ def sent_parts(model: Model, group: list[int]):
     return model.table.sparkSession.sparkContext.broadcast(Parts(rows, model.parts))
 
 
-def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: bool):
+def levels_at(parts: Parts, tokens: np.ndarray, counts: np.ndarray, exact: np.ndarray, old: list[np.ndarray] | None,
+              order: int, least: int, texts: int, done: np.ndarray) -> list[np.ndarray]:
+    """Levels of every order at each place: those of earlier passes, ``old``, and of the parts that are
+    here. An n-gram is held to its suffix and context where the parts ``done`` so far know both."""
+    first, got, below = first_words(counts), [], None
+    for n in range(1, order + 1):
+        gram = tokens if n == 1 else ngrams(tokens, counts, n)
+        if n == 1:
+            level = np.where(exact > 0, level_of(exact, 1), 0).astype(np.uint8)
+        else:
+            known = done[parts.part_of(below)]
+            top = bounds(np.where(known, got[-1], MAX_LEVEL), first, n, least, texts).astype(np.uint8)
+            level = parts.level(gram, n, top)
+        if old is not None:
+            level = np.maximum(level, old[n - 1])
+        got.append(level if n == 1 else np.minimum(level, top))
+        below = gram
+    return got
+
+
+def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: bool, done: np.ndarray):
     """Adds what the sent parts know: levels of every order, and the words' exact share of the base."""
-    n_all, vocabulary, _ = totals
+    n_all, vocabulary, n_texts = totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = sent.value
@@ -280,17 +332,17 @@ def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: boo
             for lo, hi in words.chunks(texts):
                 tokens, counts = token_hashes(texts[lo:hi])
                 at = np.repeat(np.arange(len(counts)), counts)
-                exact = parts.exact(tokens)
+                word, back = np.unique(tokens, return_inverse=True)
+                exact = parts.exact(word)[back]
                 known = np.bincount(at[exact > 0], minlength=len(counts))
                 # a word the corpus lacks adds nothing here; the last pass sets it straight
                 gain = np.log10((exact + ADD) / ADD)
                 n_tokens.append(counts)
                 n_known.append(known)
                 base.append(np.bincount(at, gain, len(counts)))
-                got = [parts.level(tokens if n == 1 else ngrams(tokens, counts, n), n) for n in range(1, order + 1)]
                 old = np.frombuffer(b"".join(before[lo:hi]), np.uint8)
-                if len(old):
-                    got = [np.maximum(g, o) for g, o in zip(got, old.reshape(-1, order).T)]
+                got = levels_at(parts, tokens, counts, exact, list(old.reshape(-1, order).T) if len(old) else None,
+                                order, least, n_texts, done)
                 if final:
                     score.append(np.bincount(at, np.log10(interpolated(got, counts, least, *totals)), len(counts)))
                 else:
@@ -317,8 +369,7 @@ def interpolated(levels: list[np.ndarray], counts: np.ndarray, least: int, n_all
     before, one order down; a first word has the break as context, seen once in each text."""
     value = [value_of(n, least)[level] for n, level in enumerate(levels, 1)]
     p = (value[0] + ADD) / (max(n_all, 1) * 1.0 + ADD * (vocabulary + 1))
-    first = np.zeros(len(p), bool)
-    first[np.cumsum(counts) - counts] = True
+    first = first_words(counts)
     for n in range(2, len(levels) + 1):
         seen = value[n - 1]
         context = np.concatenate([[0.0], value[n - 2][:-1]])
@@ -337,9 +388,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     state = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(b"").alias("levels"),
                         F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"))
     groups = model.groups or [[]]
+    done = np.zeros(model.parts, bool)
     for i, group in enumerate(groups):
         final = i == len(groups) - 1
-        work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final)
+        done = done.copy()
+        done[group] = True
+        if final:  # a part without n-grams has no row
+            done[:] = True
+        work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final, done)
         state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
         state = state if final else saved(state)
     return state.select("id", "n_tokens", "n_known", "base", "score")

@@ -93,6 +93,31 @@ def test_lm_ngrams_seen_once_count(spark):
     assert lm.level_of(np.array([1, 2, 3]), 2).tolist() == [1, 2, 3] and lm.value_of(2)[:3].tolist() == [0, 1, 2]
 
 
+def test_lm_levels_stay_below_those_of_suffix_and_context(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(4)] + [(9, "often " * 50 + "rare")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(d)
+    parts = lm.sent_parts(model, model.groups[0]).value
+    parts.raw = np.full_like(parts.raw, 255)  # every probe a false positive
+    tokens, counts = lm.token_hashes([b"new1 new2 new3 often rare often often", b"often"])
+    got = lm.levels_at(parts, tokens, counts, parts.exact(tokens), None, 3, 1, model.texts, np.ones(model.parts, bool))
+    often = lm.level_of(np.array([50]), 2)[0]
+    assert not got[0][:3].any() and not got[1][:4].any() and not got[2][:5].any()
+    assert got[1][4:7].tolist() == [1, 1, often] and got[2][6] == 1
+    assert lm.PROBES >= 5 and lm.BITS_PER_ITEM >= 10
+
+
+def test_lm_true_levels_pass_the_bounds(docs, texts):
+    model = lm.train(docs)
+    parts = lm.sent_parts(model, model.groups[0]).value
+    tokens, counts = lm.token_hashes([(t or "").encode().lower() for _, t in texts])
+    got = lm.levels_at(parts, tokens, counts, parts.exact(tokens), None, 3, 1, model.texts, np.ones(model.parts, bool))
+    for n in (1, 2, 3):
+        grams = tokens if n == 1 else lm.ngrams(tokens, counts, n)
+        _, back, count = np.unique(grams, return_inverse=True, return_counts=True)
+        assert (got[n - 1] >= lm.level_of(count[back], n)).all()
+
+
 def test_personal_data(spark, odd, texts):
     for rows, data in ((pii.find_personal_data(odd).collect(), pairs()), (pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)):
         got = sort((r.doc_id, brute.joined((s.kind, s.start, s.end) for s in r.base)) for r in rows)
