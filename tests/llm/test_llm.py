@@ -238,6 +238,23 @@ def test_toxicity(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def letters_of(*known):
+    """A character model of the words, each equally frequent."""
+    grams, before = {}, {}
+    for w in known:
+        for i in range(len(w) + 1):
+            g = f"^^{w}$"[i:i + 3]
+            grams[g], before[g[:2]] = grams.get(g, 0) + 1, before.get(g[:2], 0) + 1
+    return {g: float(np.log(n / before[g[:2]])) for g, n in grams.items()}
+
+
+def test_long_hidden_words_are_read_to_their_end():
+    read = toxicity.Decoder(letters_of("slubber", "gruntle"), -12.0)
+    assert read("sl" + "u" * 80 + "bber") == "slubber"
+    assert read("gr" + "#" * 90 + "un7le") == "gruntle"
+    assert read("sl" + "u" * 50_000 + "bber") == "slubber"
+
+
 def test_toxicity_without_labels_is_even(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {round(r.score, 6) for r in toxicity.score_held_out(odd, empty).collect()} == {0.5}
