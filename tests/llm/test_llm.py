@@ -255,6 +255,16 @@ def test_long_hidden_words_are_read_to_their_end():
     assert read("sl" + "u" * 50_000 + "bber") == "slubber"
 
 
+def test_spaced_words_part_from_their_neighbours():
+    read = toxicity.Decoder(letters_of("you", "are", "a", "ave", "vexxor", "slubber", "so"), -12.0)
+    for text in ("you are a v e x x o r", "y o u v e x x o r", "v 3 x x 0 r", "so v 3 x x 0 r a", "a r e y o u a v e * x x o r", "v.3.x.x.0.r"):
+        h, doc, _ = toxicity.restored([b"plain words here", text.encode().translate(toxicity.BREAK)], read)
+        want = toxicity.words.word_hashes([b"vexxor"])[0][0]
+        assert want in h[doc == 1], text
+        assert want not in h[doc == 0]
+    assert read.read("y o u v e x x o r").split() == ["you", "vexxor"]
+
+
 def test_toxicity_without_labels_is_even(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {round(r.score, 6) for r in toxicity.score_held_out(odd, empty).collect()} == {0.5}
