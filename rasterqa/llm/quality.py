@@ -33,8 +33,7 @@ CORE = 0.6
 STEPS = 4
 #: Variances added to the transformed statistics, in the order of ``features``: differences
 #: below these spreads are no ground to reject, however alike the rest of the group is.
-#: Repeated words and lines have a base rule of their own and weigh little here.
-FLOORS = (0.05 ** 2, 0.05 ** 2, 0.05 ** 2, 0.3 ** 2, 0.3 ** 2)
+FLOORS = (0.05 ** 2,) * 5
 #: Squared distances are held against the chi-square value of this tail.
 TAIL = 1e-5
 #: Groups with fewer documents are judged with the other small groups of their language.

@@ -201,6 +201,21 @@ def test_quality_rejects_the_odd_ones_of_a_group(spark):
     assert kept == set(range(150))
 
 
+def test_quality_rejects_repetition_below_the_base_limit(spark):
+    rnd = random.Random(4)
+    word = lambda: rnd.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rnd.randrange(10**6))
+    lines = lambda n, k: [" ".join(word() for _ in range(k)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(10 + i % 5, 8))) for i in range(150)]
+    rows += [(900 + i, "\n".join(lines(10, 8) + ["one line"] * 15)) for i in range(5)]
+    for i in range(5):
+        t = lines(10, 8)
+        rows.append((950 + i, "\n".join(t + [f"{t[0]} {t[1]} {t[2]}"])))
+    d = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    out = quality.judge_quality(d).collect()
+    assert {r.doc_id for r in out if r.kept} == set(range(150))
+    assert not any(r.base_failed for r in out)
+
+
 @pytest.mark.parametrize("part_rows", [50_000, 1])
 def test_repeats(odd, docs, texts, monkeypatch, part_rows):
     monkeypatch.setattr(substrings, "PART_ROWS", part_rows)
