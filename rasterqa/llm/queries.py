@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterqa.llm import lm, mixing, neardup, packing, pii, quality, secrets, substrings, topk, toxicity
-from rasterqa.llm.common import crc_fold, documents
+from rasterqa.llm import lm, mixing, neardup, packing, pii, quality, runs, secrets, substrings, topk, toxicity
+from rasterqa.llm.common import crc_fold, documents, whole_text
 from rasterqa.llm.spans import count_kind, joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_top_inner_products")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """Documents whose ids' crc32 is divisible by 10 repeat a few of their words to the end,
+    with a start and a period that follow from it. A null id counts as empty text."""
+    h = crc_fold(1 << 32)
+    words = F.filter(F.split(whole_text(), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    docs = docs.select("doc_id", "text", (h % 10).alias("fold"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    docs = docs.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+    docs = docs.withColumn("p", F.when(n > 0, (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return docs.select("doc_id", F.when((F.col("fold") == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_repeats(documents(spark, sf_dir)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    longest = F.sort_array(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("s"), r.period.alias("p")))).getItem(0)
+    out = found.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, longest).alias("top"))
+    length, period = -F.col("top.l"), F.col("top.p")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))

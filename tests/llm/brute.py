@@ -166,3 +166,40 @@ def check_packing(rows, docs, encode, size=4096):
         filled += at
         padding += size - at if at & (at - 1) else 0
     return padding / (padding + filled)
+
+
+def planted(doc_id, text):
+    """Words of a document, with repeats planted into every tenth."""
+    w = words(text)
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    g, n = h // 10, len(w)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    return w
+
+
+def periodic(w, exponent=4, least=6):
+    """(start, end, period) of the runs, by start and period: each shift on its own."""
+    found = set()
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, exponent * q) and not any((i, j + q, d) in found for d in range(1, q)):
+                found.add((i, j + q, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def run_row(doc_id, text):
+    w = planted(doc_id, text)
+    found = periodic(w)
+    top = min(found, key=lambda r: (r[0] - r[1], r[0], r[2]), default=None)
+    gone = {i for s, e, q in found for i in range(s + q, e)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    best = (top[0], top[1] - top[0], top[2], 1000 * (top[1] - top[0]) // top[2]) if top else (None,) * 4
+    return (doc_id, len(found), *best, sha("".join(f"{s},{e - s},{q}\n" for s, e, q in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
