@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterqa.llm import lm, mixing, neardup, packing, pii, quality, runs, secrets, substrings, topk, toxicity
+from rasterqa.llm import alignment, lm, mixing, neardup, packing, pages, pii, quality, runs, secrets, substrings, topk, toxicity
 from rasterqa.llm.common import crc_fold, documents, whole_text
 from rasterqa.llm.spans import count_kind, joined
 
@@ -140,3 +140,21 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def tokenizer_pair() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_align_tokenizers")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokenizers(documents(spark, sf_dir), *tokenizer_pair())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"))
+
+
+@query("op12_main_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
