@@ -97,28 +97,28 @@ def weighed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def links_of(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, pair (A id above B id, 32 bits each) and number of links of each distinct pair of
     an owner. ``ga`` and ``gb`` number the groups of the tokens, ``owner`` owns the groups."""
-    ka, wa = weighed((ga << 32) | a, np.ones(len(a)))
-    kb, wb = weighed((gb << 32) | b, np.ones(len(b)))
+    n_a, n_b = np.bincount(ga, minlength=len(owner)), np.bincount(gb, minlength=len(owner))
+    one = (n_a == 1) & (n_b == 1)
+    in_a, in_b = one[ga], one[gb]
+    ka, wa = weighed((ga[~in_a] << 32) | a[~in_a], np.ones(len(a) - in_a.sum()))
+    kb, wb = weighed((gb[~in_b] << 32) | b[~in_b], np.ones(len(b) - in_b.sum()))
     n_b = np.bincount(kb >> 32, minlength=len(owner))
     first = np.cumsum(n_b) - n_b
     n = n_b[ka >> 32]
     upto = np.cumsum(n)
-    rows: list[tuple] = []
+    rows = [(owner[one], (a[in_a] << 32) | b[in_b], np.ones(int(one.sum()), np.int64))]
     for lo in range(0, int(upto[-1]) if len(upto) else 0, SPREAD):
         k = np.arange(lo, min(lo + SPREAD, int(upto[-1])))
         x = np.searchsorted(upto, k, side="right")
         y = first[ka[x] >> 32] + k - (upto[x] - n[x])
         rows.append((owner[ka[x] >> 32], ((ka[x] & LOW) << 32) | (kb[y] & LOW), wa[x] * wb[y]))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return none, none, none
     who, pair, weight = (np.concatenate(c) for c in zip(*rows))
     order = np.lexsort((pair, who))
     who, pair, weight = who[order], pair[order], weight[order]
     new = np.ones(len(who), bool)
     new[1:] = (who[1:] != who[:-1]) | (pair[1:] != pair[:-1])
     at = np.flatnonzero(new)
-    return who[at], pair[at], np.add.reduceat(weight, at)
+    return who[at], pair[at], np.add.reduceat(weight, at) if len(at) else weight
 
 
 class Tokens:
@@ -162,12 +162,25 @@ class Tokens:
         text = self.b.id_to_piece(i)
         return bytes([int(text[3:5], 16)]) if self.b.is_byte(i) else text.replace("▁", " ").encode()
 
-    def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids under A and under B of segments that start with a space."""
-        texts = [s.decode("utf-8", "replace") for s in segments]
-        one = (lambda t: self.a.encode(t, add_special_tokens=False).ids) if self.fast is None else self.fast.encode_ordinary
-        a = list(map(one, texts))
-        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+    def encode_a(self, segments: list[bytes], joined: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids under A end to end, and their number in each segment. The first ``joined`` segments end in
+        no white space, so that A cuts between them and they are one text."""
+        raw = b"".join(segments[:joined])
+        if self.fast is None or not joined:
+            joined, ids = 0, np.zeros(0, np.int64)
+        else:
+            ids = self.fast.encode_to_numpy(raw.decode("utf-8", "replace"), disallowed_special=()).astype(np.int64)
+        ends = np.cumsum(self.size[0][ids])
+        if joined and ends[-1] != len(raw):  # not UTF-8
+            joined, ids, ends = 0, ids[:0], ends[:0]
+        stop = np.searchsorted(ends, np.cumsum(list(map(len, segments[:joined]))), side="right")
+        rest = [self.a.encode(s.decode("utf-8", "replace"), add_special_tokens=False).ids for s in segments[joined:]]
+        more, n = flat(rest)
+        return np.concatenate([ids, more]), np.concatenate([np.diff(stop, prepend=0), n])
+
+    def encode_b(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_a``, under B, which puts the space itself."""
+        return flat(self.b.encode([s[1:].decode("utf-8", "replace") for s in segments], num_threads=1))
 
 
 def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +193,11 @@ class Store:
 
     Of slot ``s``: ``whole[s]`` whether its tokens spell it, ``sizes[s]`` its A tokens, B tokens,
     groups and links, ``text[s]`` its groups in writing, and from ``first[s]`` on ``width[s]``
-    distinct links, as places in ``pairs``, with their ``weight``.
+    distinct links, as places in ``pairs``, with their ``weight``. Groups are written if it ``writes``.
     """
 
-    def __init__(self, tokens: Tokens):
-        self.tokens = tokens
+    def __init__(self, tokens: Tokens, writes: bool = True):
+        self.tokens, self.writes = tokens, writes
         self.clear()
 
     def clear(self) -> None:
@@ -203,18 +216,22 @@ class Store:
         slots = list(map(self.slot.get, keys))
         new = [i for i, s in enumerate(slots) if s is None]
         if new:
-            size = len(self.text)
-            self.add([raw[first[where[i]]:end[where[i]]] for i in new])
-            for n, i in enumerate(new):
-                slots[i] = self.slot[keys[i]] = size + n
+            size = len(self.whole)
+            added = [raw[first[where[i]]:end[where[i]]] for i in new]
+            odd = [not 32 < s[-1] < 127 for s in added]
+            order = [k for k, x in enumerate(odd) if not x] + [k for k, x in enumerate(odd) if x]
+            self.add([added[k] for k in order], len(odd) - sum(odd))
+            for n, k in enumerate(order):
+                slots[new[k]] = self.slot[keys[new[k]]] = size + n
         return np.array(slots, np.int64)[at]
 
-    def add(self, segments: list[bytes]) -> None:
-        a, b = self.tokens.encode(segments)
-        (ids_a, n_a), (ids_b, n_b), whole = flat(a), flat(b), np.ones(len(segments), bool)
+    def add(self, segments: list[bytes], joined: int) -> None:
+        a, b = self.tokens.encode_a(segments, joined), self.tokens.encode_b(segments)
+        (ids_a, n_a), (ids_b, n_b), whole = a, b, np.ones(len(segments), bool)
         if not (self.spells(0, ids_a, n_a, segments) and self.spells(1, ids_b, n_b, segments)):
-            for i, s in enumerate(segments):
-                whole[i] = all(b"".join([self.tokens.bytes[k][t] for t in x[i]]) == s for k, x in enumerate((a, b)))
+            for names, (ids, n) in zip(self.tokens.bytes, (a, b)):
+                pieces, upto = list(map(names.__getitem__, ids.tolist())), np.cumsum(n).tolist()
+                whole &= [b"".join(pieces[x:y]) == s for x, y, s in zip([0, *upto], upto, segments)]
             ids_a, ids_b = ids_a[np.repeat(whole, n_a)], ids_b[np.repeat(whole, n_b)]
             n_a, n_b = n_a * whole, n_b * whole
         ia, ib = common_ends(np.cumsum(self.tokens.size[0][ids_a]).tolist(), np.cumsum(self.tokens.size[1][ids_b]).tolist())
@@ -224,7 +241,8 @@ class Store:
         ga, gb = np.repeat(np.arange(len(ia)), len_a), np.repeat(np.arange(len(ib)), len_b)
         who, pair, weight = links_of(ids_a, ids_b, ga, gb, owner)
         links = np.bincount(owner, (len_a * len_b).astype(np.float64), len(segments)).astype(np.int64)
-        self.text += self.written(ids_a, ids_b, ia, ib, np.cumsum(groups))
+        if self.writes:
+            self.text += self.written(ids_a, ids_b, ia, ib, np.cumsum(groups))
         self.whole.extend(whole.tolist())
         for col, v in zip(self.sizes, (n_a, n_b, groups, links)):
             col.extend(v.tolist())
@@ -251,8 +269,9 @@ class Store:
         last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
         last_a[ia], last_b[ib] = 1, 1
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        sign = np.concatenate([4 * ids_a + last_a, 4 * ids_b + 2 * last_b])
-        sign = sign[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        sign = np.empty(len(ids_a) + len(ids_b), np.int64)
+        sign[np.arange(len(ids_a)) + np.concatenate(([0], ib + 1))[group_a]] = 4 * ids_a + last_a
+        sign[np.arange(len(ids_b)) + (ia + 1)[group_b]] = 4 * ids_b + 2 * last_b
         ends = np.concatenate(([0], np.cumsum(self.tokens.sign_size[sign])))
         n = np.concatenate(([0], np.cumsum(np.diff(ia, prepend=-1) + np.diff(ib, prepend=-1))))[upto]
         stop = ends[n].tolist()
@@ -261,12 +280,20 @@ class Store:
 
 
 @cache
-def store(a_path: str, b_path: str) -> Store:
-    """One store per Python worker, which lives through many tasks."""
+def worker_store(a_path: str, b_path: str) -> Store:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Store(Tokens(a_path, b_path))
 
 
+def store(a_path: str, b_path: str, writes: bool = True) -> Store:
+    """One store per Python worker, which lives through many tasks."""
+    kept = worker_store(a_path, b_path)
+    if kept.writes != writes or len(kept.whole) > STORE:
+        kept.writes = writes
+        kept.clear()
+    return kept
+
+
 def segments_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts with a space before each, end to end; hash, first byte and end of their segments,
     and each text's number of segments.
@@ -330,7 +357,7 @@ def distinct_links(kept: Store, slots: np.ndarray, counts: np.ndarray) -> tuple[
 def count_pairs(a_path: str, b_path: str):
     """Number of texts that hold each pair linked, as far as the task has seen them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = store(a_path, b_path)
+        kept = store(a_path, b_path, writes=False)
         seen = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
@@ -341,7 +368,7 @@ def count_pairs(a_path: str, b_path: str):
             n = len(kept.pairs)
             _, pair, _ = distinct_links(kept, slots, counts)
             seen = np.pad(seen, (0, n - len(seen))) + np.bincount(pair, minlength=n)
-            if len(kept.text) > STORE:
+            if len(kept.whole) > STORE:
                 yield out()
                 kept.clear()
                 seen = np.zeros(0, np.int64)
@@ -376,7 +403,7 @@ def score_docs(a_path: str, b_path: str, sent):
         kept = store(a_path, b_path)
         sums = np.zeros((2, 0), np.int64)
         for batch, lo, hi, at, slots, counts in read_chunks(batches, 1, kept):
-            if sums.shape[1] < len(kept.text):
+            if sums.shape[1] < len(kept.whole):
                 lo_slot = sums.shape[1]
                 width = np.array(kept.width, np.int64)[lo_slot:]
                 link = np.array(kept.link, np.int64)[kept.first[lo_slot]:]
@@ -389,7 +416,7 @@ def score_docs(a_path: str, b_path: str, sent):
                 v[at] = sum_by_text(s[slots], counts)
                 cols.append(pa.array(v))
             yield pa.RecordBatch.from_arrays(cols, names=[*DOC, "n_best", "count_sum"])
-            if len(kept.text) > STORE:
+            if len(kept.whole) > STORE:
                 kept.clear()
                 sums = np.zeros((2, 0), np.int64)
     return run
@@ -407,7 +434,7 @@ def linked_docs(a_path: str, b_path: str):
             links = pa.ListArray.from_arrays(pa.array(np.cumsum(upto).astype(np.int32)), item)
             cols = doc_columns(kept, batch.column(0).slice(lo, hi - lo), at, slots, counts)
             yield pa.RecordBatch.from_arrays([*cols, links], names=[*DOC, "links"])
-            if len(kept.text) > STORE:
+            if len(kept.whole) > STORE:
                 kept.clear()
     return run
 
