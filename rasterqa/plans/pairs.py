@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from rasterqa import dims
 from rasterqa.functions.numbers import half_even, luminance, px_to_mm
-from rasterqa.operators import compare, components as cc, geometry, kernels, masks, metrics, objects, qa, transforms
+from rasterqa.operators import compare, components as cc, geometry, hashjoin, kernels, masks, metrics, objects, qa, transforms
 from rasterqa.plans import raster
 from rasterqa.plans.raster import (
     _BLACK, _BOX, _CONTENT, _DOM, _EDGE, _HALO, _PLACE, _SOBEL, _SOFT, _dist, _nb, _taps, both, rx,
 )
 from rasterqa.plans.registry import query
 from rasterqa.plans.sqlparts import (
-    BOTH, LUM, MASK_COMPARE, MASK_GEOMETRY, MASK_QA, RING, RX, component_stats, reach,
+    BOTH, LUM, MASK_COMPARE, MASK_GEOMETRY, MASK_QA, RING, RX, component_stats, reach, stamped,
 )
 
 def pairs_of(t):
@@ -190,6 +190,37 @@ def c8_ssim(t):
     return compare.ssim(native_frames(t)).withColumn("ssim", half_even(F.col("ssim"), 4))
 
 
+def variants(t):
+    """Each raster under id 4k, its opaque form (an equal hash) under 4k + 1, and under 4k + 2 and 4k + 3
+    copies with one and two corners inverted, which move few or no bits of the hash."""
+    base = rx(t)
+    flip = lambda on: [F.when(on, 255 - F.col(c)).otherwise(F.col(c)).alias(c) for c in "rgb"]
+    first = (F.col("x") == 0) & (F.col("y") == 0)
+    last = (F.col("x") == 7) & (F.col("y") == 7)
+    forms = [base, base.withColumn("a", F.lit(255)),
+             base.select("image_id", "w", "h", "x", "y", *flip(first), "a"), base.select("image_id", "w", "h", "x", "y", *flip(first | last), "a")]
+    named = [f.withColumn("image_id", F.col("image_id") * 4 + k) for k, f in enumerate(forms)]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+
+
+_VARIANTS = f"{stamped()}, {GREY}, {DCT64}"
+_CLASSES = "cl AS MATERIALIZED (SELECT hash_bits, min(image_id) AS rep, count(*) AS members FROM hb GROUP BY hash_bits)"
+
+
+@query("c4_near_duplicates", f"""WITH {_VARIANTS}, {_CLASSES}, p AS (SELECT least(a.rep, b.rep) AS rep_a, greatest(a.rep, b.rep) AS rep_b,
+CASE WHEN a.rep < b.rep THEN a.members ELSE b.members END AS members_a, CASE WHEN a.rep < b.rep THEN b.members ELSE a.members END AS members_b,
+CAST(bit_count(xor(CAST(a.hash_bits AS BIT), CAST(b.hash_bits AS BIT))) AS INT) AS distance FROM cl a JOIN cl b ON a.hash_bits < b.hash_bits)
+SELECT *, (1 - distance / 64) * 100.0::DOUBLE AS similarity_pct FROM p WHERE distance <= 3""")
+def c4_near_duplicates(t):
+    words = compare.phash64(variants(t)).select("image_id", F.col("words")[0].alias("hash"))
+    return hashjoin.near_pairs(words, max_bits=3).withColumn("similarity_pct", (1 - F.col("distance") / 64) * 100.0)
+
+
+@query("c4_hash_classes", f"WITH {_VARIANTS}, {_CLASSES} SELECT image_id, rep AS rep_id FROM hb JOIN cl USING (hash_bits)")
+def c4_hash_classes(t):
+    return hashjoin.hash_classes(compare.phash64(variants(t)).select("image_id", F.col("words")[0].alias("hash")))
+
+
 _DET = "det AS (SELECT pair_id, (1 - d / bits) * 100.0 AS phash_pct, CAST(round_even(round(greatest((1 - d / bits) * 100.0, ssim * 100), 9), 0) AS INT) AS detail_pct FROM hm JOIN ss USING (pair_id))"
 
 

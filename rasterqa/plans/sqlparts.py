@@ -28,6 +28,19 @@ BOTH = (
     f"{_raster('vec_id * 2 + 1', '255')})"
 )
 
+
+
+def stamped() -> str:
+    """px: a raster, its opaque form, and copies with one and two corners inverted, under ids 4k to 4k + 3."""
+    first, both = "(x = 0 AND y = 0)", "((x = 0 AND y = 0) OR (x = 7 AND y = 7))"
+    flip = lambda on: ", ".join(f"CASE WHEN {on} THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb")
+    return (
+        f"base AS MATERIALIZED ({_raster('vec_id * 4', _ALPHA)}), px AS MATERIALIZED (SELECT * FROM base "
+        "UNION ALL SELECT image_id + 1, w, h, x, y, r, g, b, 255 FROM base "
+        f"UNION ALL SELECT image_id + 2, w, h, x, y, {flip(first)}, a FROM base "
+        f"UNION ALL SELECT image_id + 3, w, h, x, y, {flip(both)}, a FROM base)")
+
+
 LUM = "((r * 299 + g * 587 + b * 114) / 1000)"
 NLUM = "((n.r * 299 + n.g * 587 + n.b * 114) / 1000)"
 

@@ -55,6 +55,8 @@ def _facts(raw: bytes | None) -> tuple[int | None, int | None, float | None]:
                 continue
             if mark == 0xE0 and raw[at + 4:at + 9] == b"JFIF\x00" and number(at + 12, 2):
                 dpi = {1: 1.0, 2: 2.54}.get(raw[at + 11], 0.0) * number(at + 12, 2) or dpi
+            elif mark == 0xE1 and raw[at + 4:at + 10] == b"Exif\x00\x00" and dpi is None:
+                dpi = _exif_density(raw[at + 10:at + 2 + size])
             elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
                 height, width = number(at + 5, 2), number(at + 7, 2)
                 break
@@ -72,20 +74,36 @@ def _facts(raw: bytes | None) -> tuple[int | None, int | None, float | None]:
     return width or None, height or None, dpi or None
 
 
+def _exif_density(tiff: bytes) -> float | None:
+    """Dots per inch of the first directory of an Exif block."""
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if order is None:
+        return None
+    number = lambda at, n: int.from_bytes(tiff[at:at + n], order)
+    first, unit, density = number(4, 4), 2, None
+    for at in range(first + 2, min(first + 2 + 12 * number(first, 2), len(tiff) - 11), 12):
+        tag, kind = number(at, 2), number(at + 2, 2)
+        if tag == 0x011A and kind == 5 and number(number(at + 8, 4) + 4, 4):
+            density = number(number(at + 8, 4), 4) / number(number(at + 8, 4) + 4, 4)
+        elif tag == 0x0128:
+            unit = number(at + 8, 2)
+    return density * {2: 1.0, 3: 2.54}.get(unit, 0.0) or None if density else None
+
+
 @F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("dpi", T.DoubleType())]))
 def image_facts(content: pd.Series) -> pd.DataFrame:
     facts = pd.DataFrame([_facts(c) for c in content], columns=["width", "height", "dpi"], dtype=object)
     return facts.astype({"width": "Int64", "height": "Int64", "dpi": "Float64"})
 
 
-def with_dpi(files: DataFrame, override: Column | None = None) -> DataFrame:
-    """DPI that PNG and JPEG files state, else 300; an override wins."""
+def with_dpi(files: DataFrame, override: Column | None = None, keep: bool = False) -> DataFrame:
+    """DPI that PNG and JPEG files state (JPEG: JFIF before Exif), else 300; an override wins."""
     read = files.withColumn("_facts", image_facts("content"))
     stated = F.rint(F.col("_facts.dpi")).cast("int")
     found = F.when(stated > 0, stated)
     given = F.lit(None).cast("int") if override is None else F.when(override > 0, override.cast("int"))
     return read.withColumn("dpi", F.coalesce(given, found, F.lit(dims.DEFAULT_DPI))).withColumn(
-        "dpi_from_file", given.isNull() & found.isNotNull()).drop("_facts")
+        "dpi_from_file", given.isNull() & found.isNotNull()).drop(*[] if keep else ["_facts"])
 
 
 def reject_reason(length: Column, head: Column, width: Column, height: Column) -> Column:
@@ -108,6 +126,25 @@ def validate_images(files: DataFrame) -> DataFrame:
     return read.select(*files.columns, w.alias("width"), h.alias("height"), reject_reason(F.col("length"), head, w, h).alias("reason"))
 
 
+def inspect_files(files: DataFrame, override: Column | None = None) -> DataFrame:
+    """``path, length, width, height, dpi, dpi_from_file, reason`` of ``(path, length, content)``.
+
+    Each header is read once and the bytes go no further; ``validate_images`` and ``with_dpi`` say
+    what the columns hold.
+    """
+    checked = with_dpi(files.withColumn("_head", F.hex(F.substring("content", 1, 32))), override, keep=True)
+    w, h = F.col("_facts.width"), F.col("_facts.height")
+    return checked.select("path", "length", w.alias("width"), h.alias("height"), "dpi", "dpi_from_file",
+                          reject_reason(F.col("length"), F.col("_head"), w, h).alias("reason"))
+
+
+def inspect_folder(spark, path: str) -> DataFrame:
+    """``inspect_files`` of the images below a folder. Spark's file sources list no empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ext = F.ltrim(extension(F.col("path")), F.lit("."))
+    return inspect_files(found.filter(ext.isin(dims.IMAGE_EXTENSIONS)).select("path", "length", "content"))
+
+
 def read_base64(payloads: DataFrame) -> DataFrame:
     """Payload text, with or without a ``data:`` prefix, to bytes; NULL where it is not base64."""
     body = F.when(F.col("payload").startswith("data:"), F.substring_index("payload", ",", -1)).otherwise(F.col("payload"))

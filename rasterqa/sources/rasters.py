@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIXEL_COLUMNS = ["image_id", "w", "h", "x", "y", "r", "g", "b", "a"]
@@ -62,31 +62,50 @@ def _decode_strips(batches):
                     "y": np.repeat(np.arange(y0, y0 + n, dtype=np.int32), img.width),
                     "r": r, "g": g, "b": b,
                     "a": ch[:, 3] if img.nc == 4 else np.int32(255),
+                    **({"dpi": np.int32(img.dpi)} if "dpi" in batch.columns else {}),
                 })
 
 
-def read_pixels(spark, path: str) -> DataFrame:
+def file_key(path: Column, escaped: bool = False) -> Column:
+    """One spelling of a file's address: ``file:/a b.png`` for ``file:///a%20b.png`` too.
+
+    Spark's image source percent-escapes (``escaped``), its binaryFile source doesn't. An authority
+    (``s3a://bucket/``) stays. A path that is no text is left as it is.
+    """
+    text = path.cast("string")
+    if escaped:
+        text = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    return F.regexp_replace(text, r"^([A-Za-z][A-Za-z0-9+.-]*):///+", "$1:/")
+
+
+def read_pixels(spark, path: str, files: DataFrame | None = None) -> DataFrame:
     """Decode a folder of images to pixel rows with Spark's image source.
 
-    Files the decoder cannot read come back with height -1 and are left out here;
-    ``validate_images`` reports them.
+    ``image_id`` is the file's address as binaryFile spells it. Files the decoder cannot read come
+    back with height -1 and are left out here; ``inspect_files`` reports them. With ``files``
+    (``path, reason, dpi`` of ``inspect_files``) only files without a reason are decoded, and their
+    ``dpi`` rides along.
     """
     img = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     good = img.filter(F.col("height") > 0).select(
-        F.col("origin").alias("image_id"), "width", "height",
+        file_key(F.col("origin"), escaped=True).alias("image_id"), "width", "height",
         F.col("nChannels").alias("nc"), "data",
     )
-    return good.mapInPandas(
-        _decode_strips,
-        "image_id string, w int, h int, x int, y int, r int, g int, b int, a int",
-    )
+    schema = "image_id string, w int, h int, x int, y int, r int, g int, b int, a int"
+    if files is None:
+        return good.mapInPandas(_decode_strips, schema)
+    passed = files.filter("reason is null").select(file_key(F.col("path")).alias("image_id"), "dpi")
+    return good.join(passed, "image_id").mapInPandas(_decode_strips, schema + ", dpi int")
 
 
 def accepted(pixels: DataFrame, files: DataFrame) -> DataFrame:
     """Pixels of the files that pass, with each file's ``dpi``.
 
-    ``files(path, reason, dpi)``: one row per image from ``validate_images`` and ``with_dpi``,
-    ``path`` as the pixels' ``image_id``.
+    ``files(path, reason, dpi)``: one row per image from ``inspect_files``; ``path`` may be spelt as
+    either of Spark's file sources does, or be any other id that the pixels carry.
     """
+    if dict(pixels.dtypes)["image_id"] == "string":
+        good = files.filter("reason is null").select(file_key(F.col("path")).alias("_key"), "dpi")
+        return pixels.withColumn("_key", file_key(F.col("image_id"))).join(good, "_key").drop("_key")
     good = files.filter("reason is null").select(F.col("path").alias("image_id"), "dpi")
     return pixels.join(good, "image_id")

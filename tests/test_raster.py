@@ -113,13 +113,13 @@ def test_halo_ignores_clear_white_and_finds_fringe(spark):
     fringe = canvas(16, 16, CLEAR, (3, 3, 10, 10), (235, 235, 235, 120))
     for y in range(4, 12):
         fringe[y][4:12] = [(20, 20, 20, 255)] * 8
-    got = {r.image_id: r.halo_pct for r in kernels.halo_pct(pixels(spark, {1: clean, 2: fringe}), (2,)).collect()}
+    got = {r.image_id: r.halo_pct for r in kernels.halo_pct(pixels(spark, {1: clean, 2: fringe})).collect()}
     assert got[1] == 0 and got[2] > 5
 
 
 def test_qa_weights_and_na(spark):
     px = pixels(spark, {1: canvas(16, 16, (255, 255, 255, 255), (4, 4, 8, 8), (20, 20, 20, 255))})
-    checks = qa.qa_checks(qa.qa_measurements(px, halo_radii=(2,)))
+    checks = qa.qa_checks(qa.qa_measurements(px))
     rows = {r.id: r for r in checks.collect()}
     assert len(rows) == 13
     assert rows["halo"].status == "na" and rows["halo"].weight == 0
