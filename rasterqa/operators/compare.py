@@ -138,7 +138,7 @@ def f1(precision: Column, recall: Column) -> Column:
 def edge_f1(frames: DataFrame) -> DataFrame:
     """Edge agreement per pair within 3 px, over frames holding both sides' edges
     ``(pair_id, w, h, x, y, edge_o, edge_g)``."""
-    far = kernels.distance_to(frames, {"to_o": "edge_o", "to_g": "edge_g"}, keys=("pair_id",))
+    far = kernels.distance_to(frames, {"to_o": "edge_o", "to_g": "edge_g"}, keys=("pair_id",), bound=dims.EDGE_TOLERANCE_PX)
     near = lambda edge, dist: F.sum(F.when(F.col(edge) & (F.col(dist) <= dims.EDGE_TOLERANCE_PX), 1).otherwise(0))
     total = lambda edge: F.sum(F.when(F.col(edge), 1).otherwise(0))
     agg = far.groupBy("pair_id").agg(

@@ -12,10 +12,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where, half_even, luminance
 from rasterqa.operators import components as cc
+from rasterqa.operators.envelopes import column_pass, stroke_of_copy
 from rasterqa.session import cut_lineage
 
 Keys = tuple[str, ...]
@@ -136,17 +138,18 @@ def level8(col: Column) -> Column:
 
 
 def distance_to(pixels: DataFrame, targets: dict[str, str], keys: Keys = IMAGE,
-                only: str | None = None) -> DataFrame:
+                only: str | None = None, bound: int | None = None) -> DataFrame:
     """Exact Euclidean distance to the nearest pixel of each set (NULL if it is empty).
 
     ``targets`` maps an output column to a boolean column. Row pass: nearest member in
-    the row, from the last one before and the first one after. Column pass: the least
-    of ``dy^2 + d^2`` down the column, searched only ``d`` rows up and down, since no
-    nearer answer can lie further off than the one in the pixel's own row. With ``only``,
-    a boolean column, distances are worked out and returned for its pixels alone.
+    the row, from the last one before and the first one after. Column pass: the lower envelope
+    of ``dy^2 + d^2`` down the column, linear in its pixels. With ``only``, a boolean column,
+    distances are returned for its pixels alone. With ``bound`` (pixels) only members that near
+    count, further ones give NULL, and both passes are windows of that width.
     """
-    back = _along_x(keys).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _along_x(keys).rowsBetween(0, Window.unboundedFollowing)
+    row = _along_x(keys)
+    reach = Window.unboundedFollowing if bound is None else bound
+    back, ahead = row.rowsBetween(-reach, 0), row.rowsBetween(0, reach)
     near = []
     for out, flag in targets.items():
         here = F.when(F.col(flag), F.col("x"))
@@ -154,39 +157,21 @@ def distance_to(pixels: DataFrame, targets: dict[str, str], keys: Keys = IMAGE,
         right = F.first(here, ignorenulls=True).over(ahead) - F.col("x")
         near.append(F.least(left, right).alias(f"_{out}"))
     rowed = pixels.select("*", *near)
-    others = [c for c in pixels.columns if c not in (*keys, "x", "y")]
-    column = rowed.groupBy(*keys, "x").agg(
-        F.array_sort(F.collect_list(F.struct("y", *[f"_{o}" for o in targets], *others))).alias("cells")
-    )
-
-    def nearest(out: str):
-        gap = f"_{out}"
-
-        def search(cell):
-            i = cell["y"] + 1
-            span = F.coalesce(cell[gap], F.size("cells"))
-            lo = F.greatest(F.lit(1), i - span)
-            hi = F.least(F.size("cells"), i + span)
-            found = F.transform(
-                F.slice("cells", lo, hi - lo + 1),
-                lambda o: (o["y"] - cell["y"]) * (o["y"] - cell["y"]) + o[gap] * o[gap],
-            )
-            return F.sqrt(F.array_min(found).cast("double"))
-
-        return search
-
-    outs = {o: nearest(o) for o in targets}
-    asked = F.filter("cells", lambda c: c[only]) if only else F.col("cells")
-    cells = F.transform(
-        asked,
-        lambda c: F.struct(
-            c["y"].alias("y"), *[c[k].alias(k) for k in others],
-            *[fn(c).alias(o) for o, fn in outs.items()],
-        ),
-    )
-    return column.select(*keys, "x", F.inline(cells)).select(
-        *pixels.columns, *targets
-    )
+    gaps = {out: f"_{out}" for out in targets}
+    if bound is None:
+        fields = [f for f in rowed.schema if f.name not in gaps.values()]
+        schema = T.StructType(fields + [T.StructField(out, T.DoubleType()) for out in targets])
+        # one task has all of a column: the repartition's own keys, and no later split of it
+        done = rowed.repartition(*keys, "x").sortWithinPartitions(*keys, "x", "y").mapInArrow(
+            column_pass([*keys, "x"], gaps), schema)
+    else:
+        col = _along_y(keys)
+        square = lambda gap: F.least(*[
+            _at(gap, dy, col) * _at(gap, dy, col) + dy * dy for dy in range(-bound, bound + 1)])
+        found = {out: square(gap) for out, gap in gaps.items()} if bound else {out: F.col(gap) * F.col(gap) for out, gap in gaps.items()}
+        done = rowed.select("*", *[c.alias(out) for out, c in found.items()]).withColumns(
+            {out: F.when(F.col(out) <= bound * bound, F.sqrt(F.col(out).cast("double"))) for out in targets}).drop(*gaps.values())
+    return (done.filter(only) if only else done).select(*pixels.columns, *targets)
 
 
 def _any(flag: Column) -> Column:
@@ -290,7 +275,8 @@ def soft_edge_pct(pixels: DataFrame, level: str = "a",
     edged = morph(flagged, {"eroded": ("inside", CROSS, "min")})
     boundary = (F.col("inside") == 1) & (F.col("eroded") == 0)
     edged = edged.select("image_id", "x", "y", "is_clear", "is_opaque", boundary.alias("boundary"))
-    far = distance_to(edged, {"d_clear": "is_clear", "d_opaque": "is_opaque"}, only="boundary")
+    # a pixel counts with an opaque one within 16 px, and none clear that near makes its edge wide
+    far = distance_to(edged, {"d_clear": "is_clear", "d_opaque": "is_opaque"}, only="boundary", bound=16)
     usable = F.col("d_opaque") <= 16
     soft = usable & (
         F.col("d_clear").isNull() | (F.col("d_clear") + F.col("d_opaque") - 1 > dims.EDGE_SOFT_PX)
@@ -389,44 +375,22 @@ def stroke_mask(copy: DataFrame, dpis: DataFrame, original: DataFrame) -> DataFr
     )
 
 
-def radius_levels(dmax: Column, side: int = dims.STROKE_LONG_SIDE) -> Column:
-    """Geometric disc radii 1, 1.5, ... below ``dmax``, closed by ``dmax`` itself."""
-    steps, r = [], 1.0
-    while r < side:
-        steps.append(r)
-        r = max(r + 0.5, r * 1.3)
-    ladder = F.array(*[F.lit(s) for s in steps])
-    return F.concat(F.filter(ladder, lambda s: s < dmax), F.array(dmax))
-
-
 def min_stroke(pixels: DataFrame, dpis: DataFrame | None = None,
                side: int = dims.STROKE_LONG_SIDE) -> DataFrame:
     """Thinnest stroke in px: 5th percentile of 2·thickness−1 along the skeleton.
 
-    Thickness of a pixel is the largest disc inside the shape that covers it. Every
-    radius level is a distance pass of its own, with the level as a second key, so the
-    work stays linear in pixels times levels and splits by image, level, row and column.
+    Thickness of a pixel is the largest disc inside the shape that covers it. Distances come from
+    ``distance_to``; the content pixels of an analysis copy, ``side`` squared at most, then go to one
+    task, which looks at skeleton pixels only.
     """
     inside = pixels.withColumn("inside", F.when(F.col("content"), 255).otherwise(0))
     copy = shrink(inside, ["inside"], side).withColumn("content", F.rint("inside") > 127)
     dpis = image_dpi(pixels) if dpis is None else dpis
     mask = stroke_mask(copy, dpis, pixels).withColumn("outside", ~F.col("stroke"))
-    far = distance_to(mask, {"d": "outside"}).drop("outside").withColumn(
-        "d", F.when(F.col("stroke"), F.coalesce("d", F.greatest("w", "h").cast("double"))).otherwise(0.0)
-    )
-    ridge = morph(far, {"peak": ("d", box(1), "max")}).withColumn(
-        "skeleton", F.col("stroke") & (F.col("d") >= F.col("peak"))
-    )
-    top = ridge.groupBy("image_id").agg(F.max("d").alias("dmax")).filter("dmax > 0")
-    levels = top.select("image_id", F.explode(radius_levels(F.col("dmax"), side)).alias("level"))
-    by_level = ridge.select("image_id", "x", "y", "d", "skeleton").join(levels, "image_id")
-    seeds = by_level.select("image_id", "level", "x", "y", "skeleton", (F.col("d") >= F.col("level") - 1e-3).alias("seed"))
-    reach = distance_to(seeds, {"to_seed": "seed"}, keys=("image_id", "level"), only="skeleton")
-    thick = (
-        reach.filter(F.col("to_seed") <= F.col("level") + 0.5)
-        .groupBy("image_id", "x", "y").agg(F.max("level").alias("thick"))
-    )
-    thin = thick.groupBy("image_id").agg(F.percentile(2 * F.col("thick") - 1, 0.05).alias("thin"))
+    far = distance_to(mask, {"d": "outside"}, only="stroke").select(
+        "image_id", "x", "y", F.coalesce("d", F.greatest("w", "h").cast("double")).alias("d"))
+    schema = T.StructType([mask.schema["image_id"], T.StructField("thin", T.DoubleType())])
+    thin = far.groupBy("image_id").applyInPandas(stroke_of_copy(side), schema)
     full = pixels.groupBy("image_id").agg(F.max(F.greatest("w", "h")).alias("longest"))
     scale = F.least(F.lit(1.0), F.lit(float(side)) / F.col("longest"))
     return thin.join(full, "image_id").select(
