@@ -10,7 +10,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -65,6 +64,29 @@ def changes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(pc.fill_null(pc.not_equal(a, b), False)) | np.array(pc.xor(pc.is_null(a), pc.is_null(b)))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, ``least`` rows or more each but the last; rows come sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    rows = cut = 0  # held rows, and those before the last group, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        near = pa.Table.from_batches([*edge, batch])
+        new = np.flatnonzero(np.logical_or.reduce([changes(near.column(k).combine_chunks()) for k in keys]))
+        if len(new):
+            cut = rows + int(new[-1]) + 1 - len(edge)
+        held.append(batch)
+        rows += batch.num_rows
+        if cut and rows >= least:
+            t = pa.Table.from_batches(held)
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+            rows, cut = rows - cut, 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def column_pass(keys: list[str], gaps: dict[str, str]) -> Callable:
     """Rows come sorted by ``keys`` and y. ``gaps`` maps an output to the distance to the set within
     the cell's own raster row; null means none there."""
@@ -84,23 +106,7 @@ def column_pass(keys: list[str], gaps: dict[str, str]) -> Callable:
             t = t.append_column(out, pa.array(d, mask=~np.isfinite(d)))
         yield from t.drop_columns(list(gaps.values())).combine_chunks().to_batches(max_chunksize=10_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= CELLS:
-                t = pa.Table.from_batches(held)
-                new = np.flatnonzero(np.logical_or.reduce([changes(t.column(k).combine_chunks()) for k in keys]))
-                cut = int(new[-1]) + 1 if len(new) else 0  # the last column may go on
-                if cut:
-                    yield from solve(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-                rows = t.num_rows - cut
-        if rows:
-            yield from solve(pa.Table.from_batches(held))
-    return run
+    return lambda batches: (out for t in whole_groups(batches, keys, CELLS) for out in solve(t))
 
 
 def radius_levels(dmax: float, side: int) -> list[float]:
@@ -156,12 +162,19 @@ def ridge_thickness(d: np.ndarray, side: int) -> np.ndarray:
     return thick
 
 
-def stroke_of_copy(side: int) -> Callable:
-    """Thin end of the stroke widths of one analysis copy, from its content cells ``(x, y, d)``."""
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        x, y = cells["x"].to_numpy(), cells["y"].to_numpy()
-        d = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1))
-        d[y - y.min(), x - x.min()] = cells["d"].to_numpy()
-        thick = ridge_thickness(d, side)
-        return pd.DataFrame({"image_id": [key[0]], "thin": [float(np.percentile(2 * thick - 1, 5))]})
+def stroke_of_copies(side: int) -> Callable:
+    """Thin end of the stroke widths of analysis copies, from their content cells ``(image_id, x, y, d)``
+    in the order of ``image_id``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["image_id"], 1):
+            first = np.flatnonzero(np.concatenate(([True], changes(t.column("image_id").combine_chunks()))))
+            x, y, depth = (np.array(t.column(c)) for c in ("x", "y", "d"))
+            thin = []
+            for lo, hi in zip(first, [*first[1:], t.num_rows]):
+                px, py = x[lo:hi] - x[lo:hi].min(), y[lo:hi] - y[lo:hi].min()
+                d = np.zeros((py.max() + 1, px.max() + 1))
+                d[py, px] = depth[lo:hi]
+                thin.append(float(np.percentile(2 * ridge_thickness(d, side) - 1, 5)))
+            ids = t.column("image_id").take(pa.array(first)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(thin, pa.float64())], names=["image_id", "thin"])
     return run

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where, half_even, luminance
 from rasterqa.operators import components as cc
-from rasterqa.operators.envelopes import column_pass, stroke_of_copy
+from rasterqa.operators.envelopes import column_pass, stroke_of_copies
 from rasterqa.session import cut_lineage
 
 Keys = tuple[str, ...]
@@ -390,7 +390,9 @@ def min_stroke(pixels: DataFrame, dpis: DataFrame | None = None,
     far = distance_to(mask, {"d": "outside"}, only="stroke").select(
         "image_id", "x", "y", F.coalesce("d", F.greatest("w", "h").cast("double")).alias("d"))
     schema = T.StructType([mask.schema["image_id"], T.StructField("thin", T.DoubleType())])
-    thin = far.groupBy("image_id").applyInPandas(stroke_of_copy(side), schema)
+    # a number of partitions that small copies don't shrink: the work is in the tasks, not in the rows
+    dealt = far.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    thin = dealt.sortWithinPartitions("image_id").mapInArrow(stroke_of_copies(side), schema)
     full = pixels.groupBy("image_id").agg(F.max(F.greatest("w", "h")).alias("longest"))
     scale = F.least(F.lit(1.0), F.lit(float(side)) / F.col("longest"))
     return thin.join(full, "image_id").select(
