@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where
 from rasterqa.operators.ordered import ordered_fold, previous_row, running_sum
+from rasterqa.operators.statemaps import lockout_outcomes
 
 
 def latest_by(df: DataFrame, key: str, ts: str, payload: list[str]) -> DataFrame:
@@ -160,33 +162,15 @@ def rate_limit(calls: DataFrame, n: int = dims.RATE_LIMIT, window: float = dims.
                         "key bigint, call_id bigint, accepted boolean")
 
 
-def lockouts(attempts: DataFrame, failures: int = dims.LOCKOUT_FAILURES, seconds: float = dims.LOCKOUT_SECONDS) -> DataFrame:
+def lockouts(attempts: DataFrame, failures: int = dims.LOCKOUT_FAILURES, seconds: float = dims.LOCKOUT_SECONDS,
+             slot: int | None = None) -> DataFrame:
     """Outcome of every attempt ``(key, attempt_id, ts, ok)``: refused while locked; the
-    fifth failure locks; a success or an expired lock clears the count."""
+    fifth failure locks; a success or an expired lock clears the count.
 
-    def fold(batches):
-        key, count, until = None, 0, 0.0
-        for pdf in batches:
-            out = []
-            for k, ts, ok in zip(pdf["key"], pdf["ts"], pdf["ok"]):
-                if k != key:
-                    key, count, until = k, 0, 0.0
-                if until and ts >= until:
-                    count, until = 0, 0.0
-                if until:
-                    out.append("refused")
-                elif ok:
-                    count = 0
-                    out.append("success")
-                else:
-                    count += 1
-                    if count >= failures:
-                        until = ts + seconds
-                    out.append("locked" if until else "failure")
-            yield pd.DataFrame({"key": pdf["key"], "attempt_id": pdf["attempt_id"], "outcome": out})
-
-    return ordered_fold(attempts.select("key", "ts", "attempt_id", "ok"), ["key"], ["ts", "attempt_id"], fold,
-                        "key bigint, attempt_id bigint, outcome string")
+    A key's attempts are cut into slots of ``slot`` seconds (a day, or the length of a lock where that is
+    longer) that are worked out side by side, so a busy key spreads over tasks.
+    """
+    return lockout_outcomes(attempts, failures, seconds, slot or max(86400, math.ceil(seconds)))
 
 
 def final_status(updates: DataFrame) -> DataFrame:
