@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where
 from rasterqa.operators.ordered import ordered_fold, previous_row, running_sum
-from rasterqa.operators.statemaps import lockout_outcomes
+from rasterqa.operators.statemaps import accept_within, lockout_outcomes
 
 
 def latest_by(df: DataFrame, key: str, ts: str, payload: list[str]) -> DataFrame:
@@ -136,29 +135,15 @@ def rate_limit(calls: DataFrame, n: int = dims.RATE_LIMIT, window: float = dims.
     """Accept or reject every call ``(key, call_id, ts)``; rejected calls are not stored.
 
     A pause longer than the window empties the limiter, so each burst between pauses is
-    a unit of its own and a busy key spreads over tasks by burst.
+    a unit of its own and a busy key spreads over tasks by burst. A burst is worked out a window's
+    length at a time; between them only the last ``n`` accepted times are kept.
     """
     order = ["ts", "call_id"]
     marked = previous_row(calls.select("key", *order), "key", order, ["ts"], slot)
     opens = F.when(F.col("prev").isNull() | (F.col("ts") - F.col("prev.ts") > window), 1).otherwise(0)
     bursts = running_sum(marked.withColumn("opens", opens).drop("prev"), "key", order, F.col("opens"), "burst", slot)
 
-    def fold(batches):
-        unit, kept = None, deque()
-        for pdf in batches:
-            accepted = []
-            for key, burst, ts in zip(pdf["key"], pdf["burst"], pdf["ts"]):
-                if (key, burst) != unit:
-                    unit, kept = (key, burst), deque()
-                while kept and ts - kept[0] > window:
-                    kept.popleft()
-                ok = len(kept) < n
-                if ok:
-                    kept.append(ts)
-                accepted.append(ok)
-            yield pd.DataFrame({"key": pdf["key"], "call_id": pdf["call_id"], "accepted": accepted})
-
-    return ordered_fold(bursts.select("key", "burst", *order), ["key", "burst"], order, fold,
+    return ordered_fold(bursts.select("key", "burst", *order), ["key", "burst"], order, accept_within(n, window),
                         "key bigint, call_id bigint, accepted boolean")
 
 

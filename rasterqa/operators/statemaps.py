@@ -182,3 +182,45 @@ def lockout_outcomes(attempts: DataFrame, failures: int, seconds: float, length:
     rows = cut.select("*", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("until"), F.lit(True).alias("_event"))
     schema = T.StructType([cut.schema["key"], cut.schema["attempt_id"], T.StructField("outcome", T.StringType())])
     return ordered_fold(rows.unionByName(first), UNIT, ["_event", *order], replay(failures, seconds), schema)
+
+
+def accepted_calls(ts: np.ndarray, kept: np.ndarray, n: int, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which calls of one burst are accepted after those at ``kept``, and the last ``n`` accepted times.
+
+    The number of accepted calls up to call i is the smaller of one more than before and ``n`` more than were
+    accepted before its window opens. Within the length of one window the second term hangs on
+    earlier lengths only, so the first unrolls to a running minimum.
+    """
+    accepted = np.zeros(len(ts), bool)
+    at = 0
+    while at < len(ts):
+        end = int(np.searchsorted(ts, ts[at] + window, side="right"))
+        part = ts[at:end]
+        rank = np.arange(1, len(part) + 1)
+        room = np.searchsorted(kept, part - window, side="left") + n
+        total = rank + np.minimum(len(kept), np.minimum.accumulate(room - rank))
+        accepted[at:end] = np.diff(total, prepend=len(kept)) == 1
+        kept = np.concatenate([kept, part[accepted[at:end]]])[-n:]
+        at = end
+    return accepted, kept
+
+
+def accept_within(n: int, window: float) -> Callable:
+    """At most ``n`` accepted calls in any window; rows come sorted by key, burst and time."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, kept = None, np.zeros(0)
+        for pdf in batches:
+            ts, key, burst = (pdf[c].to_numpy() for c in ("ts", "key", "burst"))
+            if not len(pdf):
+                continue
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (burst[1:] != burst[:-1])])
+            end = np.r_[new[1:], len(pdf)]
+            accepted = np.ones(len(pdf), bool)  # a burst of n calls or fewer is accepted whole
+            large = np.flatnonzero(end - new > n)
+            for k in sorted({0, len(new) - 1, *large.tolist()}):
+                lo, hi = new[k], end[k]
+                if (key[lo], burst[lo]) != unit:
+                    unit, kept = (key[lo], burst[lo]), ts[:0]
+                accepted[lo:hi], kept = accepted_calls(ts[lo:hi], kept, n, window)
+            yield pd.DataFrame({"key": key, "call_id": pdf["call_id"], "accepted": accepted})
+    return run

@@ -75,3 +75,34 @@ def test_wrong_slot_and_empty(spark):
     assert events.lockouts(none).count() == 0
     with pytest.raises(ValueError):
         events.lockouts(none, seconds=300, slot=10)
+
+
+def limit(times, n, window):
+    kept, out = [], []
+    for t in times:
+        kept = [k for k in kept if t - k <= window]
+        out.append(len(kept) < n)
+        if out[-1]:
+            kept.append(t)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=80).map(sorted), st.integers(1, 6), st.integers(0, 15), st.integers(0, 80))
+def test_accepted_calls(times, n, window, cut):
+    ts = np.array(times)
+    first, kept = statemaps.accepted_calls(ts[:cut], ts[:0], n, window)
+    second, kept = statemaps.accepted_calls(ts[cut:], kept, n, window)
+    assert [*first, *second] == limit(times, n, window) and len(kept) <= n
+
+
+def test_limiter_over_keys(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(4000):
+        rows.append((rnd.choice([1, 1, 1, 2, 3]), i, rnd.randint(0, 9000)))
+    rows += [(4, 5000 + i, 100 + i // 500) for i in range(30_000)]  # a burst over many batches
+    d = spark.createDataFrame(rows, "key long, call_id long, ts long")
+    got = {r.call_id: r.accepted for r in events.rate_limit(d, n=6, window=20, slot=500).collect()}
+    for key in (1, 2, 3, 4):
+        mine = sorted((t, i) for k, i, t in rows if k == key)
+        assert [got[i] for _, i in mine] == limit([t for t, _ in mine], 6, 20)
