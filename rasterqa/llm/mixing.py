@@ -60,10 +60,11 @@ def crossings(place: Column, rate: Column, offset: Column, most: int) -> Column:
 
 
 def with_slot(d: DataFrame) -> DataFrame:
-    """Size band, hash of the id and slot of each document."""
+    """Key of the source (never null), size band, hash of the id and slot of each document."""
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
     band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")
-    return d.withColumns({"band": band, "h": number.cast("long")}).withColumn("slot", (F.col("h") % SLOTS).cast("int"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    return d.withColumns({"key": key, "band": band, "h": number.cast("long")}).withColumn("slot", (F.col("h") % SLOTS).cast("int"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix",
@@ -78,7 +79,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     takes the words nearest to the target.
 
     The running sum is a row number inside (source, band, slot) plus the counts of the
-    slots before, so a source with a third of all rows spreads over all tasks.
+    slots before, so a source with a third of all rows spreads over all tasks. What the slots
+    add is one row each, joined on the window's own keys: documents are shuffled once.
 
     Null or empty texts have size 0 and 0 copies; null sources form a source of their own; rows
     that repeat an id are documents of their own; an empty table gives no rows; other
@@ -86,32 +88,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     """
     thin = saved(with_slot(docs.select(
         F.col(source).alias("source"), F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size"))))
-    counts = thin.groupBy("source", "band", "slot").agg(F.count(F.when(F.col("size") > 0, 1)).alias("n"), F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("band", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(
-        F.col("source").alias("s_source"), F.col("band").alias("s_band"), F.col("slot").alias("s_slot"), "before")
+    line_keys = ["key", "band", "slot"]
+    counts = thin.groupBy("source", *line_keys).agg(F.count(F.when(F.col("size") > 0, 1)).alias("n"), F.sum("size").alias("words"))
+    upto = Window.partitionBy("key").orderBy("band", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(*line_keys, "before")
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
-    plan = slots.join(targets, F.col("s_source").eqNullSafe(F.col("source"))).drop("source")
+    targets = targets.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).drop("source")
+    plan = saved(slots.join(targets, "key"))
 
-    def in_line(rows: DataFrame) -> DataFrame:
-        line = Window.partitionBy("source", "band", "slot").orderBy(F.col("size") == 0, "size", "h", "id")
-        return rows.withColumn("at", F.row_number().over(line)).join(
-            plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("band") == F.col("s_band")) & (F.col("slot") == F.col("s_slot"))
-        ).withColumn("place", F.col("before") + F.col("at")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    def in_line(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        line = Window.partitionBy(*line_keys).orderBy(F.col("size") == 0, "size", "h", "id")
+        return rows.withColumn("at", F.row_number().over(line)).join(plan, line_keys).withColumns({
+            "place": F.col("before") + F.col("at"),
+            "rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)})
 
     def copies(shift: Column) -> Column:
         n = crossings(F.col("place"), F.col("rate"), random_offset(F.col("source"), seed, shift), max_repeats)
         return F.when(F.col("size") > 0, n).otherwise(0).cast("long")
 
-    taken = in_line(thin).groupBy("source").agg(
+    taken = in_line(thin, plan).groupBy("key").agg(
         F.first("target").alias("goal"), *[F.sum(F.col("size") * copies(F.lit(t / TRIES))).alias(f"t{t}") for t in range(TRIES)])
     miss = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{t}") - F.col("goal")).alias("miss"), F.lit(t / TRIES).alias("shift")) for t in range(TRIES)]))
-    shifts = taken.select(F.col("source").alias("d_source"), miss["shift"].alias("shift"))
+    shifts = taken.select("key", miss["shift"].alias("shift"))
 
     whole = with_slot(docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("source"),
         F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size")))
-    return in_line(whole).join(shifts, F.col("source").eqNullSafe(F.col("d_source"))).select(
+    return in_line(whole, plan.join(shifts, "key")).select(
         "doc", "size", "source_size", "target", copies(F.col("shift")).alias("copies"))
 
 
