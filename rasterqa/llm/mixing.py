@@ -68,8 +68,9 @@ def with_slot(d: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix",
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` as struct ``doc`` with ``size, source_size, target, copies``.
+        doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` as struct ``doc`` with ``size, source_size, target, copies``; ``keep`` names the columns
+    in ``doc`` (all), and only those are shuffled.
 
     Every document of a source expects ``target / source_size`` copies. Documents are
     lined up by size band, slot, size and id; running sums of the expected copies plus one
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     shifts = taken.select("key", miss["shift"].alias("shift"))
 
     whole = with_slot(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("source"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(source).alias("source"),
         F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size")))
     return in_line(whole, plan.join(shifts, "key")).select(
         "doc", "size", "source_size", "target", copies(F.col("shift")).alias("copies"))
