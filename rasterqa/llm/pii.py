@@ -1,9 +1,10 @@
 """Personal data: four plain kinds, and bootstrapped contextual extraction of further ones.
 
-Seeds are the entities that the plain patterns find. Their contexts, the word before and the
-word after, are the lexical patterns. Patterns and instances form a graph that is scored in
-rounds: a pattern is as good as the share of its instances that are known; an instance is as
-good as the patterns that found it. What good patterns find is known in the next round.
+Seeds are the entities that the plain patterns find. Their contexts are the lexical patterns: the word
+before, the two words before, the word after, and the words before and after together. Patterns and
+instances form a graph that is scored in rounds: a pattern is as good as the share of its known
+instances that are of its kind, unknown ones counting a little against it; an instance is as good as
+the patterns that found it. What good patterns find is known in the next round.
 Everything is a DataFrame operation.
 """
 
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterqa.llm.common import saved, whole_text
-from rasterqa.llm.spans import no_spans, ordered, overlaps_any, with_matches
+from rasterqa.llm.common import WORD, saved, whole_text
+from rasterqa.llm.spans import apart_from, bound, cut, in_blocks, no_spans, ordered, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -24,15 +25,18 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Identifier-like words: letters, digits and signs, with a digit.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[A-Za-z._%+@()-]*+[0-9][A-Za-z0-9._%+@()-]*+(?![^\x20\x09-\x0D,;:!?])"
+#: Identifier-like words: letters, digits and signs, with a digit, an underscore or an at sign.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])[A-Za-z.%+()-]*+[0-9_@][A-Za-z0-9._%+@()-]*+(?![^\x20\x09-\x0D,;:!?])"
+CANDIDATE_SIGN = "[0-9_@]"
 CANDIDATE_LEAST = 6
-#: Characters around a span in which its neighbouring words are read.
-CONTEXT = 40
+#: Characters around a span in which its neighbouring words are read; of longer words the near end counts.
+CONTEXT = 64
 ROUNDS = 3
 #: Different seeds that a pattern must have met, and the scores that count.
 PATTERN_SEEDS = 5
 PATTERN_SCORE = 0.8
+#: Share of a known instance of another kind that an unknown instance counts against a pattern.
+UNKNOWN = 0.2
 INSTANCE_SCORE = 0.8
 
 
@@ -66,18 +70,24 @@ def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat("_email", ip, card, phone)).drop("_email", "_ip", "_card", "_phone")
 
 
-def neighbours(text: Column, span: Column) -> Column:
-    """The words before and after a span, lower-cased, as one pattern."""
-    start = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = text.substr((start + 1).cast("int"), (span["start"] - start).cast("int"))
-    after = text.substr((span["end"] + 1).cast("int"), F.lit(CONTEXT))
-    left = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*+$", 1)
-    right = F.regexp_extract(after, r"^[^A-Za-z0-9\x80-\x{10FFFF}]*+([^\x20\x09-\x0D]+)", 1)
-    return F.concat(F.lower(left), F.lit("\x01"), F.lower(right))
+def contexts(blocks: Column, span: Column) -> Column:
+    """The lexical patterns around a span, lower-cased; those whose words are missing are left out."""
+    before = cut(blocks, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"])
+    after = cut(blocks, span["end"], span["end"] + CONTEXT)
+    read = F.struct(F.reverse(F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0))).alias("left"), F.nullif(
+        F.lower(F.regexp_extract(after, r"^[^A-Za-z0-9\x80-\x{10FFFF}]*+([^\x20\x09-\x0D]+)", 1)), F.lit("")).alias("right"))
+
+    def patterns(near):  # concat gives null where a word is missing
+        left, left2, right = F.get(near["left"], 0), F.get(near["left"], 1), near["right"]
+        return F.array_compact(F.array(
+            F.concat(F.lit("before\x01"), left), F.concat(F.lit("two before\x01"), left2, F.lit("\x01"), left),
+            F.concat(F.lit("after\x01"), right), F.concat(F.lit("around\x01"), left, F.lit("\x01"), right)))
+
+    return bound(read, patterns)
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, pattern_seeds: int = PATTERN_SEEDS,
-              pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> DataFrame:
+              pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE, unknown: float = UNKNOWN) -> DataFrame:
     """``kind, value, score`` of the instances that good patterns discover.
 
     ``edges`` are pairs ``kind, value, pattern``, with kind null for candidates. An edge counts once
@@ -93,8 +103,10 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, pattern_seeds: int = PATTE
     for _ in range(rounds):
         known = seeds if found is None else seeds.unionByName(found)
         met = seen.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("score").alias("good"))
-        good = met.filter(F.col("seeds") >= pattern_seeds).join(sizes, "pattern").withColumn(
-            "p", F.col("good") / F.col("size")).filter(F.col("p") >= pattern_score)
+        all_kinds = met.groupBy("pattern").agg(F.sum("seeds").alias("known"), F.sum("good").alias("any")).join(sizes, "pattern")
+        against = F.col("any") + unknown * F.greatest(F.col("size") - F.col("known"), F.lit(0))
+        good = met.filter(F.col("seeds") >= pattern_seeds).join(all_kinds, "pattern").withColumn(
+            "p", F.col("good") / against).filter(F.col("p") >= pattern_score)
         claims = fresh.join(good, "pattern").groupBy("value", "kind").agg(  # noisy or of the patterns
             (1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score"))
         best = claims.groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("b"))
@@ -113,14 +125,16 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
     rows = with_base_spans(rows, "text", "base")
-    rows = with_matches(rows, "text", "?", CANDIDATE, "odd", F.rlike("text", F.lit("[0-9]")))
-    free = F.filter("odd", lambda c: (F.length(c["value"]) >= CANDIDATE_LEAST) & ~overlaps_any(c, F.col("base")))
+    rows = with_matches(rows, "text", "?", CANDIDATE, "odd", F.rlike("text", F.lit(CANDIDATE_SIGN)))
+    free = apart_from(F.filter("odd", lambda c: F.length(c["value"]) >= CANDIDATE_LEAST), F.col("base"))
     rows = rows.withColumn("odd", F.when(F.size("odd") > 0, free).otherwise(no_spans()))
-    near = F.transform(F.concat("base", "odd"), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), neighbours(F.col("text"), s).alias("pattern")))
+    near = bound(in_blocks(F.col("text")), lambda blocks: F.transform(F.concat("base", "odd"), lambda s: F.struct(
+        s["kind"].alias("kind"), s["value"].alias("value"), contexts(blocks, s).alias("patterns"))))
     key = F.when(F.size("odd") > 0, F.xxhash64("text"))
     rows = saved(rows.select("id", "base", "odd", key.alias("key"), F.when(F.size("base") + F.size("odd") > 0, near).otherwise(F.array()).alias("near")))
 
-    edges = rows.select(F.explode("near").alias("e")).select(F.expr("nullif(e.kind, '?')").alias("kind"), "e.value", "e.pattern")
+    edges = rows.select(F.explode("near").alias("e")).select(
+        F.expr("nullif(e.kind, '?')").alias("kind"), "e.value", F.explode("e.patterns").alias("pattern"))
     found = bootstrap(edges)
     odd = rows.filter(F.size("odd") > 0).select("id", "key", F.explode("odd").alias("s")).distinct()
     more = odd.join(found.withColumnRenamed("kind", "k"), F.col("s.value") == F.col("value")).groupBy(

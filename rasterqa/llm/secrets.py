@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterqa.llm.common import saved, whole_text
-from rasterqa.llm.spans import no_spans, ordered, overlaps_any, with_matches
+from rasterqa.llm.spans import apart_from, bound, cut, in_blocks, no_spans, ordered, running, with_matches
 
 KINDS = ("assign", "access", "hex")
 
@@ -53,7 +53,7 @@ def with_candidates(df: DataFrame, text: str, base: str, other: str) -> DataFram
         signs = F.size(F.array_distinct(F.split(v, "(?!^)(?!$)")))
         return F.rlike(v, F.lit("[a-z]")) & F.rlike(v, F.lit("[A-Z]")) & F.rlike(v, F.lit("[0-9]")) & (signs >= LONG_DISTINCT)
 
-    more = F.filter(F.filter("_long", mixed), lambda s: ~overlaps_any(s, F.col(base)))
+    more = apart_from(F.filter("_long", mixed), F.col(base))
     return df.withColumn(other, F.when(F.size("_long") > 0, more).otherwise(no_spans())).drop("_assign", "_access", "_hex", "_long")
 
 
@@ -97,15 +97,19 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
 def masked(text: Column, spans: Column) -> Column:
     """The text with the spans replaced by a mask; spans that overlap become one."""
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        before = text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def pieces(both):
+        blocks, around, upto = both["blocks"], both["spans"], both["upto"]  # upto: the furthest end so far
 
-    rest = lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(by_start, start, step, rest)
+        def piece(s, i):
+            at = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(upto, i - 1))
+            return F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"]), F.lit(MASK))).otherwise("")
+
+        rest = cut(blocks, F.get(upto, F.size(upto) - 1), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(around, piece), ""), rest)
+
+    return bound(by_start, lambda a: bound(F.struct(
+        in_blocks(text).alias("blocks"), a.alias("spans"), running(F.transform(a, lambda s: s["end"]), F.greatest).alias("upto")), pieces))
 
 
 def mask_live_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", **settings) -> DataFrame:

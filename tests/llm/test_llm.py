@@ -1,6 +1,7 @@
 """The training-data operators against plain versions: given tables, odd rows, empty tables."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -142,6 +143,34 @@ def test_contexts_of_seeds_find_new_identifiers(spark):
     assert got[20] == [("email", "agent_0077")] and got[22] == [("email", "user77_at_home2")] and got[21] == []
 
 
+def test_one_sided_cues_and_identifiers_without_digits(spark):
+    rows = [(i, f"account: user{i}@mail.example.com word{i}") for i in range(8)]  # the word after varies
+    rows += [(20, "account: jane_of_troy rest"), (21, "account: agent_0077 more"), (22, "take the 4711abc road")]
+    rows += [(30 + i, f"seen 10.0.0.{i} x{i}q and seen mail{i}@b.example.org y") for i in range(8)]  # two kinds behind one cue
+    rows += [(50, "now seen thing_77 today")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == [("email", "jane_of_troy")] and got[21] == [("email", "agent_0077")]
+    assert got[22] == [] and got[50] == []
+
+
+def test_spans_of_very_long_texts(spark):
+    n = 100_000
+    text = " ".join(f"é u{i}@mail.example.com" for i in range(n))
+    start = time.time()
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert len(row.spans) == n and all(text[s.start:s.end] == s.value for s in row.spans[::997])
+    assert time.time() - start < 60
+
+
+def test_masking_of_very_long_texts_and_overlaps(spark):
+    text = " ".join(f"é token=abcdef{i}" for i in range(20_000))
+    row = secrets.mask_live_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()[0]
+    assert row.text == " ".join(["é [SECRET]"] * 20_000)
+    spans = F.expr("array(named_struct('start', 5L, 'end', 9L), named_struct('start', 1L, 'end', 7L), named_struct('start', 9L, 'end', 10L))")
+    got = spark.createDataFrame([("0123456789abc",)], "t string").select(secrets.masked(F.col("t"), spans).alias("m")).collect()[0].m
+    assert got == "0[SECRET][SECRET]abc"
+
+
 def test_mixing(spark, odd, docs):
     for d in (odd, docs):
         rows = mixing.mix(d).select("doc.doc_id", "doc.source", "doc.text", "size", "source_size", "target", "copies").collect()
