@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterqa.llm import words
-from rasterqa.llm.common import partitions, saved
+from rasterqa.llm.common import dropped, partitions, saved
 
 ORDER = 3
 #: N-grams of two words or more are kept from this count on: all of them.
@@ -116,6 +116,15 @@ def bit_number(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
+def by_byte(key: np.ndarray) -> bytes:
+    """Sorted hashes of one part, all first bytes, then all second ones, and so on: the equal ones compress."""
+    return key.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def count_grams(order: int, parts: int):
     """Counts of a task's n-grams, packed by part: hashes and counts in a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +140,14 @@ def count_grams(order: int, parts: int):
                 key, count, part = key[by], count[by], part[by].astype(np.int64)
                 cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
                 names = part[cut[:-1]]
-                raw = [(key[a:b].tobytes(), np.minimum(count[a:b], 2**32 - 1).astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+                raw = [(by_byte(key[a:b]), np.minimum(count[a:b], 2**32 - 1).astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names), pa.array(np.full(len(names), n + 1, np.int32)),
                     pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], names=["part", "n", "keys", "counts"])
                 held[n].clear()
             size = 0
 
-        for batch in batches:
+        for batch in words.slices(batches):
             texts = words.texts(batch.column(0), lower=True)
             for lo, hi in words.chunks(texts):
                 tokens, counts = token_hashes(texts[lo:hi])
@@ -155,13 +164,14 @@ def count_grams(order: int, parts: int):
 def fill_parts(least: int):
     """Per part: exact counts of single words, and the part's bits for every longer n-gram kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         waiting: tuple[int, list] | None = None
 
         def finish(part, rows):
             words_key = words_count = np.zeros(0, np.uint64)
             items_key, items_level = [], []
             for n in sorted({r[0] for r in rows}):
-                key = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows if r[0] == n])
+                key = np.concatenate([from_bytes(r[1]) for r in rows if r[0] == n])
                 count = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows if r[0] == n]).astype(np.int64)
                 order = np.argsort(key, kind="stable")
                 key, count = key[order], count[order]
@@ -224,10 +234,14 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
         fill_parts(least), "part long, keys binary, counts binary, bits binary"))
     sizes = table.select("part", F.length("bits").alias("b"), F.length("keys").alias("k")).collect()
     tokens = table.select("counts").mapInArrow(total_of, "total long").agg(F.sum("total")).first()[0] or 0
-    groups, held = [], send_mb << 20
+    need_of = lambda r: r.b + 2 * r.k  # noqa: E731  bits, word hashes and their counts
+    whole = sum(map(need_of, sizes))
+    room = -(-whole // max(1, -(-whole // (send_mb << 20)))) + max(map(need_of, sizes), default=0)  # as many passes, alike in size
+    room = min(room, send_mb << 20)
+    groups, held = [], room
     for r in sorted(sizes, key=lambda r: r.part):
-        need = r.b + 2 * r.k  # bits, word hashes and their counts
-        if not groups or held + need > send_mb << 20:
+        need = need_of(r)
+        if not groups or held + need > room:
             groups.append([])
             held = 0
         groups[-1].append(r.part)
@@ -257,6 +271,13 @@ class Parts:
         if len(count) and count.max() < 2**32:
             self.count = self.count.astype(np.uint32)
 
+    def __getstate__(self) -> dict:
+        """Arrays as bytes, which a worker reads once and looks at in place."""
+        return {k: (v.dtype.str, v.tobytes()) if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update({k: np.frombuffer(v[1], v[0]) if isinstance(v, tuple) else v for k, v in state.items()})
+
     def level(self, gram: np.ndarray, n: int, limit: np.ndarray | None = None) -> np.ndarray:
         """Level of each n-gram whose part is here, 0 for the others, at most ``limit``, which equal
         n-grams share. Equal ones are read once."""
@@ -323,8 +344,9 @@ def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: boo
     n_all, vocabulary, n_texts = totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         parts = sent.value
-        for batch in batches:
+        for batch in words.slices(batches):
             ids, raw = batch.column(0), batch.column(1)
             texts = words.texts(raw, lower=True)
             before = batch.column(2).to_pylist()
@@ -387,7 +409,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """
     state = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(b"").alias("levels"),
                         F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"))
-    groups = model.groups or [[]]
+    groups, state_files = model.groups or [[]], []
     done = np.zeros(model.parts, bool)
     for i, group in enumerate(groups):
         final = i == len(groups) - 1
@@ -397,7 +419,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             done[:] = True
         work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final, done)
         state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
-        state = state if final else saved(state)
+        if not final:
+            state, old = saved(state), state_files
+            state_files = state.inputFiles()
+            dropped(docs.sparkSession, old)
     return state.select("id", "n_tokens", "n_known", "base", "score")
 
 

@@ -57,7 +57,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted word hashes, and their slots
         self.start, self.length, self.ids = array("q", [0]), array("q", [1]), array("I", [END_ID])
 
     def encode(self, word: bytes) -> list[int]:
@@ -81,18 +81,22 @@ class WordIds:
         texts = [t if b"<|" in t else t.lower() for t in texts]
         h, first, end, counts = words.word_hashes(texts)
         found, where, at = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) + len(found) > WORD_STORE:
+        if len(self.known) + len(found) > WORD_STORE:
             self.clear()
-        keys = found.tolist()
-        slots = list(map(self.slot.get, keys))
-        raw = b"\n".join(texts)
-        for i in [i for i, s in enumerate(slots) if s is None]:
-            ids = self.encode(raw[first[where[i]]:end[where[i]]])
-            slots[i] = self.slot[keys[i]] = len(self.start)
+        place = np.searchsorted(self.known, found)
+        new = np.ones(len(found), bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != found
+        raw, added = b"\n".join(texts), np.flatnonzero(new)
+        fresh = np.arange(len(self.start), len(self.start) + len(added), dtype=np.int32)
+        for i in where[added].tolist():
+            ids = self.encode(raw[first[i]:end[i]])
             self.start.append(len(self.ids))
             self.length.append(len(ids))
             self.ids.extend(ids)
-        row = np.insert(np.array(slots, np.int64)[at], np.cumsum(counts), 0)  # slot 0: the end id
+        self.known, self.slot = np.insert(self.known, place[added], found[added]), np.insert(self.slot, place[added], fresh)
+        slots = self.slot[np.searchsorted(self.known, found)]
+        row = np.insert(slots[at], np.cumsum(counts), 0)  # slot 0: the end id
         length = np.frombuffer(self.length, np.int64)[row]
         upto = np.cumsum(length)
         out = np.frombuffer(self.ids, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[row] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]

@@ -7,6 +7,7 @@ share one with probability 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +45,21 @@ def texts(column, lower: bool = False) -> list[bytes]:
     return [(b or b"").lower() for b in raw] if lower else [b or b"" for b in raw]
 
 
+def give_back() -> None:
+    """Hands memory that was freed, also by earlier tasks of this worker, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, rows: int = 1000):
     """The batches in slices of at most ``rows`` rows, so that few texts are unpacked at once."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
