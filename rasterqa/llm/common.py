@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 
 from rasterqa.session import shared_folder
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again.
 
-    Cuts lineage and columns stay prunable; a lost executor rereads files.
+    Cuts lineage and columns stay prunable; a lost executor rereads files. What was shuffled for
+    it isn't needed any more then, so Spark removes those files as soon as the write ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
