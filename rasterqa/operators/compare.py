@@ -79,7 +79,7 @@ def image_features(pixels: DataFrame) -> DataFrame:
     stats = metrics.alpha_colour_stats(masked)
     box = metrics.bbox(masked)
     shape = metrics.shape_features(masked).drop("n_content", "aspect", "box_area")
-    contours = metrics.contour_features(cc.components(masked.filter("content").select("image_id", "x", "y"), 8))
+    contours = metrics.contour_features(cc.nesting(masked))
     dominant = colour.dominant_colours(masked).groupBy("image_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "r", "g", "b", "share"))).alias("dominant"))
     alpha = pixels.groupBy("image_id").agg(F.bool_or(F.col("a") < 255).alias("has_alpha"))

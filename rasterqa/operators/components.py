@@ -20,6 +20,8 @@ from rasterqa.session import cut_lineage
 
 BUCKET = 64
 STRIP = 256
+#: Run ids hold an image side in 20 bits; one more for the reach beyond it.
+SIDE_BITS = 21
 
 
 def runs(mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -35,36 +37,43 @@ def runs(mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     )
 
 
+def _least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Least node of each node's component, for edges (u, v) over 0..n-1.
+
+    Each root hooks onto the least root an edge leads to, then paths are shortened until every
+    node points at its root; edges inside one tree are done with. All are array steps.
+    """
+    parent = np.arange(n)
+    while len(u):
+        ru, rv = parent[u], parent[v]
+        low = np.minimum(ru, rv)
+        np.minimum.at(parent, np.maximum(ru, rv), low)
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        left = parent[u] != parent[v]
+        u, v = u[left], v[left]
+    return parent
+
+
 def _strip_labels(pdf: pd.DataFrame, unit: np.ndarray, reach: int) -> np.ndarray:
-    """Least run id of each run's component within its strip, rows in (unit, y, x0) order."""
-    y, x0, x1 = pdf["y"].to_list(), pdf["x0"].to_list(), pdf["x1"].to_list()
-    line = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (np.diff(pdf["y"]) != 0)])
-    ends = np.r_[line[1:], len(pdf)]
-    parent = list(range(len(pdf)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k in range(1, len(line)):
-        i, j, i_end, j_end = line[k - 1], line[k], ends[k - 1], ends[k]
-        if unit[i] != unit[j] or y[i] + 1 != y[j]:
-            continue
-        while i < i_end and j < j_end:
-            if x1[i] + reach < x0[j]:
-                i += 1
-            elif x1[j] + reach < x0[i]:
-                j += 1
-            else:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-                if x1[i] < x1[j]:
-                    i += 1
-                else:
-                    j += 1
-    return pdf["run_id"].to_numpy()[[root(i) for i in range(len(pdf))]]
+    """Least run id of each run's component within its strip, rows in (unit, y, x0) order.
+
+    Runs of a row are disjoint and sorted, so those that touch a run of the next row are a
+    stretch found by two binary searches over (row, x).
+    """
+    # A row number with a gap before every strip; x moves by 2 so that x - reach stays positive.
+    row = unit.astype(np.int64) * (2 * STRIP) + pdf["y"].to_numpy().astype(np.int64) % STRIP + 1
+    x0, x1 = (pdf[c].to_numpy().astype(np.int64) + 2 for c in ("x0", "x1"))
+    above = (row - 1) << SIDE_BITS
+    first = np.searchsorted((row << SIDE_BITS) + x1, above + x0 - reach, "left")
+    last = np.searchsorted((row << SIDE_BITS) + x0, above + x1 + reach, "right")
+    many = np.maximum(last - first, 0)
+    below = np.repeat(np.arange(len(pdf)), many)
+    touched = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    return pdf["run_id"].to_numpy()[_least_labels(touched, below, len(pdf))]
 
 
 def _label_strips(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:
@@ -210,6 +219,31 @@ def border_connected(pixels: DataFrame, near: str, out: str) -> DataFrame:
     )
 
 
+def nesting(pixels: DataFrame, content: str = "content") -> DataFrame:
+    """Components of the content with the hole each lies in: ``component_stats`` and ``hole``, NULL outside.
+
+    ``pixels`` is a dense raster. Content is 8-connected, background 4-connected; background that
+    reaches the border is outside, any other is a hole. The pixel above a component's first pixel
+    belongs to the background around it, so one lookup per component tells what it lies in. Images with a
+    single component have no nesting, and their background is not labelled.
+    """
+    comps = cut_lineage(components(pixels.filter(content).select("image_id", "x", "y"), 8))
+    several = comps.groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").select("image_id")
+    empty = pixels.filter(~F.col(content)).join(several, "image_id", "left_semi")
+    back = label_runs(empty.select("image_id", "x", "y"), 4)
+    size = empty.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
+    holes = component_stats(back).join(size, "image_id").filter(
+        "x0 > 0 and y0 > 0 and x1 < w - 1 and y1 < h - 1").select("image_id", F.col("comp_id").alias("hole"))
+    inner = back.join(holes.withColumnRenamed("hole", "comp_id"), ["image_id", "comp_id"], "left_semi").select(
+        "image_id", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("comp_id").alias("hole"),
+        F.explode(F.sequence(F.floor(F.col("x0") / BUCKET).cast("int"), F.floor(F.col("x1") / BUCKET).cast("int"))).alias("bucket"))
+    first_x = (F.col("comp_id") % (1 << 20)).cast("int")  # a component's id is its first run's
+    at = comps.select("image_id", "comp_id", (F.col("y0") - 1).alias("y"), first_x.alias("px"),
+                      F.floor(first_x / BUCKET).cast("int").alias("bucket"))
+    held = at.join(inner, ["image_id", "y", "bucket"]).filter("px between b0 and b1").select("image_id", "comp_id", "hole")
+    return comps.join(held, ["image_id", "comp_id"], "left")
+
+
 def objects_summary(comps: DataFrame, object_area: int, isolated_area: int,
                     micro_area: int) -> DataFrame:
     """Component counts and the smallest area, per image."""

@@ -71,17 +71,19 @@ def shape_features(pixels: DataFrame, content: str = "content", keys=("image_id"
 def contour_features(comps: DataFrame) -> DataFrame:
     """Outer regions above 0.5% of the content, and the largest one's share of the box.
 
-    Region size is its pixel count.
+    ``comps`` is what ``components.nesting`` gives: regions inside another's hole belong to the
+    content but count as no outer region. Region size is its pixel count.
     """
+    outer = F.when(F.col("hole").isNull(), F.col("area"))
     whole = comps.groupBy("image_id").agg(
         F.sum("area").alias("content_px"),
         ((F.max("x1") - F.min("x0") + 1) * (F.max("y1") - F.min("y0") + 1)).alias("box_area"),
-        F.max("area").alias("largest"),
+        F.max(outer).alias("largest"),
     )
     counted = (
         comps.join(whole, "image_id")
         .groupBy("image_id", "largest", "box_area")
-        .agg(count_where(F.col("area") > F.col("content_px") * 0.005).alias("n_contours"))
+        .agg(count_where(F.coalesce(outer, F.lit(0)) > F.col("content_px") * 0.005).alias("n_contours"))
     )
     return counted.select(
         "image_id", "n_contours",

@@ -236,14 +236,29 @@ def r12_shape_features(t):
 _CONTENT = "content_px AS MATERIALIZED (SELECT image_id, x, y FROM cm WHERE content)"
 
 
-@query("r13_contours", f"""WITH RECURSIVE {RX}, {MASK_COMPARE}, {_CONTENT}, {reach('content_px', 8)}, {component_stats()},
- tot AS (SELECT image_id, sum(area) AS total, max(area) AS largest,
-  (max(x1) - min(x0) + 1) * (max(y1) - min(y0) + 1) AS box FROM cs GROUP BY image_id)
- SELECT image_id, CAST(count(*) FILTER (area > 0.005 * total) AS BIGINT) AS n_contours,
- round_even(any_value(largest) / any_value(box), 3) AS largest_contour_share FROM cs JOIN tot USING (image_id) GROUP BY image_id""")
+# A component is outer if it holds a border pixel or is next to background that reaches the border.
+_OUTER = f"""bk AS MATERIALIZED (SELECT image_id, x, y FROM cm WHERE NOT content), {reach('bk', 4, 'bgc')},
+ outside AS MATERIALIZED (SELECT image_id, comp FROM bgc GROUP BY image_id, comp HAVING min(x) = 0 OR min(y) = 0 OR max(x) = 7 OR max(y) = 7),
+ sky AS MATERIALIZED (SELECT image_id, x, y FROM bgc JOIN outside USING (image_id, comp)),
+ outer_comp AS MATERIALIZED (SELECT DISTINCT image_id, comp FROM comp WHERE x IN (0, 7) OR y IN (0, 7)
+  UNION SELECT c.image_id, c.comp FROM comp c JOIN sky s ON s.image_id = c.image_id AND abs(s.x - c.x) + abs(s.y - c.y) = 1)"""
+
+
+@query("r13_contours", f"""WITH RECURSIVE {RX}, {MASK_COMPARE}, {_CONTENT}, {reach('content_px', 8)}, {component_stats()}, {_OUTER},
+ tot AS (SELECT image_id, sum(area) AS total, max(area) FILTER (oc.comp IS NOT NULL) AS largest,
+  (max(x1) - min(x0) + 1) * (max(y1) - min(y0) + 1) AS box FROM cs LEFT JOIN outer_comp oc USING (image_id, comp) GROUP BY image_id)
+ SELECT image_id, CAST(count(*) FILTER (area > 0.005 * total AND oc.comp IS NOT NULL) AS BIGINT) AS n_contours,
+ round_even(any_value(largest) / any_value(box), 3) AS largest_contour_share
+ FROM cs LEFT JOIN outer_comp oc USING (image_id, comp) JOIN tot USING (image_id) GROUP BY image_id""")
 def r13_contours(t):
-    px = masks.content_mask(rx(t), "compare").filter("content").select("image_id", "x", "y")
-    return metrics.contour_features(cc.components(px, 8))
+    return metrics.contour_features(cc.nesting(masks.content_mask(rx(t), "compare")))
+
+
+@query("r13_nesting", f"""WITH RECURSIVE {RX}, {MASK_COMPARE}, {_CONTENT}, {reach('content_px', 8)}, {component_stats()}, {_OUTER}
+ SELECT image_id, comp AS comp_id, CAST(area AS BIGINT) AS area, oc.comp IS NULL AS nested FROM cs LEFT JOIN outer_comp oc USING (image_id, comp)""")
+def r13_nesting(t):
+    out = cc.nesting(masks.content_mask(rx(t), "compare"))
+    return out.select("image_id", "comp_id", "area", F.col("hole").isNotNull().alias("nested"))
 
 
 _DOM = """dc AS (SELECT image_id, CAST(r // {s} * {s} AS INT) AS r, CAST(g // {s} * {s} AS INT) AS g,

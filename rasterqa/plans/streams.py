@@ -8,9 +8,9 @@ from rasterqa.plans.events import _STEPS, CLOCK, DAY, EVS, SECONDS
 from rasterqa.plans.registry import ORACLES, query
 from rasterqa.plans.text import T0, VAULT, _redact_sql, vault
 from rasterqa.streaming import changes, machines
-from rasterqa.streaming.delivery import deliver
+from rasterqa.streaming.delivery import deliver, read_queue
 from rasterqa.streaming.queries import loop_summary
-from rasterqa.streaming.runner import read_stream, run_available
+from rasterqa.streaming.runner import new_folder, read_stream, run_available
 
 
 def stream_of(t, name):
@@ -41,7 +41,7 @@ ST1 = f"WITH {VAULT}, {_REPLAY} SELECT * FROM ch"
 @query("st1_change_feed", ST1)
 def st1_change_feed(t):
     pages = vault(lambda name: stream_of(t, name))
-    return run_available(machines.change_stream(replay(pages)))
+    return run_available(machines.change_stream(replay(pages), memory=1)).drop("is_new")
 
 
 @query("st1_change_feed_batch", ST1)
@@ -56,7 +56,26 @@ def items(t):
 _ITEMS = f"{VAULT}, {_REPLAY}, it AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY tick) AS revision, regexp_replace(path, '/[^/]*$', '') AS folder FROM ch)"
 
 
-@query("st2_folder_revisions", f"WITH {_ITEMS} SELECT folder, CAST(max(revision) AS INT) AS revision FROM it GROUP BY folder")
+def published(t):
+    """The same items from the stream: change machine, then one versioned batch after the other."""
+    changed = machines.change_stream(replay(vault(lambda name: stream_of(t, name))), memory=1)
+    return changes.publish(changed, "root", new_folder(t.spark))
+
+
+ST2 = f"WITH {_ITEMS} SELECT folder, CAST(max(revision) AS INT) AS revision FROM it GROUP BY folder"
+
+
+@query("st2_revisions_stream", ST2)
+def st2_revisions_stream(t):
+    return changes.folder_revisions(published(t))
+
+
+@query("st2_changed_since", f"WITH {_ITEMS} SELECT folder, CAST(max(revision) AS INT) AS revision, count(*) FILTER (tick > 0 AND len(list_filter(string_split(path, '/')[1:-2], lambda p: lower(p) IN ('sent', 'outgoing'))) = 0) AS n_new FROM it WHERE revision > 2 GROUP BY folder")
+def st2_changed_since(t):
+    return changes.changed_since(items(t), 2)
+
+
+@query("st2_folder_revisions", ST2)
 def st2_folder_revisions(t):
     return changes.folder_revisions(items(t))
 
@@ -85,14 +104,14 @@ def st5_stalls(t):
 
 @query("st6_rate_limit", None)
 def st6_rate_limit(t):
-    calls = events_stream(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts")
+    calls = events_stream(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts", "event_time").withWatermark("event_time", "10 minutes")
     return run_available(machines.limit_stream(calls, n=2, window=DAY))
 
 
 @query("st6_lockouts", None)
 def st6_lockouts(t):
     tries = events_stream(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("attempt_id"), "ts",
-                                    F.col("event_type").isin("purchase", "signup").alias("ok"))
+                                    F.col("event_type").isin("purchase", "signup").alias("ok"), "event_time").withWatermark("event_time", "10 minutes")
     return run_available(machines.lockout_stream(tries, seconds=DAY))
 
 
@@ -125,3 +144,17 @@ def st9_pause_machine(t):
         F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") % 3).alias("stage"), kind.alias("kind"),
         SECONDS("l_shipdate").alias("at"), "l_partkey", "l_suppkey", "l_extendedprice")
     return run_available(machines.pause_stream(rows, ["at", "l_partkey", "l_suppkey", "l_extendedprice"]))
+
+
+@query("s6_diag_stream", "SELECT upper(event_type) AS kind, event_id % 2 AS file, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events WHERE event_id % 10 > 0 GROUP BY 1, 2")
+def s6_diag_stream(t):
+    # Two drops of JSON lines, a run after each; every tenth line is broken.
+    queue, base = new_folder(t.spark), new_folder(t.spark)
+    good = F.to_json(F.struct(F.upper("event_type").alias("kind"), F.col("user_id").cast("string").alias("username"),
+                              (F.col("event_id") % 2).cast("string").alias("step"), F.col("props").alias("detail")))
+    events = t("events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{broken "), "props")).otherwise(good).alias("value"))
+    for half in (0, 1):
+        events.filter(F.col("event_id") % 2 == half).select("value").write.mode("append").text(queue)
+        out = deliver(read_queue(t.spark, queue, "*.txt"), base)
+    return out.groupBy("kind", F.col("step").cast("bigint").alias("file")).agg(
+        F.count("*").alias("n"), F.sum(F.col("username").cast("bigint")).alias("users"))

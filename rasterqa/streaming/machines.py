@@ -1,7 +1,9 @@
 """Keyed state machines for streams: presence, stalls, limits, pauses, changes.
 
-Each keeps a few values per key in the state store. A key's rows of one micro-batch are
-put in event order before they are applied.
+Each keeps a few typed values per key in the RocksDB state store. A key's rows of one
+micro-batch are put in event order before they are applied, so a micro-batch bounds what a
+task holds of a hot key (``read_stream(..., max_files)``). State ends by event-time timers:
+they follow the watermark, so a replay forgets at the same rows as the first run.
 """
 
 from __future__ import annotations
@@ -10,63 +12,134 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rasterqa import dims
 
-NO_TIMEOUT, EVENT_TIME = GroupStateTimeout.NoTimeout, GroupStateTimeout.EventTimeTimeout
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(by, kind="stable")
+class Machine(StatefulProcessor):
+    """A machine over one key's rows: ``by`` orders them, ``take`` are the columns it reads."""
 
+    by: list[str]
+    take: list[str]
+    out: str
 
-def change_stream(ticks: DataFrame) -> DataFrame:
-    """Entries whose etag differs from the last one seen for their path. Rows of ticks that
-    are over for the path come too late and are left out."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
 
-    def step(key, pdfs, state: GroupState):
-        last, seen = state.get if state.exists else (None, None)
-        rows = []
-        for tick, etag, ms in _in_order(pdfs, ["tick"])[["tick", "etag", "modified_ms"]].itertuples(index=False):
+    def in_order(self, pdfs: Iterator[pd.DataFrame]):
+        wanted = list(dict.fromkeys([*self.take, *self.by]))
+        rows = pd.concat([p[wanted] for p in pdfs], ignore_index=True).sort_values(self.by, kind="stable")
+        return rows[self.take].itertuples(index=False, name=None)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in self.out.split(", ")])
+
+    def wake_at(self, ms: int | None) -> None:
+        """The key's only timer; None: none."""
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t != ms:
+                self.handle.deleteTimer(t)
+        if ms is not None and ms not in timers:
+            self.handle.registerTimer(ms)
+
+    def close(self) -> None:
+        pass
+
+
+def _run(rows: DataFrame, key: str, machine: Machine, timers: bool) -> DataFrame:
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    return rows.groupBy(key).transformWithStateInPandas(machine, machine.out, "append", "EventTime" if timers else "None")
+
+
+class _Changes(Machine):
+    by, out = ["tick", "modified_ms"], "path string, tick bigint, etag string, modified_ms bigint, is_new boolean"
+
+    def __init__(self, memory: int | None, first_tick: int, keep_s: int | None) -> None:
+        self.memory, self.first_tick, self.keep_s = memory, first_tick, keep_s
+        self.take = ["tick", "etag", "modified_ms"] + (["event_time"] if keep_s is not None else [])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "etag string, tick bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, seen = self.last.get() if self.last.exists() else (None, None)
+        found, newest = [], None
+        read = list(self.in_order(rows))
+        for (tick, etag, ms, *at), later in zip(read, [*read[1:], None]):
+            newest = max(at + ([] if newest is None else [newest]), default=None)
+            if later is not None and later[0] == tick:
+                continue  # a tick shows the newest version only
             if seen is not None and tick <= seen:
                 continue
-            if etag != last:
-                rows.append((key[0], tick, etag, ms))
-            last, seen = etag, tick
-        state.update((last, seen))
-        yield pd.DataFrame(rows, columns=["path", "tick", "etag", "modified_ms"])
+            forgotten = seen is None or (self.memory is not None and tick - seen > self.memory)
+            if forgotten or etag != known:
+                found.append((key[0], tick, etag, ms, tick > self.first_tick))
+            known, seen = etag, int(tick)
+        self.last.update((known, seen))
+        if newest is not None:
+            due = int(newest.timestamp() * 1000) + self.keep_s * 1000
+            self.wake_at(max([due, *self.handle.listTimers()]))
+        yield self.frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield self.frame([])
+
+
+def change_stream(ticks: DataFrame, memory: int | None = None, first_tick: int = 0, keep_s: int | None = None) -> DataFrame:
+    """Entries whose etag differs from the last one seen for their path.
+
+    Rows of ticks that are over for the path come too late and are left out. An etag counts as
+    seen for ``memory`` ticks (None: as long as state lives); a tick reads the vault again some time
+    back (``changes.poll_ticks``), and that overlap publishes nothing twice. What the first tick finds is
+    history: ``is_new`` is false. With ``keep_s``, ``ticks`` has ``event_time`` with a watermark, and a
+    path's state goes once the watermark is ``keep_s`` past its newest row.
+    """
+    return _run(ticks, "path", _Changes(memory, first_tick, keep_s), keep_s is not None)
+
 
-    return ticks.groupBy("path").applyInPandasWithState(
-        step, "path string, tick bigint, etag string, modified_ms bigint", "etag string, tick bigint", "append", NO_TIMEOUT)
+class _Presence(Machine):
+    by, take, out = ["ts"], ["ts"], "agent_id bigint, ts bigint, state string"
+
+    def __init__(self, limit_s: int) -> None:
+        self.limit_s = limit_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "ts bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        found = []
+        for (ts,) in self.in_order(rows):
+            if last is not None and ts - last > self.limit_s:
+                found.append((key[0], last + self.limit_s, "offline"))
+            if last is None or ts - last > self.limit_s:
+                found.append((key[0], ts, "online"))
+            last = ts if last is None else max(ts, last)
+        self.last.update((int(last),))
+        self.wake_at((int(last) + self.limit_s) * 1000)
+        yield self.frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield self.frame([(key[0], last + self.limit_s, "offline")])
 
 
 def presence_stream(heartbeats: DataFrame, limit_s: int = dims.ONLINE_WINDOW_S) -> DataFrame:
     """``online`` when a worker appears, ``offline`` once it has been silent too long.
 
     ``heartbeats(agent_id, ts, event_time)`` with a watermark on ``event_time``; a timer
-    reports workers that never come back.
+    reports workers that never come back and ends their state.
     """
-
-    def step(key, pdfs, state: GroupState):
-        rows = []
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            rows.append((key[0], last + limit_s, "offline"))
-            state.remove()
-        else:
-            for ts in _in_order(pdfs, ["ts"])["ts"]:
-                if last is not None and ts - last > limit_s:
-                    rows.append((key[0], last + limit_s, "offline"))
-                if last is None or ts - last > limit_s:
-                    rows.append((key[0], ts, "online"))
-                last = max(ts, last or ts)
-            state.update((int(last),))
-            state.setTimeoutTimestamp(max((int(last) + limit_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["agent_id", "ts", "state"])
-
-    return heartbeats.groupBy("agent_id").applyInPandasWithState(
-        step, "agent_id bigint, ts bigint, state string", "last bigint", "append", EVENT_TIME)
+    return _run(heartbeats, "agent_id", _Presence(limit_s), True)
 
 
 def limit_for(step: str) -> int:
@@ -74,72 +147,105 @@ def limit_for(step: str) -> int:
     return next((s for needle, s in dims.STEP_LIMITS if needle in low), dims.DEFAULT_STEP_LIMIT)
 
 
+class _Stalls(Machine):
+    by, take = ["ts", "event_id"], ["ts", "step", "status"]
+    out = "job_id bigint, step string, since bigint, limit_s int"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.clock = handle.getValueState("clock", "step string, since bigint, warned boolean, paused boolean")
+
+    def alert(self, key, found, step, since, warned, paused, now) -> bool:
+        if step is not None and not warned and not paused and now - since >= limit_for(step):
+            found.append((key[0], step, since, limit_for(step)))
+            return True
+        return warned
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        step, since, warned, paused = self.clock.get() if self.clock.exists() else (None, 0, False, False)
+        found = []
+        for ts, named, status in self.in_order(rows):
+            waiting = status.startswith("awaiting_")
+            warned = self.alert(key, found, step, since, warned, paused, int(ts))
+            if step != named or waiting or paused:
+                step, since, warned = named, int(ts), False
+            paused = waiting
+        self.clock.update((step, since, bool(warned), bool(paused)))
+        self.wake_at(None if warned or paused else (since + limit_for(step)) * 1000)
+        yield self.frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step, since, warned, paused = self.clock.get()
+        found = []
+        warned = self.alert(key, found, step, since, warned, paused, since + limit_for(step))
+        self.clock.update((step, since, bool(warned), bool(paused)))
+        yield self.frame(found)
+
+
 def stall_stream(events: DataFrame) -> DataFrame:
     """One alert per step that outlives its limit; a pause restarts the clock.
 
     ``events(job_id, event_id, ts, step, status, event_time)`` with a watermark; the
     alert comes from the next row or from the timer, whichever is first.
     """
+    return _run(events, "job_id", _Stalls(), True)
 
-    def step_fn(key, pdfs, state: GroupState):
-        rows = []
-        step, since, warned, paused = state.get if state.exists else (None, 0, False, False)
 
-        def alert(now):
-            if step is not None and not warned and not paused and now - since >= limit_for(step):
-                rows.append((key[0], step, since, limit_for(step)))
-                return True
-            return warned
+class _Limit(Machine):
+    by, take, out = ["ts", "call_id"], ["call_id", "ts"], "key bigint, call_id bigint, accepted boolean"
 
-        if state.hasTimedOut:
-            warned = alert(since + limit_for(step))
-            state.update((step, since, warned, paused))
-        else:
-            for _, r in _in_order(pdfs, ["ts", "event_id"]).iterrows():
-                waiting = r["status"].startswith("awaiting_")
-                warned = alert(int(r["ts"]))
-                if step != r["step"] or waiting or paused:
-                    step, since, warned = r["step"], int(r["ts"]), False
-                paused = waiting
-            state.update((step, since, bool(warned), bool(paused)))
-            if not warned and not paused:
-                due = (since + limit_for(step)) * 1000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["job_id", "step", "since", "limit_s"])
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        step_fn, "job_id bigint, step string, since bigint, limit_s int",
-        "step string, since bigint, warned boolean, paused boolean", "append", EVENT_TIME)
+    def __init__(self, n: int, window: int) -> None:
+        self.n, self.window = n, window
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getListState("kept", "ts bigint")
 
-def limit_stream(calls: DataFrame, n: int = dims.RATE_LIMIT, window: int = dims.RATE_WINDOW_S) -> DataFrame:
-    """Accept or reject each call; the state is the accepted times still in the window,
-    never more than ``n``."""
-
-    def step(key, pdfs, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        rows = []
-        for call_id, ts in _in_order(pdfs, ["ts", "call_id"])[["call_id", "ts"]].itertuples(index=False):
-            kept = [k for k in kept if ts - k <= window]
-            ok = len(kept) < n
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = [t for (t,) in self.kept.get()] if self.kept.exists() else []
+        found = []
+        for call_id, ts in self.in_order(rows):
+            kept = [k for k in kept if ts - k <= self.window]
+            ok = len(kept) < self.n
             if ok:
                 kept.append(int(ts))
-            rows.append((key[0], call_id, ok))
-        state.update((kept,))
-        yield pd.DataFrame(rows, columns=["key", "call_id", "accepted"])
+            found.append((key[0], call_id, ok))
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.wake_at((max(kept) + self.window) * 1000)
+        else:
+            self.kept.clear()
+            self.wake_at(None)
+        yield self.frame(found)
 
-    return calls.groupBy("key").applyInPandasWithState(
-        step, "key bigint, call_id bigint, accepted boolean", "kept array<bigint>", "append", NO_TIMEOUT)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield self.frame([])
 
 
-def lockout_stream(attempts: DataFrame, failures: int = dims.LOCKOUT_FAILURES,
-                   seconds: int = dims.LOCKOUT_SECONDS) -> DataFrame:
-    """Outcome of each attempt; state is the failure count and the end of the lock."""
+def limit_stream(calls: DataFrame, n: int = dims.RATE_LIMIT, window: int = dims.RATE_WINDOW_S) -> DataFrame:
+    """Accept or reject each call of ``calls(key, call_id, ts, event_time)`` with a watermark.
+
+    The state is the accepted times still in the window, never more than ``n``; it goes once the
+    watermark has passed the window of the last one, when it can decide nothing any more.
+    """
+    return _run(calls, "key", _Limit(n, window), True)
 
-    def step(key, pdfs, state: GroupState):
-        count, until = state.get if state.exists else (0, 0)
-        rows = []
-        for attempt, ts, ok in _in_order(pdfs, ["ts", "attempt_id"])[["attempt_id", "ts", "ok"]].itertuples(index=False):
+
+class _Lockout(Machine):
+    by, take, out = ["ts", "attempt_id"], ["attempt_id", "ts", "ok"], "key bigint, attempt_id bigint, outcome string"
+
+    def __init__(self, failures: int, seconds: int) -> None:
+        self.failures, self.seconds = failures, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.lock = handle.getValueState("lock", "count bigint, until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        count, until = self.lock.get() if self.lock.exists() else (0, 0)
+        found = []
+        for attempt, ts, ok in self.in_order(rows):
             if until and ts >= until:
                 count, until = 0, 0
             if until:
@@ -148,30 +254,71 @@ def lockout_stream(attempts: DataFrame, failures: int = dims.LOCKOUT_FAILURES,
                 count, outcome = 0, "success"
             else:
                 count += 1
-                until = int(ts) + seconds if count >= failures else 0
+                until = int(ts) + self.seconds if count >= self.failures else 0
                 outcome = "locked" if until else "failure"
-            rows.append((key[0], attempt, outcome))
-        state.update((int(count), int(until)))
-        yield pd.DataFrame(rows, columns=["key", "attempt_id", "outcome"])
+            found.append((key[0], attempt, outcome))
+        if count or until:
+            self.lock.update((int(count), int(until)))
+        else:
+            self.lock.clear()
+        self.wake_at(until * 1000 if until else None)
+        yield self.frame(found)
 
-    return attempts.groupBy("key").applyInPandasWithState(
-        step, "key bigint, attempt_id bigint, outcome string", "count bigint, until bigint", "append", NO_TIMEOUT)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.lock.clear()
+        yield self.frame([])
 
 
-def pause_stream(steps: DataFrame, order: list[str]) -> DataFrame:
-    """Whether each announced pause takes effect: not for a stage already answered."""
+def lockout_stream(attempts: DataFrame, failures: int = dims.LOCKOUT_FAILURES,
+                   seconds: int = dims.LOCKOUT_SECONDS) -> DataFrame:
+    """Outcome of each attempt of ``attempts(key, attempt_id, ts, ok, event_time)`` with a watermark.
+
+    State is the failure count and the end of the lock. A lock ends with the watermark, a success leaves
+    nothing behind; only keys that have failed without being locked stay, as the rule has no end for them.
+    """
+    return _run(attempts, "key", _Lockout(failures, seconds), True)
+
+
+class _Pauses(Machine):
+    out = "job_id bigint, seq int, stage int, paused boolean"
+
+    def __init__(self, order: list[str], keep_s: int | None) -> None:
+        self.by, self.keep_s = order, keep_s
+        self.take = ["kind", "stage"] + (["event_time"] if keep_s is not None else [])
 
-    def step(key, pdfs, state: GroupState):
-        answered, seq = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
-        rows = []
-        for kind, stage in _in_order(pdfs, order)[["kind", "stage"]].itertuples(index=False):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seq = handle.getValueState("seq", "seq int")
+        self.answered = handle.getMapState("answered", "stage int", "seq int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seq = self.seq.get()[0] if self.seq.exists() else 0
+        before = {s for (s,) in self.answered.keys()} if seq else set()
+        answered, found, newest = set(before), [], None
+        for kind, stage, *at in self.in_order(rows):
             seq += 1
-            if kind == "answer":
+            newest = max(at + ([] if newest is None else [newest]), default=None)
+            if kind == "answer" and stage not in answered:
                 answered.add(int(stage))
+                self.answered.updateValue((int(stage),), (seq,))
             elif kind == "pause":
-                rows.append((key[0], seq, stage, stage not in answered))
-        state.update((sorted(answered), seq))
-        yield pd.DataFrame(rows, columns=["job_id", "seq", "stage", "paused"])
+                found.append((key[0], seq, stage, stage not in answered))
+        self.seq.update((seq,))
+        if newest is not None:
+            due = int(newest.timestamp() * 1000) + self.keep_s * 1000
+            self.wake_at(max([due, *self.handle.listTimers()]))
+        yield self.frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seq.clear()
+        self.answered.clear()
+        yield self.frame([])
+
 
-    return steps.groupBy("job_id").applyInPandasWithState(
-        step, "job_id bigint, seq int, stage int, paused boolean", "answered array<int>, seq int", "append", NO_TIMEOUT)
+def pause_stream(steps: DataFrame, order: list[str], keep_s: int | None = None) -> DataFrame:
+    """Whether each announced pause takes effect: not for a stage already answered.
+
+    With ``keep_s``, ``steps`` has ``event_time`` with a watermark, and a job's state goes once the
+    watermark is ``keep_s`` past its newest row.
+    """
+    return _run(steps, "job_id", _Pauses(order, keep_s), keep_s is not None)
