@@ -81,8 +81,8 @@ def c3_hash_similarity(t):
 
 
 FEATURES = (
-    f"{_CONTENT}, {reach('content_px', 8)}, {component_stats()}, "
-    "nc AS (SELECT image_id, count(*) FILTER (area > 0.005 * total) AS n_contours FROM cs JOIN (SELECT image_id, sum(area) AS total FROM cs GROUP BY image_id) USING (image_id) GROUP BY image_id), "
+    f"{_CONTENT}, {reach('content_px', 8)}, {component_stats()}, {raster._OUTER}, "
+    "nc AS (SELECT image_id, count(*) FILTER (area > 0.005 * total AND oc.comp IS NOT NULL) AS n_contours FROM cs LEFT JOIN outer_comp oc USING (image_id, comp) JOIN (SELECT image_id, sum(area) AS total FROM cs GROUP BY image_id) USING (image_id) GROUP BY image_id), "
     "ft AS MATERIALIZED (SELECT image_id, coalesce(any_value(n_contours), 0) AS n_contours, "
     "coalesce((max(x) FILTER (content) - min(x) FILTER (content) + 1) / (max(y) FILTER (content) - min(y) FILTER (content) + 1), 1.0) AS asp, "
     "coalesce(least(1.0, count(*) FILTER (content) / ((max(x) FILTER (content) - min(x) FILTER (content) + 1) * (max(y) FILTER (content) - min(y) FILTER (content) + 1))), 0.0) AS fill, "
