@@ -28,7 +28,7 @@ def runs(mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Maximal horizontal runs ``(keys, strip, y, x0, x1, run_id)`` of a sparse mask."""
     cut = mask.select(*keys, F.floor(F.col("y") / STRIP).cast("int").alias("strip"), "y", "x")
     row = Window.partitionBy(*keys, "strip", "y").orderBy("x")
-    grouped = cut.repartition(*keys, "strip").withColumn("grp", F.col("x") - F.row_number().over(row))
+    grouped = cut.withColumn("grp", F.col("x") - F.row_number().over(row))
     return (
         grouped.groupBy(*keys, "strip", "y", "grp")
         .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
@@ -77,8 +77,9 @@ def _strip_labels(pdf: pd.DataFrame, unit: np.ndarray, reach: int) -> np.ndarray
 
 
 def _label_strips(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:
-    """Add ``local``, the strip-wise label. The input is clustered by strip; only the
-    last, unfinished strip of a batch is held back for the next one."""
+    """Add ``local``, the strip-wise label. Runs are sent to their strip right before the sort, so a
+    strip is whole whatever plan made them; only the last, unfinished strip of a batch is held back
+    for the next one."""
     unit_keys = [*keys, "strip"]
 
     def label(batches):
@@ -99,7 +100,7 @@ def _label_strips(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFram
             yield held.assign(local=_strip_labels(held, np.zeros(len(held), int), reach))
 
     schema = T.StructType([*run.schema.fields, T.StructField("local", T.LongType())])
-    return run.sortWithinPartitions(*unit_keys, "y", "x0").mapInPandas(label, schema)
+    return run.repartition(*unit_keys).sortWithinPartitions(*unit_keys, "y", "x0").mapInPandas(label, schema)
 
 
 def _touching(run: DataFrame, keys: tuple[str, ...], reach: int) -> DataFrame:

@@ -83,3 +83,12 @@ def test_nesting_against_flooding_from_outside(spark):
 def test_nesting_of_nothing(spark):
     blank = relation(spark, {1: np.zeros((3, 3), bool)})
     assert cc.nesting(blank).count() == 0 and cc.nesting(blank.filter(F.lit(False))).count() == 0
+
+
+def test_strips_stay_whole_with_a_constant_key(spark):
+    cells = spark.range(600 * 64).filter(F.xxhash64("id") % 2 == 0)
+    mask = np.zeros(600 * 64, bool)
+    mask[[r.id for r in cells.collect()]] = True
+    label = flood(mask.reshape(600, 64), EIGHT)
+    px = cells.selectExpr("1L as image_id", "int(id % 64) as x", "int(id div 64) as y")
+    assert sorted(r.area for r in cc.components(px, 8).collect()) == sorted(np.bincount(label[label > 0])[1:].tolist())
