@@ -10,11 +10,11 @@ from rasterqa.plans.text import T0, VAULT, _redact_sql, vault
 from rasterqa.streaming import changes, machines
 from rasterqa.streaming.delivery import deliver, read_queue
 from rasterqa.streaming.queries import loop_summary
-from rasterqa.streaming.runner import new_folder, read_stream, run_available
+from rasterqa.streaming.runner import new_folder, read_table_stream, run_available
 
 
 def stream_of(t, name):
-    return read_stream(t.spark, t.sf_dir, f"{name}.parquet")
+    return read_table_stream(t.spark, t.sf_dir, name)
 
 
 def events_stream(t):

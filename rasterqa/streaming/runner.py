@@ -35,3 +35,11 @@ def read_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", max_f
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
+
+
+def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
+    """Stream over the table ``folder/name.parquet``, one Parquet file or a folder of them."""
+    # a pattern of one path: without it a file would be taken for the folder that partitions lie in
+    path = f"{folder.rstrip('/')}/{name}[.]parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
