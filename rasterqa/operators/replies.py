@@ -211,8 +211,8 @@ def clean_reply(text: Column) -> Column:
 GRID = "ABCDEFGHIJ"
 
 
-def expand_cells(cells: DataFrame) -> DataFrame:
-    """Cell tokens ``(object_id, cell)`` to column and row numbers; ranges fill their box."""
+def cell_boxes(cells: DataFrame) -> DataFrame:
+    """Cell tokens ``(object_id, cell)`` as boxes of columns and rows, 0 to 9; what lies off the grid is cut."""
     tok = F.upper(F.regexp_replace(F.trim("cell"), " ", ""))
     col = lambda c: F.instr(F.lit(GRID), c) - 1
     part = lambda i: F.regexp_extract("tok", r"^([A-J])(\d{1,2})[-:]([A-J])(\d{1,2})$", i)
@@ -222,20 +222,31 @@ def expand_cells(cells: DataFrame) -> DataFrame:
     b = F.when(F.col("is_range"), col(part(3))).otherwise(col(one(1)))
     r0 = F.when(F.col("is_range"), part(2)).otherwise(one(2)).try_cast("int")
     r1 = F.when(F.col("is_range"), part(4)).otherwise(one(2)).try_cast("int")
-    known = split.filter(F.col("is_range") | (one(1) != ""))
-    boxed = known.select("object_id", F.least(a, b).alias("c0"), F.greatest(a, b).alias("c1"),
-                         F.least(r0, r1).alias("r0"), F.greatest(r0, r1).alias("r1")).filter("r0 is not null")
-    spread = boxed.select("object_id", F.explode(F.sequence("c0", "c1")).alias("c"), "r0", "r1")
-    rows = spread.select("object_id", "c", F.explode(F.sequence("r0", "r1")).alias("row"))
-    return rows.filter("row between 1 and 10").select("object_id", "c", (F.col("row") - 1).alias("r"))
+    known = split.filter(F.col("is_range") | (one(1) != "")).select("object_id", a.alias("a"), b.alias("b"), r0.alias("f"), r1.alias("t"))
+    return known.filter("f is not null").select(
+        "object_id", F.least("a", "b").alias("c0"), F.greatest("a", "b").alias("c1"),
+        (F.greatest(F.least("f", "t"), F.lit(1)) - 1).alias("r0"), (F.least(F.greatest("f", "t"), F.lit(10)) - 1).alias("r1"),
+    ).filter("r0 <= r1")
 
 
 def cells_to_bbox(cells: DataFrame, max_fraction: float = 0.5, max_span: int = 7) -> DataFrame:
     """Normalised box of each object's cells; hints over half the grid or scattered over
-    more than ``max_span`` columns or rows are rejected (NULL box)."""
-    distinct = expand_cells(cells).distinct()
-    agg = distinct.groupBy("object_id").agg(
-        F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+    more than ``max_span`` columns or rows are rejected (NULL box).
+
+    An object's cells are 100 bits in two words, ten a column, so a task holds two words per object.
+    """
+    rows = F.expr("shiftleft(shiftleft(1L, r1 - r0 + 1) - 1, r0)")
+    half = lambda at: rows * sum((F.when(F.lit(c).between(F.col("c0"), F.col("c1")), F.lit(1 << (10 * (c - at)))).otherwise(F.lit(0)) for c in range(at, at + 5)), F.lit(0).cast("bigint"))
+    bits = cell_boxes(cells).select("object_id", half(0).alias("left"), half(5).alias("right")).groupBy("object_id").agg(
+        F.bit_or("left").alias("left"), F.bit_or("right").alias("right"))
+    columns = bits.select("object_id", (F.bit_count("left") + F.bit_count("right")).cast("bigint").alias("n"), F.array(*[
+        F.shiftright("left" if c < 5 else "right", 10 * (c % 5)).bitwiseAND(1023) for c in range(10)]).alias("m"))
+    column = lambda c: F.col("m")[c] != 0
+    row = lambda r: F.col("rows").bitwiseAND(1 << r) != 0
+    least = lambda on: F.coalesce(*[F.when(on(i), i) for i in range(10)])
+    most = lambda on: F.coalesce(*[F.when(on(i), i) for i in range(9, -1, -1)])
+    seen = columns.withColumn("rows", F.aggregate("m", F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(v)))
+    agg = seen.select("object_id", "n", least(column).alias("c0"), most(column).alias("c1"), least(row).alias("r0"), most(row).alias("r1"))
     wide, tall = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
     ok = (F.col("n") <= max_fraction * 100) & (wide <= max_span) & (tall <= max_span)
     return agg.select(
