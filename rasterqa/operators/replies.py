@@ -32,9 +32,15 @@ def _coerced(obj: Column, pos: Column) -> list[Column]:
     ]
 
 
+def dealt(replies: DataFrame) -> DataFrame:
+    """Replies spread by id over as many tasks as a shuffle has: reading them takes far longer than the few
+    megabytes of a table suggest, which may come as one split."""
+    return replies.repartition(int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "reply_id")
+
+
 def parse_object_json(replies: DataFrame) -> DataFrame:
     """Objects of well-formed replies ``(reply_id, text)``; blank names dropped."""
-    whole = replies.select("reply_id", F.from_json(json_body(F.col("text")), OBJECT, {"mode": "PERMISSIVE"}).alias("objs"))
+    whole = dealt(replies).select("reply_id", F.from_json(json_body(F.col("text")), OBJECT, {"mode": "PERMISSIVE"}).alias("objs"))
     rows = whole.select("reply_id", F.posexplode("objs").alias("i", "o"))
     return rows.select("reply_id", *_coerced(F.col("o"), F.col("i") + 1)).filter("name <> ''")
 
@@ -59,7 +65,7 @@ def balanced_blocks(text: Column) -> Column:
 def salvage_objects(replies: DataFrame) -> DataFrame:
     """Complete ``{...}`` objects of cut-off replies, nested however deep."""
     blocks = balanced_blocks(json_body(F.col("text")))
-    rows = replies.select("reply_id", F.posexplode(blocks).alias("i", "block"))
+    rows = dealt(replies).select("reply_id", F.posexplode(blocks).alias("i", "block"))
     parsed = rows.select("reply_id", "i", F.from_json("block", ONE).alias("o"))
     return parsed.select("reply_id", *_coerced(F.col("o"), F.col("i") + 1)).filter("name <> ''")
 
