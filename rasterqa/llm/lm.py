@@ -42,6 +42,8 @@ STRENGTH = 4.0
 ADD = 0.1
 #: Filter or count table sent at once, at most.
 SEND_MB = 96
+#: How the texts and levels between two passes are packed; two such tables lie on disk at once.
+STATE_CODEC = "zstd"
 #: N-grams that one part of the filter holds, about.
 PART_ITEMS = 400_000
 
@@ -281,11 +283,13 @@ class Parts:
     def level(self, gram: np.ndarray, n: int, limit: np.ndarray | None = None) -> np.ndarray:
         """Level of each n-gram whose part is here, 0 for the others, at most ``limit``, which equal
         n-grams share. Equal ones are read once."""
-        gram, at, back = np.unique(gram, return_index=True, return_inverse=True)
-        limit = np.full(len(gram), MAX_LEVEL) if limit is None else limit[at]
         part = self.part_of(gram)
-        out = np.zeros(len(gram), np.uint8)
-        live = np.flatnonzero((self.bits[part] > 0) & (limit > 0))
+        whole = np.zeros(len(gram), np.uint8)
+        here = np.flatnonzero((self.bits[part] > 0) & (np.ones(1, bool) if limit is None else limit > 0))
+        gram, at, back = np.unique(gram[here], return_index=True, return_inverse=True)
+        at = here[at]
+        limit = np.full(len(gram), MAX_LEVEL) if limit is None else limit[at]
+        part, out, live = part[at], np.zeros(len(gram), np.uint8), np.arange(len(gram))
         key = gram ^ words.mix(np.uint64([n]))
         for level in range(1, MAX_LEVEL + 1):
             if not len(live):
@@ -302,7 +306,8 @@ class Parts:
             live = live[ok]
             out[live] = level
             live = live[limit[live] > level]
-        return out[back]
+        whole[here] = out[back]
+        return whole
 
     def part_of(self, gram: np.ndarray) -> np.ndarray:
         return ((gram >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
@@ -420,7 +425,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final, done)
         state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
         if not final:
-            state, old = saved(state), state_files
+            state, old = saved(state, STATE_CODEC), state_files
             state_files = state.inputFiles()
             dropped(docs.sparkSession, old)
     return state.select("id", "n_tokens", "n_known", "base", "score")
