@@ -166,10 +166,34 @@ def replay(failures: int, seconds: float) -> Callable:
     return run
 
 
-def lockout_outcomes(attempts: DataFrame, failures: int, seconds: float, length: int) -> DataFrame:
-    """Outcomes of ``(key, ts, attempt_id, ok)``; slots of ``length`` seconds, ``seconds`` at least."""
+def whole_keys(failures: int, seconds: float) -> Callable:
+    """Keys that are one slot each: no start state but the empty one."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in units(batches):
+            ts, ok = pdf["ts"].to_numpy(), pdf["ok"].to_numpy().astype(bool)
+            out = np.where(ok, "success", "failure").astype(object)
+            keys = np.array(list(each_slot(pdf)))
+            many = np.add.reduceat((~ok).astype(np.int64), keys[:, 0]) >= failures  # no other key is ever locked
+            for lo, hi in keys[many].tolist():
+                out[lo:hi] = Attempts(ts[lo:hi], ok[lo:hi], failures, seconds).outcomes(0, 0.0)
+            yield pd.DataFrame({"key": pdf["key"], "attempt_id": pdf["attempt_id"], "outcome": out})
+    return run
+
+
+def lockout_outcomes(attempts: DataFrame, failures: int, seconds: float, length: int, whole: int = ROWS) -> DataFrame:
+    """Outcomes of ``(key, ts, attempt_id, ok)``. A key of more than ``whole`` attempts is cut into slots of
+    ``length`` seconds, ``seconds`` at least; any other is one slot, whose start is known."""
     if length < seconds:
         raise ValueError("a slot must not be shorter than a lock")
+    busy = F.broadcast(attempts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("key"))
+    rest = attempts.join(busy, "key", "left_anti").select("key", F.lit(0).alias("_slot"), "ts", "attempt_id", "ok")
+    schema = T.StructType([attempts.schema["key"], attempts.schema["attempt_id"], T.StructField("outcome", T.StringType())])
+    done = ordered_fold(rest, ["key"], ["ts", "attempt_id"], whole_keys(failures, seconds), schema)
+    return done.unionByName(slot_outcomes(attempts.join(busy, "key", "left_semi"), failures, seconds, length, schema))
+
+
+def slot_outcomes(attempts: DataFrame, failures: int, seconds: float, length: int, schema: T.StructType) -> DataFrame:
+    """Outcomes of the attempts of busy keys, slot by slot."""
     cut = attempts.select("key", F.floor(F.col("ts") / length).cast("bigint").alias("_slot"), "ts", "attempt_id", "ok")
     order = ["ts", "attempt_id"]
     key = cut.schema["key"].dataType.simpleString()
@@ -180,7 +204,6 @@ def lockout_outcomes(attempts: DataFrame, failures: int, seconds: float, length:
     first = starts.select("key", "_slot", *[F.lit(0).cast(cut.schema[c].dataType).alias(c) for c in order], F.lit(False).alias("ok"),
                           "count", "until", F.lit(False).alias("_event"))
     rows = cut.select("*", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("until"), F.lit(True).alias("_event"))
-    schema = T.StructType([cut.schema["key"], cut.schema["attempt_id"], T.StructField("outcome", T.StringType())])
     return ordered_fold(rows.unionByName(first), UNIT, ["_event", *order], replay(failures, seconds), schema)
 
 
