@@ -31,6 +31,8 @@ from rasterqa.llm.common import saved
 STORE = 300_000
 #: Pairs with their counts that are broadcast at most (13 bytes each); more are joined by a shuffle.
 SEND_PAIRS = 4_000_000
+#: Pairs of texts that are gathered before they are counted.
+HELD_PAIRS = 1 << 21
 #: Links of one step while they are being spread out.
 SPREAD = 1 << 20
 #: Tokens of a run that are compared one by one before whole slices are.
@@ -193,11 +195,11 @@ class Store:
 
     Of slot ``s``: ``whole[s]`` whether its tokens spell it, ``sizes[s]`` its A tokens, B tokens,
     groups and links, ``text[s]`` its groups in writing, and from ``first[s]`` on ``width[s]``
-    distinct links, as places in ``pairs``, with their ``weight``. Groups are written if it ``writes``.
+    distinct links, as places in ``pairs``, with their ``weight``.
     """
 
-    def __init__(self, tokens: Tokens, writes: bool = True):
-        self.tokens, self.writes = tokens, writes
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
         self.clear()
 
     def clear(self) -> None:
@@ -241,8 +243,7 @@ class Store:
         ga, gb = np.repeat(np.arange(len(ia)), len_a), np.repeat(np.arange(len(ib)), len_b)
         who, pair, weight = links_of(ids_a, ids_b, ga, gb, owner)
         links = np.bincount(owner, (len_a * len_b).astype(np.float64), len(segments)).astype(np.int64)
-        if self.writes:
-            self.text += self.written(ids_a, ids_b, ia, ib, np.cumsum(groups))
+        self.text += self.written(ids_a, ids_b, ia, ib, np.cumsum(groups))
         self.whole.extend(whole.tolist())
         for col, v in zip(self.sizes, (n_a, n_b, groups, links)):
             col.extend(v.tolist())
@@ -285,11 +286,10 @@ def worker_store(a_path: str, b_path: str) -> Store:
     return Store(Tokens(a_path, b_path))
 
 
-def store(a_path: str, b_path: str, writes: bool = True) -> Store:
+def store(a_path: str, b_path: str) -> Store:
     """One store per Python worker, which lives through many tasks."""
     kept = worker_store(a_path, b_path)
-    if kept.writes != writes or len(kept.whole) > STORE:
-        kept.writes = writes
+    if len(kept.whole) > STORE:
         kept.clear()
     return kept
 
@@ -354,26 +354,28 @@ def distinct_links(kept: Store, slots: np.ndarray, counts: np.ndarray) -> tuple[
     return key >> 32, key & LOW, weight
 
 
-def count_pairs(a_path: str, b_path: str):
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of texts that hold each pair linked, as far as the task has seen them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = store(a_path, b_path, writes=False)
-        seen = np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            on = np.flatnonzero(seen)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(kept.pairs, np.int64)[on]), pa.array(seen[on])], names=["pair", "n"])
-
-        for _, _, _, _, slots, counts in read_chunks(batches, 0, kept):
-            n = len(kept.pairs)
-            _, pair, _ = distinct_links(kept, slots, counts)
-            seen = np.pad(seen, (0, n - len(seen))) + np.bincount(pair, minlength=n)
-            if len(kept.whole) > STORE:
+    pairs, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        found, times = np.unique(np.concatenate(held), return_counts=True) if held else (pairs[:0], n[:0])
+        return weighed(np.concatenate([pairs, found]), np.concatenate([n, times]))
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+    for batch in batches:
+        held += [np.frombuffer(b.as_buffer(), "<i8") for b in batch.column(0)]
+        size += sum(map(len, held[-batch.num_rows:])) if batch.num_rows else 0
+        if size > HELD_PAIRS:
+            pairs, n = counted()
+            held, size = [], 0
+            if len(pairs) > HELD_PAIRS:
                 yield out()
-                kept.clear()
-                seen = np.zeros(0, np.int64)
-        yield out()
-    return run
+                pairs, n = pairs[:0], n[:0]
+    pairs, n = counted()
+    yield out()
 
 
 def doc_columns(kept: Store, ids: pa.Array, at: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
@@ -396,53 +398,60 @@ DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
 DOC_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 
 
-def score_docs(a_path: str, b_path: str, sent):
-    """Rows of the texts with the sums over their links, from the broadcast counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, best = sent.value
-        kept = store(a_path, b_path)
-        sums = np.zeros((2, 0), np.int64)
-        for batch, lo, hi, at, slots, counts in read_chunks(batches, 1, kept):
-            if sums.shape[1] < len(kept.whole):
-                lo_slot = sums.shape[1]
-                width = np.array(kept.width, np.int64)[lo_slot:]
-                link = np.array(kept.link, np.int64)[kept.first[lo_slot]:]
-                weight = np.array(kept.weight, np.int64)[kept.first[lo_slot]:]
-                k = np.minimum(np.searchsorted(pairs, np.array(kept.pairs, np.int64)[link]), max(len(pairs) - 1, 0))
-                sums = np.concatenate([sums, [sum_by_text(best[k] * weight, width), sum_by_text(n[k] * weight, width)]], axis=1)
-            cols = doc_columns(kept, batch.column(0).slice(lo, hi - lo), at, slots, counts)
-            for s in sums:
-                v = np.zeros(hi - lo, np.int64)
-                v[at] = sum_by_text(s[slots], counts)
-                cols.append(pa.array(v))
-            yield pa.RecordBatch.from_arrays(cols, names=[*DOC, "n_best", "count_sum"])
-            if len(kept.whole) > STORE:
-                kept.clear()
-                sums = np.zeros((2, 0), np.int64)
-    return run
-
-
 def linked_docs(a_path: str, b_path: str):
-    """Rows of the texts with their distinct pairs and the numbers of links."""
+    """Rows of the texts with their distinct pairs and the numbers of links, both packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = store(a_path, b_path)
         for batch, lo, hi, at, slots, counts in read_chunks(batches, 1, kept):
             text, pair, weight = distinct_links(kept, slots, counts)
             upto = np.zeros(hi - lo + 1, np.int64)
             upto[at + 1] = np.bincount(text, minlength=len(at))
-            item = pa.StructArray.from_arrays([pa.array(np.array(kept.pairs, np.int64)[pair]), pa.array(weight)], names=["pair", "links"])
-            links = pa.ListArray.from_arrays(pa.array(np.cumsum(upto).astype(np.int32)), item)
+            cuts = (8 * np.cumsum(upto)).tolist()
+            packed = [v.astype("<i8").tobytes() for v in (np.array(kept.pairs, np.int64)[pair], weight)]
             cols = doc_columns(kept, batch.column(0).slice(lo, hi - lo), at, slots, counts)
-            yield pa.RecordBatch.from_arrays([*cols, links], names=[*DOC, "links"])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary()) for raw in packed)],
+                                             names=[*DOC, "pairs", "links"])
             if len(kept.whole) > STORE:
                 kept.clear()
     return run
 
 
-def pair_counts(documents: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """``pair, n, best``: in how many texts an A and a B id are linked, and whether no other pair
+def unpacked(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and links of the rows ``lo`` to ``hi`` end to end, and the number of each row's."""
+    raw = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo).to_pylist() for c in ("pairs", "links")]
+    pair, links = (np.frombuffer(b"".join(r), "<i8") for r in raw)
+    return pair, links, np.array([len(r) // 8 for r in raw[0]], np.int64)
+
+
+def score_rows(sent):
+    """The rows with the sums over their links, from the broadcast counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n, best = sent.value
+        for batch in batches:
+            sums = [[np.zeros(0, np.int64)] for _ in range(2)]
+            for lo in range(0, batch.num_rows, 1000):
+                pair, links, counts = unpacked(batch, lo, min(lo + 1000, batch.num_rows))
+                k = np.searchsorted(pairs, pair)
+                for col, v in zip(sums, (best, n)):
+                    col.append(sum_by_text(v[k] * links, counts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(DOC))), *(pa.array(np.concatenate(v)) for v in sums)],
+                                             names=[*DOC, "n_best", "count_sum"])
+    return run
+
+
+def spread_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct pair of a row."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            pair, links, counts = unpacked(batch, lo, min(lo + 1000, batch.num_rows))
+            row = batch.column(0).take(pa.array(lo + np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([row, pa.array(pair), pa.array(links)], names=["row", "pair", "links"])
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """``pair, n, best``: in how many rows an A and a B id are linked, and whether no other pair
     of the A id is in more. ``pair`` has the A id in its upper 32 bits."""
-    seen = documents.select(F.col(text).alias("text")).mapInArrow(count_pairs(a_path, b_path), "pair long, n long")
+    seen = rows.select("pairs").mapInArrow(count_pairs, "pair long, n long")
     counts = saved(seen.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     return counts.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -460,15 +469,17 @@ def align_tokenizers(documents: DataFrame, a_path: str, b_path: str, doc_id: str
     rows; other columns are ignored.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = saved(pair_counts(docs, a_path, b_path))
+    # each text is cut and aligned once; what is counted and summed up later is read from here
+    rows = saved(docs.mapInArrow(linked_docs(a_path, b_path), f"{DOC_DDL}, pairs binary, links binary").withColumn("row", F.expr("uuid()")), "zstd")
+    counts = saved(pair_counts(rows))
     if counts.count() <= send_pairs:
         table = counts.toArrow().sort_by("pair")
         sent = tuple(np.array(table.column(c).combine_chunks().cast(t)) for c, t in (("pair", pa.int64()), ("n", pa.int64()), ("best", pa.int8())))
         spark = docs.sparkSession
-        out = docs.mapInArrow(score_docs(a_path, b_path, spark.sparkContext.broadcast(sent)), f"{DOC_DDL}, n_best long, count_sum long")
+        out = rows.drop("row").mapInArrow(score_rows(spark.sparkContext.broadcast(sent)), f"{DOC_DDL}, n_best long, count_sum long")
     else:
-        rows = saved(docs.mapInArrow(linked_docs(a_path, b_path), f"{DOC_DDL}, links array<struct<pair:long,links:long>>").withColumn("row", F.expr("uuid()")))
-        sums = rows.select("row", F.inline("links")).join(counts, "pair").groupBy("row").agg(
+        links = rows.select("row", "pairs", "links").mapInArrow(spread_links, "row string, pair long, links long")
+        sums = links.join(counts, "pair").groupBy("row").agg(
             F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
         out = rows.join(sums, "row", "left").select(*DOC, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")])
     return out.withColumnRenamed("doc_id", doc_id)
