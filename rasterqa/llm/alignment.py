@@ -470,7 +470,7 @@ def align_tokenizers(documents: DataFrame, a_path: str, b_path: str, doc_id: str
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # each text is cut and aligned once; what is counted and summed up later is read from here
-    rows = saved(docs.mapInArrow(linked_docs(a_path, b_path), f"{DOC_DDL}, pairs binary, links binary").withColumn("row", F.expr("uuid()")), "zstd")
+    rows = saved(docs.mapInArrow(linked_docs(a_path, b_path), f"{DOC_DDL}, pairs binary, links binary").withColumn("row", F.expr("uuid()")), compression="zstd")
     counts = saved(pair_counts(rows))
     if counts.count() <= send_pairs:
         table = counts.toArrow().sort_by("pair")

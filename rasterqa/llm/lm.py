@@ -43,7 +43,7 @@ ADD = 0.1
 #: Filter or count table sent at once, at most.
 SEND_MB = 96
 #: How the texts and levels between two passes are packed; two such tables lie on disk at once.
-STATE_CODEC = "zstd"
+STATE_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: N-grams that one part of the filter holds, about.
 PART_ITEMS = 400_000
 
@@ -118,6 +118,11 @@ def bit_number(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of hashes: sorted ones are read part by part, and agree in their first bits within one."""
+    return bit_number(key, np.uint64(parts)).astype(np.int64)
+
+
 def by_byte(key: np.ndarray) -> bytes:
     """Sorted hashes of one part, all first bytes, then all second ones, and so on: the equal ones compress."""
     return key.view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -137,9 +142,7 @@ def count_grams(order: int, parts: int):
             nonlocal size
             for n in range(order):
                 key, count = np.unique(np.concatenate(held[n]), return_counts=True)
-                part = (key >> np.uint64(40)) % np.uint64(parts)
-                by = np.argsort(part, kind="stable")
-                key, count, part = key[by], count[by], part[by].astype(np.int64)
+                part = part_of(key, parts)
                 cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
                 names = part[cut[:-1]]
                 raw = [(by_byte(key[a:b]), np.minimum(count[a:b], 2**32 - 1).astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
@@ -310,7 +313,7 @@ class Parts:
         return whole
 
     def part_of(self, gram: np.ndarray) -> np.ndarray:
-        return ((gram >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
+        return part_of(gram, self.parts)
 
     def exact(self, word: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -425,7 +428,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final, done)
         state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
         if not final:
-            state, old = saved(state, STATE_CODEC), state_files
+            state, old = saved(state, **STATE_FILES), state_files
             state_files = state.inputFiles()
             dropped(docs.sparkSession, old)
     return state.select("id", "n_tokens", "n_known", "base", "score")
