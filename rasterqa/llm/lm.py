@@ -7,10 +7,10 @@ as its square. No n-gram is more frequent than its suffix or its context one wor
 counts only up to theirs; single words are counted exactly and stay out of the filter. Probabilities interpolate the orders by Dirichlet smoothing:
 ``p(w | h) = (c(hw) + s p(w | h')) / (c(h) + s)``, down to additive smoothing of single words.
 
-The filter is cut into parts by n-gram hash. Each part is filled where the counts of its
-n-grams meet; parts are gathered to at most ``SEND_MB`` at a time and broadcast. A corpus whose
-filter is larger is scored in as many passes, each of which adds the levels it knows to a
-byte per token and order.
+The filter is cut into parts by n-gram hash, and texts are dealt into chunks. A chunk sends its distinct
+n-grams to their parts; each part is filled where the counts of its n-grams meet, reads the levels of what was asked
+from its bits, and sends them back, a byte for each n-gram. The chunk's texts are scored with these. So the work is two
+shuffles of the texts and one of the n-grams whatever the size of the filter, and no task holds more of it than a part.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterqa.llm import words
-from rasterqa.llm.common import dropped, partitions, saved
+from rasterqa.llm.common import partitions, saved
 
 ORDER = 3
 #: N-grams of two words or more are kept from this count on: all of them.
@@ -40,12 +40,14 @@ MAX_LEVEL = 200
 #: Pseudo-count of the lower order in each mixture, and of every word.
 STRENGTH = 4.0
 ADD = 0.1
-#: Filter or count table sent at once, at most.
+#: Parts that are gathered to read counts on the driver, at most.
 SEND_MB = 96
-#: How the texts and levels between two passes are packed; two such tables lie on disk at once.
+#: Tokens of a chunk of texts, about, and the least on which one more task is worth its while.
+CHUNK_TOKENS, TASK_TOKENS = 3_000_000, 500_000
+#: How the levels that go back to the chunks are packed on disk.
 STATE_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: N-grams that one part of the filter holds, about.
-PART_ITEMS = 400_000
+PART_ITEMS = 1_600_000
 
 END = np.uint64(0x2545F4914F6CDD1D)
 BREAK = np.uint64(0x9E6C63D0876A9A47)
@@ -69,6 +71,10 @@ def ngrams(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def grams(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return tokens if n == 1 else ngrams(tokens, counts, n)
+
+
 def level_of(count: np.ndarray, n: int, least: int = LEAST_COUNT) -> np.ndarray:
     """Level of a count of an n-gram of ``n`` words that is kept."""
     base, start = BASES[n > 1], 1 if n == 1 else least
@@ -123,17 +129,63 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return bit_number(key, np.uint64(parts)).astype(np.int64)
 
 
-def by_byte(key: np.ndarray) -> bytes:
-    """Sorted hashes of one part, all first bytes, then all second ones, and so on: the equal ones compress."""
-    return key.view(np.uint8).reshape(-1, 8).T.tobytes()
+def by_byte(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then all second ones, and so on: the equal ones compress."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_bytes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+#: Bytes of the difference of two neighbours among a chunk's sorted hashes that are even noise.
+NOISE = 5
+
+
+def squeezed(key: np.ndarray) -> bytes:
+    """Sorted hashes as differences, of which only the upper bytes can be packed."""
+    raw, noise = by_byte(np.diff(key, prepend=np.uint64(0))), NOISE * len(key)
+    return raw[:noise] + pa.compress(raw[noise:], codec="zstd", asbytes=True)
+
+
+def hashes_from(raw: bytes, size: int) -> np.ndarray:
+    upper = pa.decompress(raw[NOISE * size:], (8 - NOISE) * size, codec="zstd", asbytes=True)
+    return np.cumsum(from_bytes(raw[:NOISE * size] + upper, "<u8"), dtype=np.uint64)
+
+
+def packed_numbers(x: np.ndarray) -> bytes:
+    return pa.compress(by_byte(x), codec="zstd", asbytes=True)
+
+
+def numbers_from(raw: bytes, size: int, kind: str) -> np.ndarray:
+    return from_bytes(pa.decompress(raw, np.dtype(kind).itemsize * size, codec="zstd", asbytes=True), kind)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and how often each occurs."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key[first], np.diff(first, append=len(key))
 
 
-def from_bytes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+PACKED = "part long, chunk long, n int, size long, keys binary, counts binary, bits binary"
+
+
+def packed(chunk: int, n: int, key: np.ndarray, count: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Sorted distinct n-grams and their counts, a row for each part that they fall into."""
+    part = part_of(key, parts)
+    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    names, count = part[cut[:-1]], np.minimum(count, 2**32 - 1).astype("<u4")
+    ranges = list(zip(cut[:-1], cut[1:]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), pa.array(np.full(len(names), n, np.int32)),
+        pa.array(np.diff(cut)), pa.array([squeezed(key[a:b]) for a, b in ranges], pa.binary()),
+        pa.array([packed_numbers(count[a:b]) for a, b in ranges], pa.binary()),
+        pa.nulls(len(names), pa.binary())], names=[c.split()[0] for c in PACKED.split(", ")])
 
 
 def count_grams(order: int, parts: int):
-    """Counts of a task's n-grams, packed by part: hashes and counts in a row."""
+    """Counts of a task's n-grams, packed by part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
         size = 0
@@ -141,14 +193,7 @@ def count_grams(order: int, parts: int):
         def flush():
             nonlocal size
             for n in range(order):
-                key, count = np.unique(np.concatenate(held[n]), return_counts=True)
-                part = part_of(key, parts)
-                cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-                names = part[cut[:-1]]
-                raw = [(by_byte(key[a:b]), np.minimum(count[a:b], 2**32 - 1).astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(names), pa.array(np.full(len(names), n + 1, np.int32)),
-                    pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], names=["part", "n", "keys", "counts"])
+                yield packed(-1, n + 1, *distinct(np.concatenate(held[n])), parts)
                 held[n].clear()
             size = 0
 
@@ -157,7 +202,7 @@ def count_grams(order: int, parts: int):
             for lo, hi in words.chunks(texts):
                 tokens, counts = token_hashes(texts[lo:hi])
                 for n in range(order):
-                    held[n].append(tokens if n == 0 else ngrams(tokens, counts, n + 1))
+                    held[n].append(grams(tokens, counts, n + 1))
                 size += len(tokens)
                 if size > 4_000_000:
                     yield from flush()
@@ -166,56 +211,119 @@ def count_grams(order: int, parts: int):
     return run
 
 
-def fill_parts(least: int):
-    """Per part: exact counts of single words, and the part's bits for every longer n-gram kept."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ask(order: int, parts: int):
+    """A chunk's distinct n-grams, packed by part, with their counts in the texts to learn from."""
+    def run(chunk: pa.Table) -> pa.Table:
         words.give_back()
-        waiting: tuple[int, list] | None = None
+        tokens, counts = chunk_tokens(chunk)
+        held = np.repeat(~np.array(chunk.column("learn"), bool), counts)
+        rows = []
+        for n in range(1, order + 1):
+            gram = grams(tokens, counts, n)
+            key, count = distinct(gram)
+            out, less = distinct(gram[held])
+            count[np.searchsorted(key, out)] -= less
+            rows.append(packed(chunk.column("chunk")[0].as_py(), n, key, count, parts))
+        return pa.Table.from_batches(rows)
+    return run
+
+
+def chunk_tokens(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    texts = words.texts(chunk.column("text"), lower=True)
+    got = [token_hashes(texts[lo:hi]) for lo, hi in words.chunks(texts)]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
-        def finish(part, rows):
-            words_key = words_count = np.zeros(0, np.uint64)
-            items_key, items_level = [], []
-            for n in sorted({r[0] for r in rows}):
-                key = np.concatenate([from_bytes(r[1]) for r in rows if r[0] == n])
-                count = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows if r[0] == n]).astype(np.int64)
-                order = np.argsort(key, kind="stable")
-                key, count = key[order], count[order]
-                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                key, count = key[first], np.add.reduceat(count, first)
-                if n == 1:
-                    words_key, words_count = key, count
-                    continue
-                keep = count >= least
-                items_key.append(key[keep] ^ words.mix(np.uint64([n])))
-                items_level.append(level_of(count[keep], n, least))
-            key = np.concatenate([np.zeros(0, np.uint64), *items_key])
-            level = np.concatenate([np.zeros(0, np.int64), *items_level])
-            items = np.repeat(key, level)
-            step = np.arange(len(items)) - np.repeat(np.cumsum(level) - level, level) + 1
-            bits = max(64, -(-len(items) * BITS_PER_ITEM // 64) * 64)
-            hit = np.zeros(bits, bool)
-            if len(items):
-                hit[probe_bits(items, step, np.uint64(bits)).ravel().astype(np.int64)] = True
-            return pa.RecordBatch.from_arrays([
-                pa.array([part]), pa.array([words_key.tobytes()]), pa.array([words_count.astype(np.int64).tobytes()]),
-                pa.array([np.packbits(hit).tobytes()])], names=["part", "keys", "counts", "bits"])
 
+def each_part(finish):
+    """``finish(part, rows)`` for the rows of every part, which come together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
+        waiting: tuple[int, list] | None = None
         for batch in batches:
-            for part, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if waiting is not None and waiting[0] != part:
                     yield finish(*waiting)
                     waiting = None
                 if waiting is None:
                     waiting = (part, [])
-                waiting[1].append((n, keys, counts))
+                waiting[1].append(row)
         if waiting is not None:
             yield finish(*waiting)
     return run
 
 
+def met(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Of the rows of one part, by order: distinct n-grams, their counts in all, the place of
+    every n-gram of the rows among them, and each row's chunk and number of n-grams."""
+    out = {}
+    for n in sorted({r[1] for r in rows if r[5] is None}):
+        mine = [r for r in rows if r[1] == n and r[5] is None]
+        key = np.concatenate([hashes_from(r[3], r[2]) for r in mine])
+        count = np.concatenate([numbers_from(r[4], r[2], "<u4") for r in mine]).astype(np.int64)
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        new = np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+        first, back = np.flatnonzero(new), np.empty(len(key), np.int64)
+        back[order] = np.cumsum(new) - 1
+        out[n] = key[first], np.add.reduceat(count, first), back, [(r[0], r[2]) for r in mine]
+    return out
+
+
+def filled(part: int, found: dict, least: int) -> pa.RecordBatch:
+    """Exact counts of the part's single words, and its bits for every longer n-gram that is kept."""
+    words_key, words_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    items_key, items_level = [], []
+    for n, (key, count, _, _) in found.items():
+        keep = count >= (1 if n == 1 else least)
+        if n == 1:
+            words_key, words_count = key[keep], count[keep]
+            continue
+        items_key.append(key[keep] ^ words.mix(np.uint64([n])))
+        items_level.append(level_of(count[keep], n, least))
+    key = np.concatenate([np.zeros(0, np.uint64), *items_key])
+    level = np.concatenate([np.zeros(0, np.int64), *items_level])
+    items = np.repeat(key, level)
+    step = np.arange(len(items)) - np.repeat(np.cumsum(level) - level, level) + 1
+    bits = max(64, -(-len(items) * BITS_PER_ITEM // 64) * 64)
+    hit = np.zeros(bits, bool)
+    for at in range(0, len(items), 1 << 18):
+        hit[probe_bits(items[at:at + (1 << 18)], step[at:at + (1 << 18)], np.uint64(bits)).ravel().astype(np.int64)] = True
+    return pa.RecordBatch.from_arrays([
+        pa.array([part]), pa.array([words_key.tobytes()]), pa.array([words_count.tobytes()]), pa.array([np.packbits(hit).tobytes()])],
+        names=["part", "keys", "counts", "bits"])
+
+
+def fill_parts(least: int):
+    return each_part(lambda part, rows: filled(part, met(rows), least))
+
+
+ANSWERS = "chunk long, n int, part long, found binary, tokens long, vocabulary long"
+
+
+def answer_parts(least: int, parts: int):
+    """Fills each part's filter, unless it comes with the rows, and reads from it what the chunks ask: exact
+    counts of words, levels of longer n-grams. One row more holds the part's tokens and distinct words."""
+    def finish(part: int, rows: list) -> pa.RecordBatch:
+        found = met(rows)
+        ready = [pa.RecordBatch.from_pylist([{"part": part, "keys": r[3], "counts": r[4], "bits": r[5]}]) for r in rows if r[5] is not None]
+        here = Parts(pa.Table.from_batches(ready or [filled(part, found, least)]), parts)
+        out = [(-1, 0, b"", int(here.count.sum(dtype=np.int64)), len(here.key))]
+        for n, (key, _, back, asked) in found.items():
+            read = (here.exact(key).astype("<i8") if n == 1 else here.distinct_level(key, n))[back]
+            at = 0
+            for chunk, size in asked:
+                out.append((chunk, n, by_byte(read[at:at + size]), 0, 0))
+                at += size
+        chunk, n, raw, tokens, vocabulary = zip(*out)
+        return pa.RecordBatch.from_arrays([
+            pa.array(chunk, pa.int64()), pa.array(n, pa.int32()), pa.array([part] * len(out), pa.int64()), pa.array(raw, pa.binary()),
+            pa.array(tokens, pa.int64()), pa.array(vocabulary, pa.int64())], names=[c.split()[0] for c in ANSWERS.split(", ")])
+    return each_part(finish)
+
+
 @dataclass
 class Model:
-    """Where the parts are kept, which are sent together, and the corpus totals."""
+    """Where the parts are kept, which are gathered together on the driver, and the corpus totals."""
 
     table: DataFrame
     groups: list[list[int]]
@@ -227,21 +335,30 @@ class Model:
     least: int
 
 
+def about_tokens(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[\x20\x09-\x0D]")) + 1
+
+
+def parts_for(tokens: int, order: int) -> int:
+    return max(16, 1 << max(0, int(tokens * order // (2 * PART_ITEMS)).bit_length()))
+
+
+def together(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(max(1, min(parts, partitions(rows.sparkSession))), "part").sortWithinPartitions("part")
+
+
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST_COUNT, send_mb: int = SEND_MB) -> Model:
     """Counts all n-grams of the texts. Null and empty texts are a lone end token; an empty
     table gives a model without words."""
-    spark = docs.sparkSession
-    spaces = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[\x20\x09-\x0D]"))
-    about, texts = docs.agg(F.sum(spaces + 1), F.count("*")).first()
-    parts = max(16, 1 << max(0, int((about or 0) * order // (2 * PART_ITEMS)).bit_length()))
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(count_grams(order, parts), "part long, n int, keys binary, counts binary")
-    table = saved(packed.repartition(max(1, min(parts, partitions(spark))), "part").sortWithinPartitions("part").mapInArrow(
-        fill_parts(least), "part long, keys binary, counts binary, bits binary"))
+    about, texts = docs.agg(F.sum(about_tokens(text)), F.count("*")).first()
+    parts = parts_for(about or 0, order)
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count_grams(order, parts), PACKED)
+    table = saved(together(rows, parts).mapInArrow(fill_parts(least), "part long, keys binary, counts binary, bits binary"))
     sizes = table.select("part", F.length("bits").alias("b"), F.length("keys").alias("k")).collect()
     tokens = table.select("counts").mapInArrow(total_of, "total long").agg(F.sum("total")).first()[0] or 0
     need_of = lambda r: r.b + 2 * r.k  # noqa: E731  bits, word hashes and their counts
     whole = sum(map(need_of, sizes))
-    room = -(-whole // max(1, -(-whole // (send_mb << 20)))) + max(map(need_of, sizes), default=0)  # as many passes, alike in size
+    room = -(-whole // max(1, -(-whole // (send_mb << 20)))) + max(map(need_of, sizes), default=0)  # as many groups, alike in size
     room = min(room, send_mb << 20)
     groups, held = [], room
     for r in sorted(sizes, key=lambda r: r.part):
@@ -290,9 +407,13 @@ class Parts:
         whole = np.zeros(len(gram), np.uint8)
         here = np.flatnonzero((self.bits[part] > 0) & (np.ones(1, bool) if limit is None else limit > 0))
         gram, at, back = np.unique(gram[here], return_index=True, return_inverse=True)
-        at = here[at]
-        limit = np.full(len(gram), MAX_LEVEL) if limit is None else limit[at]
-        part, out, live = part[at], np.zeros(len(gram), np.uint8), np.arange(len(gram))
+        whole[here] = self.distinct_level(gram, n, None if limit is None else limit[here[at]])[back]
+        return whole
+
+    def distinct_level(self, gram: np.ndarray, n: int, limit: np.ndarray | None = None) -> np.ndarray:
+        """Level of each of n-grams that are all different and whose parts are here."""
+        limit = np.full(len(gram), MAX_LEVEL) if limit is None else limit
+        part, out, live = self.part_of(gram), np.zeros(len(gram), np.uint8), np.arange(len(gram))
         key = gram ^ words.mix(np.uint64([n]))
         for level in range(1, MAX_LEVEL + 1):
             if not len(live):
@@ -309,8 +430,7 @@ class Parts:
             live = live[ok]
             out[live] = level
             live = live[limit[live] > level]
-        whole[here] = out[back]
-        return whole
+        return out
 
     def part_of(self, gram: np.ndarray) -> np.ndarray:
         return part_of(gram, self.parts)
@@ -327,13 +447,36 @@ def sent_parts(model: Model, group: list[int]):
     return model.table.sparkSession.sparkContext.broadcast(Parts(rows, model.parts))
 
 
-def levels_at(parts: Parts, tokens: np.ndarray, counts: np.ndarray, exact: np.ndarray, old: list[np.ndarray] | None,
+class Answers:
+    """What the parts sent back to a chunk: a value for each of its distinct n-grams, in order of their hashes."""
+
+    def __init__(self, rows: pa.Table, parts: int):
+        rows = rows.sort_by([("n", "ascending"), ("part", "ascending")])
+        self.parts, self.found = parts, {}
+        for n in pc.unique(rows.column("n")).to_pylist():
+            mine = rows.filter(pc.field("n") == n).column("found").to_pylist()
+            self.found[n] = np.concatenate([from_bytes(raw, "<i8" if n == 1 else "<u1") for raw in mine])
+
+    def at(self, gram: np.ndarray, n: int) -> np.ndarray:
+        return self.found[n][np.unique(gram, return_inverse=True)[1]]
+
+    def exact(self, word: np.ndarray) -> np.ndarray:
+        return self.at(word, 1)
+
+    def level(self, gram: np.ndarray, n: int, limit: np.ndarray) -> np.ndarray:
+        return np.minimum(self.at(gram, n), limit)
+
+    def part_of(self, gram: np.ndarray) -> np.ndarray:
+        return part_of(gram, self.parts)
+
+
+def levels_at(parts: Parts | Answers, tokens: np.ndarray, counts: np.ndarray, exact: np.ndarray, old: list[np.ndarray] | None,
               order: int, least: int, texts: int, done: np.ndarray) -> list[np.ndarray]:
-    """Levels of every order at each place: those of earlier passes, ``old``, and of the parts that are
+    """Levels of every order at each place: those found before, ``old``, and of the parts that are
     here. An n-gram is held to its suffix and context where the parts ``done`` so far know both."""
     first, got, below = first_words(counts), [], None
     for n in range(1, order + 1):
-        gram = tokens if n == 1 else ngrams(tokens, counts, n)
+        gram = grams(tokens, counts, n)
         if n == 1:
             level = np.where(exact > 0, level_of(exact, 1), 0).astype(np.uint8)
         else:
@@ -347,51 +490,27 @@ def levels_at(parts: Parts, tokens: np.ndarray, counts: np.ndarray, exact: np.nd
     return got
 
 
-def probe(sent, order: int, least: int, totals: tuple[int, int, int], final: bool, done: np.ndarray):
-    """Adds what the sent parts know: levels of every order, and the words' exact share of the base."""
+def score_chunk(order: int, least: int, parts: int, totals: tuple[int, int, int]):
+    """Scores a chunk's texts with the answers to it: the words' exact share of the base, and the model's probability."""
     n_all, vocabulary, n_texts = totals
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(chunk: pa.Table, rows: pa.Table) -> pa.Table:
         words.give_back()
-        parts = sent.value
-        for batch in words.slices(batches):
-            ids, raw = batch.column(0), batch.column(1)
-            texts = words.texts(raw, lower=True)
-            before = batch.column(2).to_pylist()
-            n_tokens, n_known, base, score, levels = [], [], [], [], []
-            for lo, hi in words.chunks(texts):
-                tokens, counts = token_hashes(texts[lo:hi])
-                at = np.repeat(np.arange(len(counts)), counts)
-                word, back = np.unique(tokens, return_inverse=True)
-                exact = parts.exact(word)[back]
-                known = np.bincount(at[exact > 0], minlength=len(counts))
-                # a word the corpus lacks adds nothing here; the last pass sets it straight
-                gain = np.log10((exact + ADD) / ADD)
-                n_tokens.append(counts)
-                n_known.append(known)
-                base.append(np.bincount(at, gain, len(counts)))
-                old = np.frombuffer(b"".join(before[lo:hi]), np.uint8)
-                got = levels_at(parts, tokens, counts, exact, list(old.reshape(-1, order).T) if len(old) else None,
-                                order, least, n_texts, done)
-                if final:
-                    score.append(np.bincount(at, np.log10(interpolated(got, counts, least, *totals)), len(counts)))
-                else:
-                    flat = np.stack(got, 1).tobytes()
-                    ends = np.cumsum(counts) * order
-                    levels += [flat[b - c * order:b] for b, c in zip(ends.tolist(), counts.tolist())]
-            join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            base_sum = join(base, float) + np.array(batch.column(4), float)
-            tokens_of = join(n_tokens, np.int64)
-            if final:
-                base_sum += tokens_of * (math.log10(ADD) - math.log10(n_all + ADD * (vocabulary + 1)))
-            yield pa.RecordBatch.from_arrays([
-                ids, pa.nulls(len(ids), pa.string()) if final else raw, pa.array(levels if not final else [b""] * len(ids), pa.binary()),
-                pa.array(join(n_known, np.int64) + np.array(batch.column(3), np.int64)), pa.array(base_sum), pa.array(tokens_of),
-                pa.array(join(score, float) if final else np.zeros(len(ids)))], names=[c.split()[0] for c in STATE.split(", ")])
+        tokens, counts = chunk_tokens(chunk)
+        answers = Answers(rows, parts)
+        exact = answers.exact(tokens)
+        at = np.repeat(np.arange(len(counts)), counts)
+        levels = levels_at(answers, tokens, counts, exact, None, order, least, n_texts, np.ones(parts, bool))
+        base = np.bincount(at, np.log10((exact + ADD) / ADD), len(counts))
+        base += counts * (math.log10(ADD) - math.log10(n_all + ADD * (vocabulary + 1)))
+        score = np.bincount(at, np.log10(interpolated(levels, counts, least, *totals)), len(counts))
+        known = np.bincount(at[exact > 0], minlength=len(counts))
+        return pa.table([chunk.column("id"), pa.array(counts, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)],
+                        names=[c.split()[0] for c in SCORED.split(", ")])
     return run
 
 
-STATE = "id long, text string, levels binary, n_known long, base double, n_tokens long, score double"
+SCORED = "id long, n_tokens long, n_known long, base double, score double"
 
 
 def interpolated(levels: list[np.ndarray], counts: np.ndarray, least: int, n_all: int, vocabulary: int, texts: int) -> np.ndarray:
@@ -415,27 +534,40 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     Null and empty texts are a lone end token; long texts are scored whole; repeated rows score alike;
     an empty table gives no rows; other columns are ignored.
     """
-    state = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(b"").alias("levels"),
-                        F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"))
-    groups, state_files = model.groups or [[]], []
-    done = np.zeros(model.parts, bool)
-    for i, group in enumerate(groups):
-        final = i == len(groups) - 1
-        done = done.copy()
-        done[group] = True
-        if final:  # a part without n-grams has no row
-            done[:] = True
-        work = probe(sent_parts(model, group), model.order, model.least, (model.tokens, model.vocabulary, model.texts), final, done)
-        state = state.select("id", "text", "levels", "n_known", "base").mapInArrow(work, STATE)
-        if not final:
-            state, old = saved(state, **STATE_FILES), state_files
-            state_files = state.inputFiles()
-            dropped(docs.sparkSession, old)
-    return state.select("id", "n_tokens", "n_known", "base", "score")
-
-
-def score_held_out(docs: DataFrame, fold: Column, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Scores all rows under a model of those for which ``fold`` is not 0."""
-    model = train(docs.filter(fold != 0), text, **settings)
-    out = score(docs, model, doc_id, text).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    tokens = docs.agg(F.sum(about_tokens(text))).first()[0] or 0
+    texts = in_chunks(docs, doc_id, text, F.lit(False), tokens)
+    asked = texts.groupBy("chunk").applyInArrow(ask(model.order, model.parts), PACKED)
+    none = F.lit(-1).cast("long")
+    ready = model.table.select("part", none.alias("chunk"), F.lit(0).alias("n"), none.alias("size"), "keys", "counts", "bits")
+    answers = answered(asked.union(ready), model.least, model.parts)
+    return scored(texts, answers, model.order, model.least, model.parts, (model.tokens, model.vocabulary, model.texts))
+
+
+def in_chunks(docs: DataFrame, doc_id: str, text: str, learn: Column, tokens: int) -> DataFrame:
+    """``chunk, id, text, learn``: texts dealt by what they hold, so that each is in the same chunk whenever it is read."""
+    chunks = max(1, -(-tokens // CHUNK_TOKENS), min(docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)))
+    out = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return out.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text", "learn")
+
+
+def answered(rows: DataFrame, least: int, parts: int) -> DataFrame:
+    return saved(together(rows, parts).mapInArrow(answer_parts(least, parts), ANSWERS), **STATE_FILES)
+
+
+def scored(texts: DataFrame, answers: DataFrame, order: int, least: int, parts: int, totals: tuple[int, int, int]) -> DataFrame:
+    rows = answers.filter("n > 0").select("chunk", "n", "part", "found")
+    return texts.select("chunk", "id", "text").groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score_chunk(order, least, parts, totals), SCORED)
+
+
+def score_held_out(docs: DataFrame, fold: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER,
+                   least: int = LEAST_COUNT) -> DataFrame:
+    """Scores all rows under a model of those for which ``fold`` is not 0. The chunks' n-grams are counted
+    and looked up where they meet; results are those of ``train`` and ``score``."""
+    about = about_tokens(text)
+    tokens, learnt, n_texts = docs.agg(F.sum(about), F.sum(F.when(fold != 0, about)), F.count_if(fold != 0)).first()
+    parts = parts_for(learnt or 0, order)
+    texts = in_chunks(docs, doc_id, text, fold != 0, tokens or 0)
+    answers = answered(texts.groupBy("chunk").applyInArrow(ask(order, parts), PACKED), least, parts)
+    n_all, vocabulary = (x or 0 for x in answers.filter("n = 0").agg(F.sum("tokens"), F.sum("vocabulary")).first())
+    out = scored(texts, answers, order, least, parts, (n_all, vocabulary, n_texts)).withColumn("train_tokens", F.lit(n_all).cast("long"))
     return out.select(F.col("id").alias(doc_id), "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), "score")
