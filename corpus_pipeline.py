@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterqa.llm import mixing, neardup, packing, secrets, toxicity
-from rasterqa.llm.common import crc_fold, saved
+from rasterqa.llm.common import bounded_batches, crc_fold, saved
 from rasterqa.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores as toxic go. The model learns from labelled rows
     outside the held-out fold."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(crc_fold(toxicity.FOLDS) != 0))
     return toxicity.drop_toxic(docs, model)
@@ -25,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five words, 0.8) the smallest id stays."""
+    bounded_batches(spark)
     return neardup.keep_one_of_each(docs)
 
 
@@ -40,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 token ids."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

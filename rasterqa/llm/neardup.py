@@ -62,28 +62,36 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     return words.texts(batch.column(1), lower=True)
 
 
+def add_counts(sums: tuple[np.ndarray, np.ndarray], held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and counts of ``sums`` with the values of ``held``, which is emptied, added; values not yet
+    in ``sums`` must occur ``least`` times. Sorts in place and holds one copy of the values and a few masks."""
+    value, count = sums
+    new = np.concatenate([np.zeros(0, np.uint64), *held])
+    held.clear()
+    new.sort()
+    count = count + (np.searchsorted(new, value, "right") - np.searchsorted(new, value))
+    often = new[:max(len(new) - least + 1, 0)] == new[least - 1:]
+    often[1:] &= new[1:len(often)] != new[:max(len(often) - 1, 0)]
+    first = np.flatnonzero(often)
+    fresh = new[first]
+    times = np.searchsorted(new, fresh, "right") - first
+    place = np.searchsorted(value, fresh)
+    if len(value):
+        unseen = value[np.minimum(place, len(value) - 1)] != fresh
+        fresh, times, place = fresh[unseen], times[unseen], place[unseen]
+    return np.insert(value, place, fresh), np.insert(count, place, times)
+
+
 def gather_common(size: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight, sums = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def fold():
-            nonlocal held, weight
-            value = np.concatenate([sums[0], *held])
-            count = np.concatenate([sums[1], np.ones(len(value) - len(sums[0]), np.int64)])
-            order = np.argsort(value, kind="stable")
-            value, count = value[order], count[order]
-            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-            held, weight = [], 0
-            return value[first], np.add.reduceat(count, first) if len(first) else count
-
         for batch in words.slices(batches):
             for _, s in shingle_sets(texts_of(batch), size):
                 held.append(s)
                 weight += len(s)
                 if weight > GATHER:
-                    value, count = fold()
-                    sums = (value[count > 1], count[count > 1])
-        value, count = fold()
+                    sums, weight = add_counts(sums, held, 2), 0
+        value, count = add_counts(sums, held, least)
         often = count >= least
         yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often])], names=["value", "count"])
     return run
