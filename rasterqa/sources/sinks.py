@@ -11,14 +11,14 @@ from rasterqa.operators.ordered import running_sum
 SLOT = 1 << 20  # positions per slot: a name shared by many files is numbered slot by slot
 
 
-def user_log_lines(entries: DataFrame) -> DataFrame:
-    """One text line per diagnostics entry with the file-safe user it belongs to."""
+def user_log_lines(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One text line per diagnostics entry with the file-safe user it belongs to, and the columns to ``keep``."""
     dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(F.col(c))
     tail = lambda mark, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(mark), F.col(c))).otherwise("")
     line = F.concat(
         F.col("time"), F.lit(" ["), F.col("kind"), F.lit("] job="), dash("job_id"), F.lit(" wf="), dash("workflow"),
         F.lit(" step="), dash("step"), tail(" exc=", "exc_type"), tail(" :: ", "message"), tail(" | ", "detail"))
-    return entries.select(safe_file_name(F.col("username")).alias("user_key"), line.alias("value"))
+    return entries.select(safe_file_name(F.col("username")).alias("user_key"), line.alias("value"), *keep)
 
 
 def write_user_logs(entries: DataFrame, path: str) -> None:
