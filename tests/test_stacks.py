@@ -2,8 +2,9 @@
 
 import random
 
-from conftest import pixels
+from conftest import SF, pixels
 from rasterqa.operators import compare, stacks
+from rasterqa.plans.registry import QUERIES
 
 SIZES = [(1, 1), (1, 5), (5, 1), (2, 2), (3, 7), (8, 8), (13, 9), (20, 20), (30, 11), (9, 40), (24, 24)]
 
@@ -45,3 +46,8 @@ def test_only_dense_small_images_are_packed(spark):
     px = pixels(spark, {1: [[(1, 2, 3, 255)] * 3] * 2, 2: [[(0, 0, 0, 0)] * 5] * 5, 3: [[(7, 7, 7, 7)] * 2] * 2}).filter("image_id <> 3 or x + y < 2")
     got = {r.image_id: (r.w, r.h, r.body) for r in stacks.packed(px, 24).collect()}
     assert got == {1: (3, 2, bytearray([1, 2, 3, 255] * 6)), 2: (5, 5, None), 3: (2, 2, None)}
+
+
+def test_drift_moves_no_pixel_rows_to_score(spark):
+    plan = QUERIES["q9_drift_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
