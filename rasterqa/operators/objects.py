@@ -64,7 +64,7 @@ def object_pairs(objects: DataFrame, pairs: DataFrame, pixels: DataFrame, long_s
     scores = compare.pair_score(together, cut_lineage(cleaned), long_side).select(
         F.col("pair_id").alias("key"), "overall_pct", "detail_pct", "shape_pct", "edges_pct", "colour_pct")
     as_given = crops.drop("image_id").withColumnRenamed("n", "image_id")
-    report = qa.qa_report(qa.qa_checks(qa.qa_measurements(as_given))).select("image_id", "score")
+    report = qa.qa_report(qa.qa_checks(qa.qa_of_small(as_given))).select("image_id", "score")
     qa_of = lambda s: report.filter(F.col("image_id").endswith(f":{s}")).select(
         F.regexp_replace("image_id", f":{s}$", "").alias("key"), F.col("score").alias(f"qa_{s}"))
     out = judged.join(scores, "key", "left").join(qa_of("o"), "key", "left").join(qa_of("g"), "key", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterqa import dims
 from rasterqa.functions.numbers import count_where, fixed, half_even, px_to_mm, share_where
-from rasterqa.operators import colour, components as cc, kernels, masks, metrics
+from rasterqa.operators import colour, components as cc, kernels, masks, metrics, stacks
 from rasterqa.session import cut_lineage
 
 THRESHOLD = {row[0]: row for row in dims.QA_THRESHOLDS}
@@ -77,6 +77,22 @@ def qa_measurements(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI) -> DataFrame
     )
 
 
+def qa_of_small(pixels: DataFrame, dpi: int = dims.DEFAULT_DPI, whole: int = stacks.WHOLE_PIXELS) -> DataFrame:
+    """``qa_measurements`` without ``top_colours`` for many small images, all at one ``dpi``.
+
+    Images of at most ``whole`` pixels that need no shrunken copy are measured inside tasks, many at a time; any other
+    by ``qa_measurements``, with the same values.
+    """
+    images = cut_lineage(stacks.packed(pixels, whole))
+    small = F.col("body").isNotNull() & (F.greatest("w", "h") <= dims.ANALYSIS_LONG_SIDE)
+    out = stacks.measurements(images.filter(small), float(dpi))
+    large = images.filter(~small).select("image_id")
+    if not large.isEmpty():
+        rest = qa_measurements(pixels.join(large, "image_id", "left_semi"), dpi)
+        out = out.unionByName(rest.select(*out.columns))
+    return out
+
+
 def qa_checks(measured: DataFrame) -> DataFrame:
     """Thirteen rows per image: value, text, status, weight.
 

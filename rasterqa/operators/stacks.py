@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from rasterqa import dims
 from rasterqa.operators import dct
 from rasterqa.operators.components import _least_labels
+from rasterqa.operators.envelopes import nearest_squares, ridge_thickness, row_gaps
 
 #: Pixels of an image that is looked at inside one task, at most.
 WHOLE_PIXELS = 1 << 16
@@ -364,3 +365,147 @@ def pair_figures(both: DataFrame, long_side: int, taps: list[float]) -> DataFram
     out = dealt.mapInArrow(scored(long_side, taps), kind)
     names = kind["o"].dataType.names
     return out.select("pair_id", "original_id", "generated_id", "ssim", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "og" for c in names])
+
+
+def percentile(values: np.ndarray, share: float) -> float:
+    """As Spark interpolates it."""
+    v = np.sort(values)
+    at = (len(v) - 1) * share
+    lo, hi = math.floor(at), math.ceil(at)
+    return float(v[lo]) if v[lo] == v[hi] else float((hi - at) * v[lo] + (at - lo) * v[hi])
+
+
+def grown(v: np.ndarray, kernel: dict[int, int], pick, off) -> np.ndarray:
+    """``kernels.morph`` with ``pick`` as maximum or minimum; ``off`` stands for what lies outside the raster."""
+    out = None
+    for dy, half in kernel.items():
+        for dx in range(-half, half + 1):
+            at = shifted(v, dy, dx, off)
+            out = at if out is None else pick(out, at)
+    return out
+
+
+def near_squares(on: np.ndarray, bound: int) -> np.ndarray:
+    """Squared distance to the nearest mark at most ``bound`` away, else infinite."""
+    h, w = on.shape[1:]
+    out = np.full(on.shape, np.inf)
+    ys, xs = range(-min(bound, h - 1), min(bound, h - 1) + 1), range(-min(bound, w - 1), min(bound, w - 1) + 1)
+    for square, dy, dx in sorted((dy * dy + dx * dx, dy, dx) for dy in ys for dx in xs):
+        if square <= bound * bound:
+            out[shifted(on, dy, dx, False) & (out == np.inf)] = square
+    return out
+
+
+def distances(on: np.ndarray) -> np.ndarray:
+    """``kernels.distance_to``: to the nearest mark, infinite in an image without one."""
+    n, h, w = on.shape
+    gap = row_gaps(on.reshape(n * h, w)).astype(float).reshape(n, h, w)
+    columns = (gap * gap).transpose(1, 0, 2).reshape(h, n * w)
+    ys = np.repeat(np.arange(h, dtype=float)[:, None], n * w, axis=1)
+    return np.sqrt(nearest_squares(columns, ys)).reshape(h, n, w).transpose(1, 0, 2)
+
+
+def quality(px: np.ndarray, dpi: float) -> dict[str, list]:
+    """``qa.qa_measurements`` of images of one size whose long side is no longer than an analysis copy's."""
+    n, h, w = px.shape[1:]
+    a, some_alpha = px[3], (px[3] < 250).any(axis=(1, 2))
+    y, x = np.mgrid[:h, :w]
+    weight = (x < 1).astype(int) + (x >= w - 1) + (y < 1) + (y >= h - 1)
+    ring = np.repeat(np.arange(h * w), weight.ravel())
+    far = colour_distance(px, np.median(px[:3].reshape(3, n, h * w)[:, :, ring], axis=2).T)
+    content = np.where(some_alpha[:, None, None], a > 20, far > 32.0)
+    count = content.sum(axis=(1, 2))
+    x0, x1, y0, y1, some = boxes(content)
+    share = lambda v: v.sum(axis=(1, 2)) / (h * w) * 100.0
+    lo, hi = dims.SEMI_ALPHA
+    margin = np.minimum.reduce([x0, y0, w - 1 - x1, h - 1 - y1]) * 100.0 / min(w, h)
+    lum = (px[0] * 299 + px[1] * 587 + px[2] * 114) / 1000
+
+    core = a >= 250
+    disc = {dy: round(math.sqrt(4 - dy * dy)) for dy in range(-2, 3)}
+    halo = grown(core, disc, np.logical_or, False) & ~core
+    by_core = grown(np.where(core, lum, 0.0), disc, np.maximum, -np.inf)
+    pale = halo & (a >= 32) & (a < 255) & (lum > 140) & (lum < 250) & (lum > by_core + 25)
+    ring_px, pale_px = halo.sum(axis=(1, 2)), pale.sum(axis=(1, 2))
+    halo_pct = np.where(ring_px == 0, 0.0, pale_px * 100.0 / np.maximum(ring_px, 1))
+
+    ref = np.array([max(1.0, float(np.median(far[i][content[i]]))) if count[i] else 1.0 for i in range(n)])
+    level = np.where(some_alpha[:, None, None], a, np.minimum(1.0, far / ref[:, None, None]) * 255.0)
+    inside = level >= 128
+    edge = inside & ~grown(inside, {-1: 0, 0: 1, 1: 0}, np.logical_and, True)
+    clear, opaque = (np.sqrt(near_squares(v, 16)) for v in (level <= dims.EDGE_ALPHA[0], level >= dims.EDGE_ALPHA[1]))
+    usable = edge & (opaque <= 16)
+    soft = usable & ((clear == np.inf) | (clear + opaque - 1 > dims.EDGE_SOFT_PX))
+    n_usable = usable.sum(axis=(1, 2))
+    soft_pct = np.where(n_usable == 0, 0.0, soft.sum(axis=(1, 2)) * 100.0 / np.maximum(n_usable, 1))
+
+    image = np.nonzero(content)[0]
+    code = np.unique((image << 24) | (px[0][content] // 32 << 16) | (px[1][content] // 32 << 8) | (px[2][content] // 32))
+    colours = np.bincount(code >> 24, minlength=n).astype(float)
+    dark, black = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        v = lum[i][content[i]] if count[i] else lum[i].ravel()
+        dark[i], black[i] = (v < dims.BLACK_MIN_LUM).sum() / len(v) * 100.0, percentile(v, 0.01)
+
+    lab = labels(content, 8)
+    first, of, area, cx0, cy0, cx1, cy1 = component_table(lab)
+    side = dims.STROKE_MIN_COMP_MM / 25.4 * dpi * 1.0
+    big = area >= max(4.0, side * side)
+    any_big = np.bincount(of, big, n) > 0
+    kept = np.zeros(content.size, bool)
+    kept[first[big | ~any_big[of]]] = True
+    stroke = content & kept[lab]
+    depth = distances(~stroke)
+    depth = np.where(stroke, np.where(np.isfinite(depth), depth, float(max(w, h))), 0.0)
+    thin = np.zeros(n)
+    sx0, sx1, sy0, sy1, has = boxes(stroke)
+    for i in np.flatnonzero(has):
+        d = depth[i, sy0[i]:sy1[i] + 1, sx0[i]:sx1[i] + 1]
+        thin[i] = max(1.0, float(np.percentile(2 * ridge_thickness(d, dims.STROKE_LONG_SIDE) - 1, 5)))
+    tall, wide, speck = cy1 - cy0 + 1, cx1 - cx0 + 1, dims.FEATURE_SPECK_MM / 25.4 * dpi
+    ok = (tall >= 3) & (wide >= 3) & (area >= 12) & ((tall >= speck) | (wide >= speck))
+    feature = np.zeros(n)
+    for i in np.unique(of[ok]):
+        feature[i] = percentile(tall[ok & (of == i)], 0.1)
+
+    flat = np.floor(np.minimum(255.0, np.maximum(0.0, lum)))
+    gx, gy = separable(flat, [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]), separable(flat, [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0])
+    mag = np.sqrt(gx * gx + gy * gy)
+    smooth = (content & (mag > 3) & (mag < 25)).sum(axis=(1, 2))
+    return {"has_alpha": some_alpha.tolist(), "n_content": count.tolist(), "clear_pct": share(a == 0).tolist(), "semi_pct": share((a >= lo) & (a <= hi)).tolist(),
+            "margin_pct": np.where(some, margin, 100.0).tolist(), "dpi": [dpi] * n,
+            "halo_pct": [v if t else None for v, t in zip(halo_pct.tolist(), some_alpha)], "soft_edge_pct": soft_pct.tolist(),
+            "colour_count": colours.tolist(), "dark_pct": dark.tolist(),
+            "black_level": [b if d >= dims.BLACK_MIN_SHARE_PCT else None for b, d in zip(black.tolist(), dark)],
+            "min_stroke_px": thin.tolist(), "min_feature_px": feature.tolist(),
+            "gradient_pct": np.where(count > 0, smooth / np.maximum(count, 1) * 100.0, 0.0).tolist()}
+
+
+QUALITY = {"has_alpha": pa.bool_(), "n_content": pa.int64(), **{c: pa.float64() for c in (
+    "clear_pct", "semi_pct", "margin_pct", "dpi", "halo_pct", "soft_edge_pct", "colour_count", "dark_pct", "black_level",
+    "min_stroke_px", "min_feature_px", "gradient_pct")}}
+
+
+def measured(dpi: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ws, hs = np.array(batch.column("w"), np.int64), np.array(batch.column("h"), np.int64)
+            bodies, found = batch.column("body"), {c: [None] * batch.num_rows for c in QUALITY}
+            for (w, h), at in by_shape(np.stack([ws, hs], 1)):
+                some = max(1, STACK_PIXELS // (w * h))
+                for lo in range(0, len(at), some):
+                    part = at[lo:lo + some]
+                    for c, values in quality(channels([bodies[int(i)].as_py() for i in part], w, h), dpi).items():
+                        for i, v in zip(part, values):
+                            found[c][i] = v
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "w", "h")), *(pa.array(found[c], k) for c, k in QUALITY.items())],
+                                             names=["image_id", "w", "h", *QUALITY])
+    return run
+
+
+def measurements(images: DataFrame, dpi: float) -> DataFrame:
+    """``qa.qa_measurements`` of packed images, without ``top_colours``."""
+    kind = images.schema["image_id"].dataType.simpleString()
+    names = {"bool": "boolean", "int64": "bigint", "double": "double"}
+    dealt = images.select("image_id", "w", "h", "body").repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(measured(dpi), f"image_id {kind}, w int, h int, " + ", ".join(f"{c} {names[str(k)]}" for c, k in QUALITY.items()))

@@ -3,7 +3,7 @@
 import random
 
 from conftest import SF, pixels
-from rasterqa.operators import compare, stacks
+from rasterqa.operators import compare, qa, stacks
 from rasterqa.plans.registry import QUERIES
 
 SIZES = [(1, 1), (1, 5), (5, 1), (2, 2), (3, 7), (8, 8), (13, 9), (20, 20), (30, 11), (9, 40), (24, 24)]
@@ -51,3 +51,14 @@ def test_only_dense_small_images_are_packed(spark):
 def test_drift_moves_no_pixel_rows_to_score(spark):
     plan = QUERIES["q9_drift_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_small_images_measure_like_any(spark):
+    rnd = random.Random(5)
+    kinds = ["plain", "alpha", "noise", "plain", "alpha", "clear", "flat"]
+    px = pixels(spark, {i: image(rnd, *SIZES[i % 11], kinds[i % 7]) for i in range(77)}).localCheckpoint()
+    got = qa.qa_of_small(px, whole=200)  # 13 x 9 and less inside a task
+    want = qa.qa_measurements(px).select(*got.columns)
+    key = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    assert sorted(map(key, qa.qa_of_small(px).collect()), key=str) == sorted(map(key, want.collect()), key=str)
